@@ -66,14 +66,15 @@ def asof_join(
         window = Window.partitionBy(*keys).orderBy(*along).rowsBetween(Window.unboundedPreceding, 0)
         return rows.withColumn("__found", best.over(window)).where(F.col("__left").isNotNull())
 
-    cold = sweep(cold, by).select(*by, "__left", "__found")
+    found = sweep(cold, by).select(*by, "__left", "__found")
+    if hot is not None:
+        hot = hot.withColumn("__bucket", bucket("__ts"))
+        carried = skew.bucket_prefix(hot, by, "__bucket", max_right=F.max("__right"))
+        hot = skew.join_buckets(sweep(hot, [*by, "__bucket"]), carried, by, "__bucket")
+        hot = hot.select(*by, "__left", F.coalesce("__found", "max_right").alias("__found"))
+        found = found.unionByName(hot)
 
-    hot = hot.withColumn("__bucket", bucket("__ts"))
-    carried = skew.bucket_prefix(hot, by, "__bucket", max_right=F.max("__right"))
-    hot = skew.join_buckets(sweep(hot, [*by, "__bucket"]), carried, by, "__bucket")
-    hot = hot.select(*by, "__left", F.coalesce("__found", "max_right").alias("__found"))
-
-    return cold.unionByName(hot).select(
+    return found.select(
         *by,
         *[F.col(f"__left.{c}").alias(c) for c in left_cols],
         *[F.col(f"__found.__payload.{c}").alias(c) for c in payload],
@@ -146,20 +147,27 @@ def _daily_tail(
     return daily.select(*by, day, F.slice(F.flatten(chained), 1, size).alias("__tail"))
 
 
-def _summaries(tail: str, sizes: Sequence[int]) -> list[Column]:
-    out = []
+def _summarise(rows: DataFrame, tail: str, sizes: Sequence[int], keep: Sequence[str]) -> DataFrame:
+    """Count, mean and sample sd of the first ``size`` items of ``tail``.
+
+    Built in steps so that the mean is computed once, not once per item.
+    """
     for size in sizes:
-        items = F.slice(F.coalesce(F.col(tail), F.array().cast("array<double>")), 1, size)
-        n = F.size(items)
+        items = f"__items_{size}"
         total = F.aggregate(items, F.lit(0.0), lambda a, x: a + x)
-        mean = F.when(n > 0, total / n)
-        spread = F.aggregate(items, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
-        out += [
-            n.cast("long").alias(f"count_last_{size}"),
-            mean.alias(f"mean_last_{size}"),
-            F.when(n > 1, F.sqrt(spread / (n - 1))).alias(f"sd_last_{size}"),
-        ]
-    return out
+        rows = rows.withColumn(
+            items, F.slice(F.coalesce(F.col(tail), F.array().cast("array<double>")), 1, size)
+        )
+        rows = rows.withColumn(f"count_last_{size}", F.size(items).cast("long"))
+        n = F.col(f"count_last_{size}")
+        rows = rows.withColumn(f"mean_last_{size}", F.when(n > 0, total / n))
+    for size in sizes:
+        n, mean = F.col(f"count_last_{size}"), F.col(f"mean_last_{size}")
+        gaps = F.transform(f"__items_{size}", lambda x: (x - mean) * (x - mean))  # noqa: B023
+        squares = F.aggregate(gaps, F.lit(0.0), lambda a, x: a + x)
+        rows = rows.withColumn(f"sd_last_{size}", F.when(n > 1, F.sqrt(squares / (n - 1))))
+    names_out = [f"{k}_last_{size}" for size in sizes for k in ("count", "mean", "sd")]
+    return rows.select(*keep, *names_out)
 
 
 def trailing_n(
@@ -184,5 +192,5 @@ def trailing_n(
     tails = _daily_tail(history, keys, day, order, value, max(sizes))
     wanted = (targets if by else targets.withColumn("__all", F.lit(0))).select(*keys, day).distinct()
     found = asof_join(wanted, tails, keys, day, day, [], ["__tail"], bucket=lambda c: F.trunc(F.to_date(F.col(c)), "year"))
-    features = found.select(*by, day, *_summaries("__tail", sizes))
+    features = _summarise(found, "__tail", sizes, [*by, day])
     return targets.join(features, [*by, day], "left")

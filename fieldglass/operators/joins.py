@@ -292,16 +292,24 @@ def empirical_probability(
     counts = residuals.groupBy(*by, F.col(residual).alias("__r")).agg(F.count(F.lit(1)).alias("__c"))
     counts = running_count(counts, by, "__r", "__c", coarse("__r"))
     total = counts.groupBy(*by).agg(F.max("__cum").alias("sample_size"))
-    rows = offers.withColumn("__lo", F.col(threshold) - F.lit(tolerance)).withColumn(
-        "__hi", F.col(threshold) + F.lit(tolerance)
+    side = counts.select(
+        *by, "__r", F.col("__cum").alias("__upto"), (F.col("__cum") - F.col("__c")).alias("__under"),
+        F.col("__r").alias("__at"),
     )
-    side = counts.select(*by, "__r", F.col("__cum").alias("__below"))
-    rows = asof_join(rows, side, by, "__lo", "__r", [], ["__below"], strict=True, bucket=coarse)
-    side = counts.select(*by, "__r", F.col("__cum").alias("__upto"))
-    rows = asof_join(rows, side, by, "__hi", "__r", [], ["__upto"], strict=False, bucket=coarse)
-    rows = skew.join_lookup(rows, total, by, "left")
-    below = F.coalesce(F.col("__below"), F.lit(0))
+    payload = ["__upto", "__under", "__at"]
+    rows = offers.withColumn("__edge", F.col(threshold) + F.lit(tolerance) if tolerance else F.col(threshold))
+    rows = asof_join(rows, side, by, "__edge", "__r", [], payload, strict=False, bucket=coarse)
     upto = F.coalesce(F.col("__upto"), F.lit(0))
+    if tolerance:
+        # The lower end of the push band is a second position.
+        side = counts.select(*by, "__r", F.col("__cum").alias("__below"))
+        rows = rows.withColumn("__edge", F.col(threshold) - F.lit(tolerance))
+        rows = asof_join(rows, side, by, "__edge", "__r", [], ["__below"], strict=True, bucket=coarse)
+        below = F.coalesce(F.col("__below"), F.lit(0))
+    else:
+        # A residual equal to the threshold is the one just found.
+        below = F.when(F.col("__at") == F.col(threshold), F.col("__under")).otherwise(upto)
+    rows = skew.join_lookup(rows, total, by, "left")
     n = F.nullif(F.col("sample_size"), F.lit(0))
     return rows.select(
         *offers.columns,

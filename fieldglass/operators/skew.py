@@ -3,10 +3,10 @@
 Every per-key operator here must stay balanced when one key owns, say, a third
 of the table.  The building blocks:
 
-* ``hot_keys``      the few keys above a row threshold, found by a partial
-                    aggregate; at most ``HOT_KEY_LIMIT`` rows, so broadcasting
-                    them is safe at any data size.  Keys beyond the limit are
-                    simply handled on the ordinary path.
+* ``hot_keys``      the few keys above a row threshold, counted by one
+                    map-side combined job; at most ``HOT_KEY_LIMIT`` keys, so
+                    broadcasting them is safe at any data size.  Keys beyond
+                    the limit are simply handled on the ordinary path.
 * ``split_hot``     rows of ordinary keys / rows of hot keys, by broadcast
                     semi and anti joins (no shuffle).
 * ``attach_totals`` per-key aggregates beside every row.
@@ -14,7 +14,11 @@ of the table.  The building blocks:
 * ``bucket_prefix`` running totals over ordered buckets of a key.
 * ``ordered_rank``  exact row position inside a key, no single-task sort.
 
-Splitting never changes a result, only where the rows are processed.
+The count job reads only the key columns and is skipped when the whole input is
+estimated below ``SMALL_BYTES``, where no key can be a burden.  Without hot keys
+the plan is the ordinary one-exchange plan.  Splitting never changes a result,
+only where rows are processed.  An expensive input that does have hot keys is
+worth a ``session.cut_lineage`` first, because both halves read it.
 """
 
 from __future__ import annotations
@@ -29,6 +33,8 @@ from pyspark.sql import functions as F
 HOT_ROWS = 2_000_000
 #: Upper bound of the broadcast hot-key list.
 HOT_KEY_LIMIT = 10_000
+#: Inputs estimated below this are not examined for hot keys.
+SMALL_BYTES = 64 * 1024 * 1024
 
 
 def names(cols: str | Sequence[str]) -> list[str]:
@@ -45,10 +51,20 @@ def _same(keys: Sequence[str], aliases: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, tests)
 
 
-def hot_keys(df: DataFrame, by: str | Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with more than ``hot_rows`` rows, largest first, bounded in number."""
+def is_small(df: DataFrame) -> bool:
+    """Whether Spark's own size estimate of the input is below ``SMALL_BYTES``."""
+    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(estimate)) < SMALL_BYTES
+
+
+def hot_keys(
+    df: DataFrame, by: str | Sequence[str], hot_rows: int = HOT_ROWS
+) -> DataFrame | None:
+    """Keys with more than ``hot_rows`` rows, largest first; None if there are none."""
     by = names(by)
-    return (
+    if not by or (hot_rows >= HOT_ROWS and is_small(df)):
+        return None
+    counted = (
         df.groupBy(*by)
         .agg(F.count(F.lit(1)).alias("__n"))
         .where(F.col("__n") > hot_rows)
@@ -56,17 +72,20 @@ def hot_keys(df: DataFrame, by: str | Sequence[str], hot_rows: int = HOT_ROWS) -
         .limit(HOT_KEY_LIMIT)
         .select(*[F.col(k).alias(a) for k, a in zip(by, _hot_alias(by))])
     )
+    found = counted.collect()  # at most HOT_KEY_LIMIT keys
+    return df.sparkSession.createDataFrame(found, counted.schema) if found else None
 
 
 def split_hot(
     df: DataFrame,
     by: str | Sequence[str],
     hot_rows: int = HOT_ROWS,
-    hot: DataFrame | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """(rows of ordinary keys, rows of hot keys)."""
+) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of ordinary keys, rows of hot keys or None)."""
     by = names(by)
-    hot = hot_keys(df, by, hot_rows) if hot is None else hot
+    hot = hot_keys(df, by, hot_rows)
+    if hot is None:
+        return df, None
     test = _same(by, _hot_alias(by))
     side = F.broadcast(hot)
     return df.join(side, test, "left_anti"), df.join(side, test, "left_semi")
@@ -88,6 +107,8 @@ def attach_totals(
     cold, hot = split_hot(df, by, hot_rows)
     window = Window.partitionBy(*by)
     cold = cold.select("*", *[c.over(window).alias(n) for n, c in totals.items()])
+    if hot is None:
+        return cold
     aliases = _hot_alias(by)
     # At most HOT_KEY_LIMIT groups, since `hot` holds only those keys.
     sums = hot.groupBy(*[F.col(k).alias(a) for k, a in zip(by, aliases)]).agg(
@@ -113,13 +134,14 @@ def join_lookup(
     if how not in ("left", "inner"):
         raise ValueError("join_lookup supports left and inner joins")
     on = names(on)
-    hot_list = hot_keys(left, on, hot_rows)
-    cold_rows, hot_rows_df = split_hot(left, on, hot=hot_list)
-    few = right.join(
-        F.broadcast(hot_list), _same(on, _hot_alias(on)), "left_semi"
-    )
-    return cold_rows.join(right, on, how).unionByName(
-        hot_rows_df.join(F.broadcast(few), on, how)
+    hot = hot_keys(left, on, hot_rows)
+    if hot is None:
+        return left.join(right, on, how)
+    side, test = F.broadcast(hot), _same(on, _hot_alias(on))
+    few = right.join(side, test, "left_semi")
+    return (
+        left.join(side, test, "left_anti").join(right, on, how)
+        .unionByName(left.join(side, test, "left_semi").join(F.broadcast(few), on, how))
     )
 
 

@@ -44,6 +44,8 @@ def lookback(
     plain = Window.partitionBy(*by).orderBy(*sort)
     cold = cold.withColumn(position, F.row_number().over(plain).cast("long"))
     cold = cold.select("*", *[c.alias(n) for n, c in columns(plain).items()])
+    if hot is None:
+        return cold
 
     hot = skew.ordered_rank(hot, by, sort, bucket, position)
     zero_based = F.col(position) - 1
