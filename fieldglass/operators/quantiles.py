@@ -31,14 +31,18 @@ def exact_quantiles(
     value: str,
     quantiles: dict[str, float],
     width: float,
+    weight: str | None = None,
 ) -> DataFrame:
     """Linearly interpolated percentiles, one column per entry of ``quantiles``.
 
     Values are first counted (map-side combined), then placed by running count
     in buckets of ``width``, so a group's values never meet in one task.
+    ``weight`` names a column of counts when the input is already counted.
     """
     by = names(by)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__c"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(
+        (F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("__c")
+    )
     placed = running_count(counts, by, value, "__c", F.floor(F.col(value).cast("double") / width))
     sizes = counts.groupBy(*by).agg(F.sum("__c").alias("__n"))
     placed = skew.join_lookup(placed, sizes, by, "inner") if by else placed.withColumn(

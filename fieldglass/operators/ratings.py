@@ -177,9 +177,9 @@ def rating_grid(ks: Sequence[float], advantages: Sequence[float], retentions: Se
 
 #: The tuned parameter grid (8 x 5 x 5).
 GRID = {
-    "ks": (8.0, 12.0, 16.0, 20.0, 24.0, 28.0, 32.0, 40.0),
-    "advantages": (0.0, 20.0, 40.0, 60.0, 80.0),
-    "retentions": (0.4, 0.5, 0.6, 0.75, 0.9),
+    "ks": tuple(15.0 + 5.0 * i for i in range(8)),
+    "advantages": tuple(35.0 + 5.0 * i for i in range(5)),
+    "retentions": (0.40, 0.50, 0.60, 0.70, 0.80),
 }
 
 
