@@ -19,13 +19,14 @@ def outcome_columns(home: Column, away: Column) -> dict[str, Column]:
     done = home.isNotNull() & away.isNotNull()
     return {
         "is_completed": done,
-        "home_win": F.when(done, (home > away).cast("int")),
-        "is_tie": F.when(done, (home == away).cast("int")),
-        "margin": F.when(done, home - away),
-        "total": F.when(done, home + away),
-        "result": F.when(~done, F.lit(None).cast("string"))
-        .when(home > away, "HOME")
-        .when(home < away, "AWAY")
+        "home_win": F.when(done, home > away),
+        "away_win": F.when(done, away > home),
+        "is_tie": F.when(done, home == away),
+        "point_differential": F.when(done, home - away),
+        "total_points": F.when(done, home + away),
+        "game_result": F.when(~done, "NOT_PLAYED")
+        .when(home > away, "HOME_WIN")
+        .when(away > home, "AWAY_WIN")
         .otherwise("TIE"),
     }
 
@@ -148,7 +149,7 @@ def edge_strength(probability: Column) -> Column:
     """Wording for the distance of a probability from one half."""
     return bucket_label(
         F.abs(probability - 0.5),
-        [(0.025, "near_even"), (0.075, "slight"), (0.15, "moderate")], "strong", inclusive=False,
+        [(0.025, "toss_up"), (0.075, "slight_edge"), (0.15, "clear_edge")], "strong_edge", inclusive=False,
     )
 
 
@@ -173,17 +174,19 @@ def implied_probability(price: Column, strict: bool = True) -> Column:
     return F.when(ok & (price > 0), F.lit(100.0) / (p + 100.0)).when(ok, F.abs(p) / (F.abs(p) + 100.0))
 
 
-def outcome_side(market: Column, name: Column, home: Column, away: Column) -> Column:
+def outcome_side(name: Column, home: Column, away: Column) -> Column:
     """Home / away / over / under / other."""
     lowered = F.lower(name)
     return (
-        F.when(market.isin("h2h", "spreads") & (name == home), "home")
-        .when(market.isin("h2h", "spreads") & (name == away), "away")
-        .when((market == "totals") & lowered.isin("over", "under"), lowered)
-        .otherwise("other")
+        F.when(name == home, "home").when(name == away, "away")
+        .when(lowered.isin("over", "under"), lowered).otherwise("other")
     )
 
 
+#: Display names of the markets.
+MARKET_NAMES = {"h2h": "Moneyline", "spreads": "Spread", "totals": "Totals"}
+
+
 def market_line(market: Column, point: Column) -> Column:
     """Both sides of a spread share the absolute line."""
     return F.when(market == "spreads", F.abs(point)).when(market == "totals", point)
@@ -263,7 +266,7 @@ def explain_rating(own: Column, other: Column, advantage: Column, scale: float =
         "venue_log_odds": advantage * unit,
         "total_log_odds": gap * unit,
         "matchup": bucket_label(
-            F.abs(gap), [(25, "near_even"), (75, "slight"), (150, "moderate")], "strong", inclusive=False
+            F.abs(gap), [(25, "toss_up"), (75, "slight_edge"), (150, "clear_edge")], "strong_edge", inclusive=False
         ),
     }
 

@@ -155,14 +155,14 @@ def _summarise(rows: DataFrame, tail: str, sizes: Sequence[int], keep: Sequence[
     for size in sizes:
         items = f"__items_{size}"
         total = F.aggregate(items, F.lit(0.0), lambda a, x: a + x)
-        rows = rows.withColumn(
-            items, F.slice(F.coalesce(F.col(tail), F.array().cast("array<double>")), 1, size)
-        )
-        rows = rows.withColumn(f"count_last_{size}", F.size(items).cast("long"))
-        n = F.col(f"count_last_{size}")
+        recent = F.slice(F.coalesce(F.col(tail), F.array().cast("array<double>")), 1, size)
+        rows = rows.withColumn(f"count_last_{size}", F.size(recent).cast("long"))
+        # Rows without a value count as rows but not in the moments.
+        rows = rows.withColumn(items, F.array_compact(recent))
+        n = F.size(items)
         rows = rows.withColumn(f"mean_last_{size}", F.when(n > 0, total / n))
     for size in sizes:
-        n, mean = F.col(f"count_last_{size}"), F.col(f"mean_last_{size}")
+        n, mean = F.size(f"__items_{size}"), F.col(f"mean_last_{size}")
         gaps = F.transform(f"__items_{size}", lambda x: (x - mean) * (x - mean))  # noqa: B023
         squares = F.aggregate(gaps, F.lit(0.0), lambda a, x: a + x)
         rows = rows.withColumn(f"sd_last_{size}", F.when(n > 1, F.sqrt(squares / (n - 1))))

@@ -122,6 +122,7 @@ def bridge(
     mapped: Sequence[str],
     right_id: str,
     status: str = "bridge_status",
+    labels: tuple[str, str, str] = ("UNMAPPED", "UNMATCHED", "MATCHED"),
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Match on mapped names and date, and say why a row has no match."""
@@ -131,7 +132,7 @@ def bridge(
         unmapped = unmapped | F.col(name).isNull()
     return found.withColumn(
         status,
-        F.when(unmapped, "UNMAPPED").when(F.col(right_id).isNull(), "UNMATCHED").otherwise("MATCHED"),
+        F.when(unmapped, labels[0]).when(F.col(right_id).isNull(), labels[1]).otherwise(labels[2]),
     )
 
 
@@ -269,52 +270,62 @@ def blend(a: DataFrame, b: DataFrame, on: str, value: str, weight: float) -> Dat
     )
 
 
-def empirical_probability(
-    offers: DataFrame,
-    residuals: DataFrame,
+def rank_in_sample(
+    rows: DataFrame,
+    sample: DataFrame,
     by: str | Sequence[str],
-    threshold: str,
-    residual: str,
+    value: str,
+    edges: Sequence[str],
     width: float,
-    tolerance: float = 0.0,
 ) -> DataFrame:
-    """Share of a mode's residuals above, equal to and below a threshold.
+    """How many sample values of a row's group lie below / up to each edge column.
 
-    Residuals become a distinct-value count table with running totals (buckets
-    bound the sort), and each offer finds its two positions in it by as-of
-    joins, so offers x residuals pairs are never formed.  ``tolerance`` widens
-    the push band; ``width`` is the residual range one task may sort.
+    Adds ``<edge>_lt``, ``<edge>_le`` and ``sample_size``.  The sample becomes a
+    distinct-value count table with running totals (buckets of ``width`` bound
+    the sort) and each edge finds its place by an as-of join, so rows x sample
+    pairs are never formed.
     """
+    by = names(by)
+
     def coarse(column: str) -> Column:
         return F.floor(F.col(column).cast("double") / width)
 
-    by = names(by)
-    counts = residuals.groupBy(*by, F.col(residual).alias("__r")).agg(F.count(F.lit(1)).alias("__c"))
+    counts = sample.groupBy(*by, F.col(value).alias("__r")).agg(F.count(F.lit(1)).alias("__c"))
     counts = running_count(counts, by, "__r", "__c", coarse("__r"))
     total = counts.groupBy(*by).agg(F.max("__cum").alias("sample_size"))
     side = counts.select(
         *by, "__r", F.col("__cum").alias("__upto"), (F.col("__cum") - F.col("__c")).alias("__under"),
         F.col("__r").alias("__at"),
     )
-    payload = ["__upto", "__under", "__at"]
-    rows = offers.withColumn("__edge", F.col(threshold) + F.lit(tolerance) if tolerance else F.col(threshold))
-    rows = asof_join(rows, side, by, "__edge", "__r", [], payload, strict=False, bucket=coarse)
-    upto = F.coalesce(F.col("__upto"), F.lit(0))
-    if tolerance:
-        # The lower end of the push band is a second position.
-        side = counts.select(*by, "__r", F.col("__cum").alias("__below"))
-        rows = rows.withColumn("__edge", F.col(threshold) - F.lit(tolerance))
-        rows = asof_join(rows, side, by, "__edge", "__r", [], ["__below"], strict=True, bucket=coarse)
-        below = F.coalesce(F.col("__below"), F.lit(0))
-    else:
-        # A residual equal to the threshold is the one just found.
-        below = F.when(F.col("__at") == F.col(threshold), F.col("__under")).otherwise(upto)
-    rows = skew.join_lookup(rows, total, by, "left")
+    out = rows
+    for edge in edges:
+        keep = out.columns
+        found = asof_join(
+            out.withColumn("__e", F.col(edge)), side, by, "__e", "__r", [], ["__upto", "__under", "__at"],
+            strict=False, bucket=coarse,
+        )
+        upto = F.coalesce(F.col("__upto"), F.lit(0))
+        # A value equal to the edge is the one just found.
+        below = F.when(F.col("__at") == F.col(edge), F.col("__under")).otherwise(upto)
+        out = found.select(*keep, below.alias(f"{edge}_lt"), upto.alias(f"{edge}_le"))
+    return skew.join_lookup(out, total, by, "left")
+
+
+def empirical_probability(
+    offers: DataFrame,
+    residuals: DataFrame,
+    by: str | Sequence[str],
+    threshold: str,
+    residual: str,
+    width: float,
+) -> DataFrame:
+    """Share of a mode's residuals above, equal to and below a threshold."""
+    out = rank_in_sample(offers, residuals, by, residual, [threshold], width)
     n = F.nullif(F.col("sample_size"), F.lit(0))
-    return rows.select(
-        *offers.columns,
-        "sample_size",
-        ((F.col("sample_size") - upto) / n).alias("share_above"),
-        ((upto - below) / n).alias("share_equal"),
-        (below / n).alias("share_below"),
+    lt, le = F.col(f"{threshold}_lt"), F.col(f"{threshold}_le")
+    return out.select(
+        *offers.columns, "sample_size",
+        ((F.col("sample_size") - le) / n).alias("share_above"),
+        ((le - lt) / n).alias("share_equal"),
+        (lt / n).alias("share_below"),
     )

@@ -127,30 +127,24 @@ def best_with_consensus(
     value: str,
     ties: Sequence[str],
     keep: Sequence[str],
+    statistics: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """The highest row of a group beside the group's statistics.
 
-    One partial aggregate; the reference idea of a window plus a row number is
-    not needed because only the best row survives.  Ties go to the smallest
-    ``ties`` values, which must be numeric.
+    One partial aggregate instead of a window plus a row number, because only
+    the best row survives.  A row without a value comes last; equal values go
+    to the smallest ``ties``.
     """
     by = names(by)
-    rank = F.struct(F.col(value), *[(-F.col(t)).alias(f"t{i}") for i, t in enumerate(ties)])
-    best = F.max_by(F.struct(*keep), rank)
+    rank = F.struct(F.coalesce(-F.col(value), F.lit(float("inf"))).alias("v"), *ties)
+    if statistics is None:
+        statistics = {
+            "offer_count": F.count(F.lit(1)), f"average_{value}": F.avg(value), f"minimum_{value}": F.min(value),
+        }
     return (
         df.groupBy(*by)
-        .agg(
-            best.alias("__best"),
-            F.max(value).alias(f"best_{value}"),
-            F.count(F.lit(1)).alias("offer_count"),
-            F.avg(value).alias(f"average_{value}"),
-            F.min(value).alias(f"minimum_{value}"),
-        )
-        .select(
-            *by,
-            *[F.col(f"__best.{k}").alias(f"best_{k}") for k in keep],
-            f"best_{value}", "offer_count", f"average_{value}", f"minimum_{value}",
-        )
+        .agg(F.min_by(F.struct(*keep, value), rank).alias("__best"), *[c.alias(n) for n, c in statistics.items()])
+        .select(*by, *[F.col(f"__best.{k}").alias(f"best_{k}") for k in [*keep, value]], *statistics)
     )
 
 
@@ -263,6 +257,15 @@ def max_drawdown(
     )
 
 
+def decayed_at(
+    df: DataFrame, by: str | Sequence[str], day: str, as_of: Column, half_life_days: float, sums: Sequence[str]
+) -> DataFrame:
+    """W8 read at one later day: decayed sums of all days up to it."""
+    age = F.datediff(as_of, F.col(day)).cast("double")
+    weight = F.pow(F.lit(0.5), age / F.lit(float(half_life_days)))
+    return df.where(age >= 0).groupBy(*names(by)).agg(*[F.sum(F.col(s) * weight).alias(f"prior_{s}") for s in sums])
+
+
 def decayed_prior(
     df: DataFrame,
     by: str | Sequence[str],

@@ -14,16 +14,15 @@ from fieldglass.plans.registry import cents, query, rounded
 WITH x AS (
   SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN CAST(floor(o_totalprice / 10000) AS BIGINT) END AS h, CASE WHEN o_orderstatus <> 'P' THEN o_custkey % 50 END AS a FROM orders
 )
-SELECT o_orderkey, h AS home, a AS away, h IS NOT NULL AND a IS NOT NULL AS is_completed, CAST(h > a AS BIGINT) AS home_win, CAST(h = a AS BIGINT) AS is_tie, h - a AS margin, h + a AS total,
-  CASE WHEN h > a THEN 'HOME' WHEN h < a THEN 'AWAY' WHEN h = a THEN 'TIE' END AS result FROM x
+SELECT o_orderkey, h AS home, a AS away, h IS NOT NULL AND a IS NOT NULL AS is_completed, h > a AS home_win, a > h AS away_win, h = a AS is_tie, h - a AS point_differential, h + a AS total_points,
+  CASE WHEN h > a THEN 'HOME_WIN' WHEN h < a THEN 'AWAY_WIN' WHEN h = a THEN 'TIE' ELSE 'NOT_PLAYED' END AS game_result FROM x
 """)
 def derive_outcome(t):
     played = F.col("o_orderstatus") != "P"
     rows = t.orders.select(
         "o_orderkey", F.when(played, F.floor(F.col("o_totalprice") / 10000)).alias("home"), F.when(played, F.col("o_custkey") % 50).alias("away")
     )
-    out = scalars.derive_outcome(rows, "home", "away")
-    return out.withColumns({c: F.col(c).cast("long") for c in ("home_win", "is_tie")})
+    return scalars.derive_outcome(rows, "home", "away")
 
 
 @query("filter_valid", """
@@ -126,7 +125,7 @@ def local_date(t):
 WITH r AS (SELECT c_custkey, 1500 + c_acctbal / 50 AS own, 1500 + ((c_custkey * 37) % 400) AS other, CAST(c_custkey % 3 AS DOUBLE) * 20 AS adv, c_custkey % 4 AS seasons FROM customer),
 g AS (SELECT *, 1500 + (own - 1500) * pow(0.6, seasons) AS reg FROM r)
 SELECT c_custkey, round(reg, 6) AS regressed_rating, round(1 / (1 + pow(10, (other - (reg + adv)) / 400)), 9) AS win_probability, round((reg - other) * ln(10) / 400, 6) AS rating_log_odds, round(adv * ln(10) / 400, 6) AS venue_log_odds,
-  CASE WHEN abs(reg + adv - other) < 25 THEN 'near_even' WHEN abs(reg + adv - other) < 75 THEN 'slight' WHEN abs(reg + adv - other) < 150 THEN 'moderate' ELSE 'strong' END AS matchup FROM g
+  CASE WHEN abs(reg + adv - other) < 25 THEN 'toss_up' WHEN abs(reg + adv - other) < 75 THEN 'slight_edge' WHEN abs(reg + adv - other) < 150 THEN 'clear_edge' ELSE 'strong_edge' END AS matchup FROM g
 """)
 def rating_probability(t):
     rows = t.customer.select(
@@ -265,7 +264,7 @@ def market_sides(t):
     )
     return t.lineitem.select(
         "l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), "l_partkey",
-        scalars.outcome_side(market, name, F.lit("A"), F.lit("B")).alias("side"), scalars.market_line(market, F.col("l_quantity") - 25).alias("market_line"),
+        scalars.outcome_side(name, F.lit("A"), F.lit("B")).alias("side"), scalars.market_line(market, F.col("l_quantity") - 25).alias("market_line"),
     )
 
 
