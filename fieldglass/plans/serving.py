@@ -44,7 +44,7 @@ def served_board(board: DataFrame, probability: DataFrame, spread: DataFrame) ->
 
 
 #: Fixed values of the publication rule.
-CRITERIA = {"books": 5, "probability": 0.50, "edge": (2.5, 10.0), "value": (2.0, 20.0)}
+CRITERIA = {"books": 5, "probability": 0.50, "edge": (3.0, 10.0), "value": (0.0, 20.0)}
 
 
 def publication_status(board: DataFrame, criteria: dict = CRITERIA) -> DataFrame:
@@ -63,13 +63,19 @@ def publication_status(board: DataFrame, criteria: dict = CRITERIA) -> DataFrame
     })
 
 
-def recommended_picks(board: DataFrame, now: Column, limit: int = 9) -> DataFrame:
-    """Next week's eligible offers, the best one per game and market."""
-    rows = scalars.before_event(board.where(F.col("commence_time") > now), "commence_time", ["fetched_at", "prediction_generated_at"])
+def recommended_picks(board: DataFrame, now: Column) -> DataFrame:
+    """The next week's eligible offers, the best one per game and market."""
+    rows = board.where((F.col("commence_time") > now) & F.col("week").isNotNull())
+    rows = scalars.before_event(rows, "commence_time", ["fetched_at"])
     rows = publication_status(topk.next_period(rows, "commence_time", "week", now))
-    order = [F.desc("expected_value_percent"), F.desc("probability_edge"), F.asc("outcome_type"), F.asc_nulls_last("point")]
-    best = topk.top_rows(rows.where("publication_eligible"), ["game_id", "market_key"], order)
-    return topk.limit_ordered(best, [*order[:2], F.asc("game_id"), F.asc("market_key")], limit)
+    order = [F.desc("expected_value_percent"), F.desc("bookmaker_count"), F.asc("commence_time"), F.asc("outcome_type"), F.asc_nulls_last("point")]
+    return topk.top_rows(rows.where("publication_eligible"), ["game_id", "market_key"], order)
+
+
+def featured_picks(picks: DataFrame, limit: int = 6) -> DataFrame:
+    """The strongest recommended picks, for a front page."""
+    order = [F.desc("expected_value_percent"), F.desc("bookmaker_count"), F.asc("commence_time"), F.asc("game_id"), F.asc("market_key")]
+    return topk.limit_ordered(picks, order, limit)
 
 
 def preferred_sides(board: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Mapping, Sequence
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,7 +64,7 @@ def publish(df: DataFrame, root: str, table: str, rules: Rules | Callable[[DataF
     if rules is not None:
         expect(written, rules(written) if callable(rules) else rules)
     spark.range(1).select(
-        F.lit(version).alias("version"), F.lit(datetime.utcnow()).alias("published_at")
+        F.lit(version).alias("version"), F.lit(datetime.now(timezone.utc)).alias("published_at")
     ).coalesce(1).write.mode("append").json(_pointer(root, table))
     return location
 
@@ -156,15 +156,15 @@ def run_states(spark: SparkSession, location: str) -> DataFrame:
 
 def audited(spark: SparkSession, location: str, mode: str, work: Callable[[], int | None], snapshot_file: str | None = None) -> str:
     """Run ``work`` between a RUNNING and a SUCCESS or FAILED row."""
-    run_id, started = uuid.uuid4().hex, datetime.utcnow()
+    run_id, started = uuid.uuid4().hex, datetime.now(timezone.utc)
     base = dict(run_id=run_id, mode=mode, snapshot_file=snapshot_file, started_at=started)
     record_run(spark, location, **base, status="RUNNING")
     try:
         count = work()
     except Exception as error:
-        record_run(spark, location, **base, completed_at=datetime.utcnow(), status="FAILED", error_message=str(error)[:500])
+        record_run(spark, location, **base, completed_at=datetime.now(timezone.utc), status="FAILED", error_message=str(error)[:500])
         raise
-    record_run(spark, location, **base, completed_at=datetime.utcnow(), status="SUCCESS", archived_market_row_count=count)
+    record_run(spark, location, **base, completed_at=datetime.now(timezone.utc), status="SUCCESS", archived_market_row_count=count)
     return run_id
 
 
