@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import skew
@@ -59,11 +59,14 @@ def mirror_join(
 ) -> DataFrame:
     """J2 for rows already at (unit, side) grain: take the opponent's columns.
 
-    A unit has two rows, so the join groups are bounded by two.
+    A unit has two rows, so both fit in one small array per unit: one exchange,
+    no self join.  Columns are null where the opponent is absent.
     """
     unit = names(unit)
-    other = df.select(*unit, F.col(side).alias("__side"), *[F.col(c).alias(n) for c, n in take.items()])
-    return df.withColumn("__side", F.col(opponent)).join(other, [*unit, "__side"], "left").drop("__side")
+    pair = F.collect_list(F.struct(F.col(side).alias("__side"), *take)).over(Window.partitionBy(*unit))
+    other = F.try_element_at(F.filter("__pair", lambda x: x["__side"] == F.col(opponent)), F.lit(1))
+    rows = df.withColumn("__pair", pair).withColumn("__other", other)
+    return rows.select(*df.columns, *[F.col(f"__other.{c}").alias(n) for c, n in take.items()])
 
 
 def complete_left(
@@ -89,21 +92,17 @@ def join_checked(
 ) -> DataFrame:
     """Join with a declared cardinality; a violation fails the query.
 
-    The right side is grouped by key (map-side combined) and a duplicate raises
-    inside the same job, so no separate check pass is needed.  ``1:1`` checks the
-    left side as well.  ``hot_rows`` turns on the skew-safe lookup.
+    Rows per key of the right side (and the left one for ``1:1``) are counted
+    over the exchange and sort the join needs anyway, and a duplicate raises in
+    the same job.  ``hot_rows`` turns on the skew-safe lookup for the left side.
     """
     on = names(on)
 
     def unique(df: DataFrame, label: str) -> DataFrame:
-        rest = [c for c in df.columns if c not in on]
-        checked = df.groupBy(*on).agg(
-            F.count(F.lit(1)).alias("__n"), F.first(F.struct(F.lit(1).alias("__one"), *rest)).alias("__row")
-        )
-        ok = F.when(F.col("__n") == 1, F.col("__row")).otherwise(
-            F.raise_error(F.concat(F.lit(f"{label} side is not unique on {', '.join(on)}: "), F.col("__n").cast("string")))
-        )
-        return checked.select(*on, ok.alias("__row")).select(*on, *[F.col(f"__row.{c}").alias(c) for c in rest])
+        n = F.count(F.lit(1)).over(Window.partitionBy(*on))
+        message = F.concat(F.lit(f"{label} side is not unique on {', '.join(on)}: "), F.col("__n").cast("string"))
+        ok = F.when(F.col("__n") == 1, F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
+        return df.withColumn("__n", n).where(ok).drop("__n")
 
     if validate not in ("1:1", "m:1"):
         raise ValueError("validate must be '1:1' or 'm:1'")
@@ -213,6 +212,7 @@ def dual_role_join(
     key: str,
     roles: Mapping[str, str],
     take: Sequence[str],
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """One ratings table joined for two roles (``{"home": "home_id", ...}``).
 
@@ -221,7 +221,7 @@ def dual_role_join(
     out = df
     for role, column in roles.items():
         side = ratings.select(F.col(key).alias(column), *[F.col(c).alias(f"{role}_{c}") for c in take])
-        out = skew.join_lookup(out, side, column, "left")
+        out = skew.join_lookup(out, side, column, "left", hot_rows)
     first, second = list(roles)
     return out.withColumn(
         "both_available", F.col(f"{first}_{take[0]}").isNotNull() & F.col(f"{second}_{take[0]}").isNotNull()

@@ -12,10 +12,17 @@ from .skew import names
 
 
 def running_count(
-    counts: DataFrame, by: str | Sequence[str], value: str, count: str, bucket: Column, name: str = "__cum"
+    counts: DataFrame, by: str | Sequence[str], value: str, count: str, bucket: Column, name: str = "__cum",
+    distributed: bool | None = None,
 ) -> DataFrame:
-    """Running total of ``count`` along ``value``; a task sorts one bucket."""
+    """Running total of ``count`` along ``value``; a task sorts one bucket.
+
+    A small input (``skew.is_small``) is summed by one plain window instead.
+    """
     by = names(by)
+    if not (not skew.is_small(counts) if distributed is None else distributed):
+        plain = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+        return counts.withColumn(name, F.sum(count).over(plain))
     rows = counts.withColumn("__bucket", bucket)
     offsets = skew.bucket_prefix(rows, by, "__bucket", __before=F.sum(count))
     rows = skew.join_buckets(rows, offsets, by, "__bucket")
@@ -32,6 +39,7 @@ def exact_quantiles(
     quantiles: dict[str, float],
     width: float,
     weight: str | None = None,
+    distributed: bool | None = None,
 ) -> DataFrame:
     """Linearly interpolated percentiles, one column per entry of ``quantiles``.
 
@@ -40,10 +48,18 @@ def exact_quantiles(
     ``weight`` names a column of counts when the input is already counted.
     """
     by = names(by)
+    if distributed is None:
+        distributed = not skew.is_small(df)
+    if not distributed and weight is None:
+        # Spark's exact percentile keeps a group's values in one buffer.
+        x = F.col(value).cast("double")
+        return df.where(x.isNotNull()).groupBy(*by).agg(
+            *[F.percentile(x, F.lit(float(q))).alias(n) for n, q in quantiles.items()]
+        )
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(
         (F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("__c")
     )
-    placed = running_count(counts, by, value, "__c", F.floor(F.col(value).cast("double") / width))
+    placed = running_count(counts, by, value, "__c", F.floor(F.col(value).cast("double") / width), distributed=distributed)
     sizes = counts.groupBy(*by).agg(F.sum("__c").alias("__n"))
     placed = skew.join_lookup(placed, sizes, by, "inner") if by else placed.withColumn(
         "__n", sizes.scalar()

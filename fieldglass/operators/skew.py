@@ -14,7 +14,7 @@ of the table.  The building blocks:
 * ``bucket_prefix`` running totals over ordered buckets of a key.
 * ``ordered_rank``  exact row position inside a key, no single-task sort.
 
-The count job reads only the key columns and is skipped when the whole input is
+The count job reads only the key columns and is skipped when the tables read are
 estimated below ``SMALL_BYTES``, where no key can be a burden.  Without hot keys
 the plan is the ordinary one-exchange plan.  Splitting never changes a result,
 only where rows are processed.  An expensive input that does have hot keys is
@@ -52,17 +52,21 @@ def _same(keys: Sequence[str], aliases: Sequence[str]) -> Column:
 
 
 def is_small(df: DataFrame) -> bool:
-    """Whether Spark's own size estimate of the input is below ``SMALL_BYTES``."""
-    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(estimate)) < SMALL_BYTES
+    """Whether the tables a plan reads are estimated below ``SMALL_BYTES`` in all."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    total = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return total < SMALL_BYTES
 
 
 def hot_keys(
-    df: DataFrame, by: str | Sequence[str], hot_rows: int = HOT_ROWS
+    df: DataFrame, by: str | Sequence[str], hot_rows: int | None = HOT_ROWS
 ) -> DataFrame | None:
-    """Keys with more than ``hot_rows`` rows, largest first; None if there are none."""
+    """Keys with more than ``hot_rows`` rows, largest first; None if there are none.
+
+    ``hot_rows=None`` states that groups are bounded and skips the count.
+    """
     by = names(by)
-    if not by or (hot_rows >= HOT_ROWS and is_small(df)):
+    if not by or hot_rows is None or (hot_rows >= HOT_ROWS and is_small(df)):
         return None
     counted = (
         df.groupBy(*by)

@@ -124,7 +124,7 @@ def dual_role_join(t):
     ratings = t.customer.where("c_mktsegment = 'BUILDING'").groupBy(F.col("c_nationkey").alias("k")).agg(
         F.avg("c_acctbal").alias("rating"), (F.stddev_samp("c_acctbal") / F.sqrt(F.count(F.lit(1)))).alias("se")
     )
-    out = joins.dual_role_join(_nation_pairs(t), ratings, "k", {"home": "home_id", "away": "away_id"}, ["rating", "se"])
+    out = joins.dual_role_join(_nation_pairs(t), ratings, "k", {"home": "home_id", "away": "away_id"}, ["rating", "se"], hot_rows=None)
     return out.select(
         F.col("home_id").cast("long").alias("home_id"), F.col("away_id").cast("long").alias("away_id"), "line_count", "both_available",
         rounded(F.col("home_rating") - F.col("away_rating"), 4).alias("rating_difference"),
