@@ -403,3 +403,71 @@ def test_publish_keeps_the_old_table_on_failure(world, spark, folder):
     states = publish.health(spark, folder, {"schedule": "gameday", "absent": None}).collect()
     assert {(s["table_name"], s["is_present"]) for s in states} == {("schedule", True), ("absent", False)}
     assert publish.export_tables(spark, folder, ["schedule"], folder + "/copy") == {"schedule": good.where("season = 2025").count()}
+
+
+def test_quality_suites_pass_on_clean_tables(world, market, spark):
+    from fieldglass.plans import checks, odds as odds_plan  # noqa: F401
+
+    w, m = world, market
+    flat = scans.flatten_snapshot(w["odds_raw"])
+    now = F.lit(NOW)
+    parts = forecasts.feature_contributions(m["probability"], m["fit"])
+    explained = forecasts.explanations(m["probability"])
+    scores = forecasts.game_scores(m["spread"], m["totals"], now)
+    audit = form.game_qb_audit(w["qb_features"], w["performance"])
+    played = w["schedule"].where("is_completed")
+    expected_failures = {
+        # The invented odds hold prices inside +-100 on purpose, and an unknown club.
+        "odds_load": {"invalid_american_price"}, "event_bridge": {"event_not_matched"}, "processed_odds": set(),
+    }
+    suites = {
+        "schedule": checks.processed_schedule(w["schedule"], w["schedule"]),
+        "odds_load": checks.odds_load(flat["snapshots"], flat["events"], flat["offers"]),
+        "processed_odds": checks.processed_odds(m["odds_market_outcomes"], flat["offers"]),
+        "best_odds": checks.best_odds(m["best_odds_by_line"], m["odds_market_outcomes"]),
+        "event_bridge": checks.event_bridge(m["odds_event_bridge"], flat["events"], league.TEAMS),
+        "market_board": checks.market_board(m["current_market_board"], m["best_odds_by_line"]),
+        "ratings": checks.rating_history(w["elo"], w["elo_current"], played, teams=4),
+        "efficiency": checks.team_game_efficiency(w["efficiency"], w["schedule"]),
+        "rolling": checks.rolling_features(w["rolling"], w["efficiency"]),
+        "passers": checks.qb_game_performance(w["performance"], w["schedule"], 0.5),
+        "passer_ratings": checks.qb_ratings(w["qb_history"], w["qb_current"], w["performance"]),
+        "passer_features": checks.game_qb_features(w["qb_features"], audit, w["schedule"]),
+        "dataset": checks.modeling_dataset(w["dataset"], w["schedule"]),
+        "splits": checks.modeling_splits(context.modeling_splits(w["dataset"]), w["dataset"]),
+        "rest": checks.schedule_features(w["rest"], w["schedule"]),
+        "predictions": checks.predictions(m["probability"]),
+        "explanations": checks.explanations(explained, m["probability"]),
+        "contributions": checks.contributions(parts, m["probability"]),
+        "narratives": checks.narratives(forecasts.narratives(explained, parts), m["probability"]),
+        "technical": checks.technical_view(forecasts.technical_view(m["probability"], parts), m["probability"]),
+        "spreads": checks.spread_predictions(m["spread"], m["probability"]),
+        "totals": checks.totals_predictions(m["totals"], m["probability"]),
+        "scores": checks.game_scores(scores, m["spread"], m["totals"]),
+        "totals_value": checks.totals_value(m["totals_value"], m["totals"]),
+        "board": checks.betting_board(m["board"], [m["moneyline_value"], m["spread_value"], m["totals_value"]]),
+        "reports": checks.injury_reports(w["reports"], w["status"], w["schedule"], {"raw": w["reports"].count()}),
+        "depth": checks.depth_charts(w["depth"], w["schedule"]),
+        "snaps": checks.snap_counts(w["snaps"], w["snap_counts"], w["usage"], w["directory"]),
+        "injury": checks.injury_features(w["impact"], w["burden"], w["injury"], w["schedule"]),
+    }
+    for name, suite in suites.items():
+        failed = {r["check_name"] for r in suite.where("status = 'FAIL'").collect()}
+        assert failed == expected_failures.get(name, set()), name
+
+
+def test_quality_suites_notice_faults(world, market):
+    from fieldglass.plans import checks
+
+    def failed(suite):
+        return {r["check_name"] for r in suite.where("status = 'FAIL'").collect()}
+
+    w = world
+    shifted = w["rolling"].withColumn("pregame_offensive_epa_per_play_last_4", F.col("pregame_offensive_epa_per_play_last_4") + 0.1)
+    assert failed(checks.rolling_features(shifted, w["efficiency"])) == {"incorrect_pregame_offensive_epa_per_play_last_4"}
+    twice = w["efficiency"].unionByName(w["efficiency"])
+    assert {"duplicate_game_team", "invalid_team_rows_per_game"} <= failed(checks.team_game_efficiency(twice, w["schedule"]))
+    leaky = w["rolling"].withColumn("team_win", F.lit(True))
+    assert failed(checks.rolling_features(leaky, w["efficiency"])) == {"postgame_result_column_leakage"}
+    worse = market["best_odds_by_line"].withColumn("best_decimal_odds", F.col("best_decimal_odds") + 1)
+    assert "incorrect_best_price" in failed(checks.best_odds(worse, market["odds_market_outcomes"]))
