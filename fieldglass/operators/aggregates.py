@@ -110,7 +110,7 @@ def versus_baseline(df: DataFrame, candidate: str, baseline: str, metrics: Seque
 
 
 def dist_summary(
-    df: DataFrame, by: str | Sequence[str], value: str, width: float,
+    df: DataFrame, by: str | Sequence[str], value: str,
     quantiles: Mapping[str, float] = {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95},
 ) -> DataFrame:
     """Moments, error sizes and exact percentiles of a signed value."""
@@ -123,7 +123,7 @@ def dist_summary(
         F.avg(F.abs(x)).alias("mae"),
         F.sqrt(F.avg(x * x)).alias("rmse"),
     )
-    return moments.join(exact_quantiles(df, by, value, dict(quantiles), width), by)
+    return moments.join(exact_quantiles(df, by, value, dict(quantiles)), by)
 
 
 def calibration_line(df: DataFrame, by: str | Sequence[str], y: str, x: str) -> DataFrame:
@@ -173,7 +173,7 @@ def ece(df: DataFrame, by: str | Sequence[str], p: str, y: str, bins: int = 10,
     )
 
 
-def concentration(df: DataFrame, by: str | Sequence[str], value: str, limits: Sequence[float], width: float) -> DataFrame:
+def concentration(df: DataFrame, by: str | Sequence[str], value: str, limits: Sequence[float]) -> DataFrame:
     """A10: how strongly a value piles up: counts past limits, median, maximum."""
     by = names(by)
     counts = df.groupBy(*by).agg(
@@ -181,7 +181,7 @@ def concentration(df: DataFrame, by: str | Sequence[str], value: str, limits: Se
         *[count_where(F.col(value) >= limit).alias(f"n_ge_{int(limit)}") for limit in limits],
         F.max(value).alias("max_value"),
     )
-    return counts.join(exact_quantiles(df, by, value, {"median_value": 0.5}, width), by)
+    return counts.join(exact_quantiles(df, by, value, {"median_value": 0.5}), by)
 
 
 def segment_summary(
@@ -359,7 +359,7 @@ def distribution(samples: DataFrame, by: str | Sequence[str], value: str) -> Dat
     return counts.withColumn("probability", F.col("sample_count") / total)
 
 
-def discrete_distribution(samples: DataFrame, by: str | Sequence[str], value: str, width: float = 1000.0) -> DataFrame:
+def discrete_distribution(samples: DataFrame, by: str | Sequence[str], value: str) -> DataFrame:
     """Mean, median, p10, p90, mode (lowest on ties), min and max."""
     by = names(by)
     counts = samples.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__c"))
@@ -371,7 +371,7 @@ def discrete_distribution(samples: DataFrame, by: str | Sequence[str], value: st
         F.min(value).alias("min"),
         F.max(value).alias("max"),
     )
-    points = exact_quantiles(samples, by, value, {"p10": 0.1, "median": 0.5, "p90": 0.9}, width)
+    points = exact_quantiles(samples, by, value, {"p10": 0.1, "median": 0.5, "p90": 0.9})
     return base.join(points, by)
 
 

@@ -1,26 +1,21 @@
 """As-of joins and trailing-N joins.
 
 Left and right rows are stacked and swept once in time order, so no pair of
-rows is ever formed.  For a hot key the sweep runs per (key, time bucket) and
-each bucket starts from the latest right row of the earlier buckets.
+rows is ever formed.  A hot key is swept piece by piece, each piece starting
+from the latest right row of the earlier ones.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import skew
 from .skew import HOT_ROWS, names
 
 
-def calendar_bucket(column: str) -> Column:
-    """The calendar day, the usual bucket of an event time."""
-    return F.to_date(F.col(column))
-
-
 def asof_join(
     left: DataFrame,
     right: DataFrame,
@@ -30,15 +25,13 @@ def asof_join(
     ties: Sequence[str],
     payload: Sequence[str],
     strict: bool = True,
-    bucket=calendar_bucket,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """The latest right row before each left row (at or before, if not strict).
 
     ``ties`` order right rows of one time; the last wins.  ``payload`` columns of
     the right side are added (``right_ts`` included only if listed); they are
-    null where nothing qualifies.  ``bucket`` maps the time column to a coarser,
-    non-decreasing value.
+    null where nothing qualifies.
     """
     by = names(by)
     left_cols = [c for c in left.columns if c not in by]
@@ -68,10 +61,12 @@ def asof_join(
 
     found = sweep(cold, by).select(*by, "__left", "__found")
     if hot is not None:
-        hot = hot.withColumn("__bucket", bucket("__ts"))
-        carried = skew.bucket_prefix(hot, by, "__bucket", max_right=F.max("__right"))
-        hot = skew.join_buckets(sweep(hot, [*by, "__bucket"]), carried, by, "__bucket")
-        hot = hot.select(*by, "__left", F.coalesce("__found", "max_right").alias("__found"))
+        # The hash keeps rows of one time apart, so that they can be cut too; rows
+        # of one time are then in no order, hence the greater of both candidates.
+        hot = skew.cut_in_order(hot, by, [*along, F.xxhash64("__left", "__right")])
+        carried = skew.piece_prefix(hot, by, max_right=F.max("__right"))
+        hot = skew.join_pieces(sweep(hot, [*by, "__piece"]), carried, by)
+        hot = hot.select(*by, "__left", F.greatest("__found", "max_right").alias("__found"))
         found = found.unionByName(hot)
 
     return found.select(
@@ -191,6 +186,6 @@ def trailing_n(
         history = history.withColumn("__all", F.lit(0))
     tails = _daily_tail(history, keys, day, order, value, max(sizes))
     wanted = (targets if by else targets.withColumn("__all", F.lit(0))).select(*keys, day).distinct()
-    found = asof_join(wanted, tails, keys, day, day, [], ["__tail"], bucket=lambda c: F.trunc(F.to_date(F.col(c)), "year"))
+    found = asof_join(wanted, tails, keys, day, day, [], ["__tail"], hot_rows=None)
     features = _summarise(found, "__tail", sizes, [*by, day])
     return targets.join(features, [*by, day], "left")

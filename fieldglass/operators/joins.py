@@ -276,22 +276,16 @@ def rank_in_sample(
     by: str | Sequence[str],
     value: str,
     edges: Sequence[str],
-    width: float,
 ) -> DataFrame:
     """How many sample values of a row's group lie below / up to each edge column.
 
     Adds ``<edge>_lt``, ``<edge>_le`` and ``sample_size``.  The sample becomes a
-    distinct-value count table with running totals (buckets of ``width`` bound
-    the sort) and each edge finds its place by an as-of join, so rows x sample
-    pairs are never formed.
+    distinct-value count table with running totals and each edge finds its place
+    by an as-of join, so rows x sample pairs are never formed.
     """
     by = names(by)
-
-    def coarse(column: str) -> Column:
-        return F.floor(F.col(column).cast("double") / width)
-
     counts = sample.groupBy(*by, F.col(value).alias("__r")).agg(F.count(F.lit(1)).alias("__c"))
-    counts = running_count(counts, by, "__r", "__c", coarse("__r"))
+    counts = running_count(counts, by, "__r", "__c")
     total = counts.groupBy(*by).agg(F.max("__cum").alias("sample_size"))
     side = counts.select(
         *by, "__r", F.col("__cum").alias("__upto"), (F.col("__cum") - F.col("__c")).alias("__under"),
@@ -302,7 +296,7 @@ def rank_in_sample(
         keep = out.columns
         found = asof_join(
             out.withColumn("__e", F.col(edge)), side, by, "__e", "__r", [], ["__upto", "__under", "__at"],
-            strict=False, bucket=coarse,
+            strict=False,
         )
         upto = F.coalesce(F.col("__upto"), F.lit(0))
         # A value equal to the edge is the one just found.
@@ -317,10 +311,9 @@ def empirical_probability(
     by: str | Sequence[str],
     threshold: str,
     residual: str,
-    width: float,
 ) -> DataFrame:
     """Share of a mode's residuals above, equal to and below a threshold."""
-    out = rank_in_sample(offers, residuals, by, residual, [threshold], width)
+    out = rank_in_sample(offers, residuals, by, residual, [threshold])
     n = F.nullif(F.col("sample_size"), F.lit(0))
     lt, le = F.col(f"{threshold}_lt"), F.col(f"{threshold}_le")
     return out.select(

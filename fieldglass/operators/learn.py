@@ -132,7 +132,7 @@ def fit_ridge(
 
 # -- logistic -----------------------------------------------------------------------
 
-def _training_scale(df, period, folds, features, width):
+def _training_scale(df, period, folds, features):
     """Medians, means and sds of each fold's training rows after median filling."""
     x = [F.col(f).cast("double") for f in features]
     table = df.groupBy(F.col(period).alias("p")).agg(
@@ -150,7 +150,7 @@ def _training_scale(df, period, folds, features, width):
         # Value counts, not rows, are copied to the folds.
         uses = F.array_compact(F.array(*[F.when(F.col(period) < f, F.lit(int(f))) for f in folds]))
         copies = counts.withColumn("fold", F.explode(uses))
-        found = exact_quantiles(copies, ["fold", "feature_name"], "feature_value", {"m": 0.5}, width, weight="c")
+        found = exact_quantiles(copies, ["fold", "feature_name"], "feature_value", {"m": 0.5}, weight="c")
         medians = {(r["fold"], r["feature_name"]): r["m"] for r in found.collect()}
     out = {}
     for fold in folds:
@@ -174,7 +174,6 @@ def fit_logistic(
     candidates: Sequence[Candidate],
     cs: Sequence[float],
     target: str,
-    width: float = 1.0,
     iterations: int = 30,
     tolerance: float = 1e-9,
 ) -> list[Fit]:
@@ -182,7 +181,7 @@ def fit_logistic(
 
     Missing features take the training median; features are standardised; the
     intercept is free.  One pass over the rows per Newton step serves all
-    models.  ``width`` is the value range one task may sort for the medians.
+    models.
     """
     features = _all_features(candidates)
     data = df.where(F.col(target).isNotNull()).select(
@@ -190,7 +189,7 @@ def fit_logistic(
         *[F.col(f).cast("double").alias(f) for f in features],
     ).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        scale = _training_scale(data, "__p", folds, features, width)
+        scale = _training_scale(data, "__p", folds, features)
         models = [
             (int(fold), c, float(reg), np.array([features.index(f) for f in c.features]))
             for fold in folds for c in candidates for reg in cs

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import skew
@@ -12,24 +12,25 @@ from .skew import names
 
 
 def running_count(
-    counts: DataFrame, by: str | Sequence[str], value: str, count: str, bucket: Column, name: str = "__cum",
-    distributed: bool | None = None,
+    counts: DataFrame, by: str | Sequence[str], value: str, count: str, name: str = "__cum",
+    descending: bool = False, distributed: bool | None = None,
 ) -> DataFrame:
-    """Running total of ``count`` along ``value``; a task sorts one bucket.
+    """Running total of ``count`` along distinct values of a key.
 
-    A small input (``skew.is_small``) is summed by one plain window instead.
+    A small input (``skew.is_small``) is summed by one plain window, otherwise
+    the values are cut into even pieces.
     """
     by = names(by)
-    if not (not skew.is_small(counts) if distributed is None else distributed):
-        plain = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    order = F.desc_nulls_last(value) if descending else F.asc_nulls_first(value)
+    if distributed is None:
+        distributed = not skew.is_small(counts)
+    if not distributed:
+        plain = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
         return counts.withColumn(name, F.sum(count).over(plain))
-    rows = counts.withColumn("__bucket", bucket)
-    offsets = skew.bucket_prefix(rows, by, "__bucket", __before=F.sum(count))
-    rows = skew.join_buckets(rows, offsets, by, "__bucket")
-    inside = (
-        Window.partitionBy(*by, "__bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    )
-    return rows.withColumn(name, F.col("__before") + F.sum(count).over(inside)).drop("__before", "__bucket")
+    rows = skew.cut_in_order(counts, by, [order])
+    rows = skew.join_pieces(rows, skew.piece_prefix(rows, by, __before=F.sum(count)), by)
+    inside = Window.partitionBy(*by, "__piece").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn(name, F.col("__before") + F.sum(count).over(inside)).drop("__before", "__piece")
 
 
 def exact_quantiles(
@@ -37,14 +38,13 @@ def exact_quantiles(
     by: str | Sequence[str],
     value: str,
     quantiles: dict[str, float],
-    width: float,
     weight: str | None = None,
     distributed: bool | None = None,
 ) -> DataFrame:
     """Linearly interpolated percentiles, one column per entry of ``quantiles``.
 
-    Values are first counted (map-side combined), then placed by running count
-    in buckets of ``width``, so a group's values never meet in one task.
+    Values are first counted (map-side combined), then placed by running count,
+    so a large group's values never meet in one task.
     ``weight`` names a column of counts when the input is already counted.
     """
     by = names(by)
@@ -59,7 +59,7 @@ def exact_quantiles(
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(
         (F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("__c")
     )
-    placed = running_count(counts, by, value, "__c", F.floor(F.col(value).cast("double") / width), distributed=distributed)
+    placed = running_count(counts, by, value, "__c", distributed=distributed)
     sizes = counts.groupBy(*by).agg(F.sum("__c").alias("__n"))
     placed = skew.join_lookup(placed, sizes, by, "inner") if by else placed.withColumn(
         "__n", sizes.scalar()

@@ -11,14 +11,15 @@ of the table.  The building blocks:
                     semi and anti joins (no shuffle).
 * ``attach_totals`` per-key aggregates beside every row.
 * ``join_lookup``   many-to-one join whose left side may be skewed.
-* ``bucket_prefix`` running totals over ordered buckets of a key.
+* ``cut_in_order``  hot keys as even, consecutive pieces; ``piece_prefix`` and
+                    ``join_pieces`` carry running state across them.
 * ``ordered_rank``  exact row position inside a key, no single-task sort.
 
 The count job reads only the key columns and is skipped when the tables read are
 estimated below ``SMALL_BYTES``, where no key can be a burden.  Without hot keys
 the plan is the ordinary one-exchange plan.  Splitting never changes a result,
 only where rows are processed.  An expensive input that does have hot keys is
-worth a ``session.cut_lineage`` first, because both halves read it.
+worth a ``session.land`` first, because both halves read it.
 """
 
 from __future__ import annotations
@@ -29,8 +30,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldglass.session import land
+
 #: Rows of one key that one task handles without help.
 HOT_ROWS = 2_000_000
+#: Rows of one piece of a hot key.
+PIECE_ROWS = 2_000_000
 #: Upper bound of the broadcast hot-key list.
 HOT_KEY_LIMIT = 10_000
 #: Inputs estimated below this are not examined for hot keys.
@@ -149,64 +154,59 @@ def join_lookup(
     )
 
 
-def bucket_prefix(
-    df: DataFrame,
-    by: str | Sequence[str],
-    bucket: str,
-    **parts: Column,
-) -> DataFrame:
-    """Per (key, bucket): the combination of all *earlier* buckets of the key.
+def cut_in_order(rows: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """Cut keys into consecutive pieces of about ``PIECE_ROWS`` rows along ``order``.
 
-    ``parts`` are decomposable aggregates given as ``name=F.sum(...)`` or
-    ``name=F.count(...)`` or ``name=F.max(...)``.  Counts and sums combine by
-    ``sum`` and max by ``max``, chosen by a name prefix ``max_``.  The window
-    runs over one row per bucket, so a key's group is as long as its number of
-    buckets (a calendar, not the data).
+    Adds ``__piece``, increasing along (keys, order).  Spark's range partitioner
+    samples the full sort key, so pieces stay even whatever the distribution -
+    also when one day or one value holds most rows, provided ``order`` ends in a
+    (nearly) unique column.  Its boundaries belong to one run, hence the pieces
+    are written once and read back by all later steps.
     """
-    by = names(by)
-    summary = df.groupBy(*by, bucket).agg(*[c.alias(n) for n, c in parts.items()])
-    earlier = (
-        Window.partitionBy(*by)
-        .orderBy(F.asc_nulls_first(bucket))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    count = max(1, -(-rows.count() // PIECE_ROWS))
+    sort = [F.asc_nulls_first(k) for k in by]
+    ranged = rows.repartitionByRange(count, *sort, *order).withColumn("__piece", F.spark_partition_id())
+    return land(ranged, "pieces")
+
+
+def piece_prefix(rows: DataFrame, by: Sequence[str], **parts: Column) -> DataFrame:
+    """Per (key, piece): the combination of all *earlier* pieces of the key.
+
+    ``parts`` are aggregates that combine by ``sum``, or by ``max`` where the
+    name starts with ``max_``.  The window runs over one row per piece.
+    """
+    summary = rows.groupBy(*by, "__piece").agg(*[c.alias(n) for n, c in parts.items()])
+    earlier = Window.partitionBy(*by).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
     out = []
     for name in parts:
         if name.startswith("max_"):
             out.append(F.max(name).over(earlier).alias(name))
         else:
             out.append(F.coalesce(F.sum(name).over(earlier), F.lit(0)).alias(name))
-    return summary.select(*by, bucket, *out)
+    return summary.select(*by, "__piece", *out)
 
 
-def join_buckets(df: DataFrame, summary: DataFrame, by: Sequence[str], bucket: str) -> DataFrame:
-    """Bring bucket offsets back to the rows; keys and bucket may be null."""
-    keys = [*by, bucket]
+def join_pieces(rows: DataFrame, summary: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Bring per-piece values to the rows.
+
+    There is one summary row per piece and key in it - at most the number of
+    pieces plus the number of cut keys - so it is broadcast.
+    """
+    keys = [*by, "__piece"]
     aliases = [f"__j_{i}" for i in range(len(keys))]
     side = summary.select(
         *[F.col(k).alias(a) for k, a in zip(keys, aliases)],
         *[c for c in summary.columns if c not in keys],
     )
-    return df.join(side, _same(keys, aliases), "inner").drop(*aliases)
+    return rows.join(F.broadcast(side), _same(keys, aliases), "inner").drop(*aliases)
 
 
 def ordered_rank(
-    df: DataFrame,
-    by: str | Sequence[str],
-    order: Sequence[Column],
-    bucket: Column,
-    name: str = "position",
+    df: DataFrame, by: str | Sequence[str], order: Sequence[Column], name: str = "position"
 ) -> DataFrame:
-    """1-based row position inside a key; tasks sort only one bucket each.
-
-    ``bucket`` must be non-decreasing along ``order`` (for example the calendar
-    day of an event time).
-    """
+    """1-based row position inside a key; a task sorts one piece only."""
     by = names(by)
-    rows = df.withColumn("__bucket", bucket)
-    offsets = bucket_prefix(rows, by, "__bucket", __before=F.count(F.lit(1)))
-    rows = join_buckets(rows, offsets, by, "__bucket")
-    inside = Window.partitionBy(*by, "__bucket").orderBy(*order)
-    return rows.withColumn(
-        name, F.col("__before") + F.row_number().over(inside)
-    ).drop("__before", "__bucket")
+    rows = cut_in_order(df, by, order)
+    rows = join_pieces(rows, piece_prefix(rows, by, __before=F.count(F.lit(1))), by)
+    inside = Window.partitionBy(*by, "__piece").orderBy(*order)
+    return rows.withColumn(name, F.col("__before") + F.row_number().over(inside)).drop("__before", "__piece")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from . import skew
+from .quantiles import running_count
 from .skew import HOT_ROWS, names
 
 CHUNK_ROWS = 500_000
@@ -26,7 +27,6 @@ def lookback(
     order: Sequence[str],
     columns: Callable[[WindowSpec], Mapping[str, Column]],
     reach: int,
-    bucket: Column,
     position: str = "__position",
     hot_rows: int = HOT_ROWS,
     chunk_rows: int = CHUNK_ROWS,
@@ -47,7 +47,7 @@ def lookback(
     if hot is None:
         return cold
 
-    hot = skew.ordered_rank(hot, by, sort, bucket, position)
+    hot = skew.ordered_rank(hot, by, sort, position)
     zero_based = F.col(position) - 1
     chunk = F.floor(zero_based / chunk_rows)
     last_rows = zero_based % chunk_rows >= chunk_rows - reach
@@ -70,7 +70,6 @@ def rolling_prior(
     order: Sequence[str],
     metrics: Sequence[str],
     sizes: Sequence[int],
-    bucket: Column,
     **tuning,
 ) -> DataFrame:
     """Trailing means over strictly earlier rows, with history counts."""
@@ -84,7 +83,7 @@ def rolling_prior(
                 out[f"{metric}_last_{size}"] = F.avg(metric).over(frame)
         return out
 
-    out = lookback(df, by, order, columns, max(sizes), bucket, **tuning)
+    out = lookback(df, by, order, columns, max(sizes), **tuning)
     return out.withColumn("games_before", F.col("__position") - 1).drop("__position")
 
 
@@ -95,7 +94,6 @@ def running_history(
     stamp: str,
     metric: str,
     size: int,
-    bucket: Column,
     **tuning,
 ) -> DataFrame:
     """History up to and including the row: count, lag, mean, day gap."""
@@ -108,7 +106,7 @@ def running_history(
             "day_gap": F.datediff(F.col(stamp), before).cast("long"),
         }
 
-    out = lookback(df, by, order, columns, size, bucket, **tuning)
+    out = lookback(df, by, order, columns, size, **tuning)
     return out.withColumnRenamed("__position", "rows_so_far")
 
 
@@ -183,26 +181,29 @@ def newest_snapshot(
 def global_rank(
     df: DataFrame,
     value: str,
-    bucket: Column,
     name: str,
     descending: bool = True,
     ties: Sequence[str] = (),
+    distributed: bool | None = None,
 ) -> DataFrame:
     """W6 over a whole table: ``rank`` with ties, or a dense order with ``ties``.
 
-    ``bucket`` is non-decreasing in ``value``; a task sorts one bucket, the
-    offsets come from one row per bucket.
+    A small table is ranked by one window.  Otherwise the order is cut into
+    pieces; for ``rank`` only distinct values are ordered and joined back.
     """
-    sign = -1 if descending else 1
-    rows = df.withColumn("__bucket", sign * bucket).withColumn("__all", F.lit(0))
-    offsets = skew.bucket_prefix(rows, "__all", "__bucket", __before=F.count(F.lit(1)))
-    rows = skew.join_buckets(rows, offsets, ["__all"], "__bucket")
     first = F.desc_nulls_last(value) if descending else F.asc_nulls_last(value)
-    inside = Window.partitionBy("__bucket").orderBy(first, *ties)
-    position = F.row_number() if ties else F.rank()
-    return rows.withColumn(name, F.col("__before") + position.over(inside)).drop(
-        "__before", "__bucket", "__all"
-    )
+    if distributed is None:
+        distributed = not skew.is_small(df)
+    if not distributed:
+        position = F.row_number() if ties else F.rank()
+        return df.withColumn(name, position.over(Window.orderBy(first, *ties)).cast("long"))
+    if ties:
+        return skew.ordered_rank(df, [], [first, *[F.asc_nulls_first(t) for t in ties]], name)
+    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("__c"))
+    placed = running_count(counts, [], value, "__c", descending=descending, distributed=True)
+    placed = placed.select(value, (F.col("__cum") - F.col("__c") + 1).alias(name))
+    known = df.agg(F.count(value)).scalar()
+    return skew.join_lookup(df, placed, value, "left").withColumn(name, F.coalesce(name, known + 1))
 
 
 def rank_summary(df: DataFrame, value: str, name: str, ties: Sequence[str] = ()) -> DataFrame:
@@ -217,38 +218,35 @@ def max_drawdown(
     by: str | Sequence[str],
     order: Sequence[str],
     value: str,
-    bucket: Column,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Total and largest fall of the running sum below its peak (from 0).
 
-    Each (key, bucket) is reduced to four numbers - its sum, highest and lowest
-    running value and inner fall - which combine exactly across buckets; no
-    task sees a whole key.
+    A key, or a piece of a hot key, is reduced to four numbers - its sum, highest
+    and lowest running value and inner fall - which combine exactly.
     """
     by = names(by)
-    rows = df.withColumn("__bucket", bucket)
-    inside = Window.partitionBy(*by, "__bucket").orderBy(*order)
-    rows = rows.withColumn("__run", F.sum(value).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn(
-        "__fall",
-        F.max("__run").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__run"),
-    )
-    parts = rows.groupBy(*by, "__bucket").agg(
+    sort = [F.asc_nulls_first(c) for c in order]
+    cold, hot = skew.split_hot(df, by, hot_rows)
+    rows = cold.withColumn("__piece", F.lit(0))
+    if hot is not None:
+        rows = rows.unionByName(skew.cut_in_order(hot, by, sort))
+    inside = Window.partitionBy(*by, "__piece").orderBy(*sort).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("__run", F.sum(value).over(inside))
+    rows = rows.withColumn("__fall", F.max("__run").over(inside) - F.col("__run"))
+    parts = rows.groupBy(*by, "__piece").agg(
         F.sum(value).alias("__sum"),
         F.max("__run").alias("__high"),
         F.min("__run").alias("__low"),
         F.max("__fall").alias("__fall"),
         F.count(F.lit(1)).alias("__n"),
     )
-    along = Window.partitionBy(*by).orderBy("__bucket")
-    earlier = along.rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("__start", F.coalesce(F.sum("__sum").over(earlier), F.lit(0.0)))
-    parts = parts.withColumn(
-        "__peak",
-        F.greatest(F.coalesce(F.max(F.col("__start") + F.col("__high")).over(earlier), F.lit(0.0)), F.lit(0.0)),
-    )
+    earlier = Window.partitionBy(*by).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("__start", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)))
+    before = F.coalesce(F.max(F.col("__start") + F.col("__high")).over(earlier), F.lit(0))
+    parts = parts.withColumn("__peak", F.greatest(before, F.lit(0)))
     deepest = F.greatest(
-        F.col("__fall"), F.col("__peak") - (F.col("__start") + F.col("__low")), F.lit(0.0)
+        F.col("__fall"), F.col("__peak") - (F.col("__start") + F.col("__low")), F.lit(0)
     )
     return parts.groupBy(*by).agg(
         F.sum("__n").alias("row_count"),

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from fieldglass.functions import scalars
 from fieldglass.operators import aggregates, asof, joins, windows
-from fieldglass.operators.asof import calendar_bucket
 from fieldglass.plans import reference_values as ref
 
 SCHEDULE_KEYS = ["game_id", "season", "game_type", "week", "gameday"]
@@ -91,9 +90,8 @@ def snap_share_history(snaps: DataFrame) -> DataFrame:
             return out
         return columns
 
-    bucket = calendar_bucket("gameday")
-    rows = windows.lookback(snaps, "player_key", ["gameday", "game_id", "team"], level("career"), long, bucket, position="career_appearance_count")
-    rows = windows.lookback(rows, ["player_key", "team"], ["gameday", "game_id"], level("team"), long, bucket, position="team_appearance_count")
+    rows = windows.lookback(snaps, "player_key", ["gameday", "game_id", "team"], level("career"), long, position="career_appearance_count")
+    rows = windows.lookback(rows, ["player_key", "team"], ["gameday", "game_id"], level("team"), long, position="team_appearance_count")
     return rows.withColumns({
         f"days_since_previous_{p}_appearance": F.datediff("gameday", F.col(f"previous_{p}_gameday")) for p in ("career", "team")
     } | {"available_after_gameday": F.col("gameday")})

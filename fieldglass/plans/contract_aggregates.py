@@ -97,7 +97,7 @@ SELECT ship_year, count(*) AS n, round(avg(residual), 3) AS mean, round(stddev_s
 FROM e GROUP BY ALL
 """)
 def dist_summary(t):
-    out = aggregates.dist_summary(_estimates(t), "ship_year", "residual", width=1000.0)
+    out = aggregates.dist_summary(_estimates(t), "ship_year", "residual")
     digits = {c: 3 for c in ("mean", "sd", "mae", "rmse")} | {c: 4 for c in ("p05", "p25", "p50", "p75", "p95")}
     return out.withColumns({c: rounded(c, d) for c, d in digits.items()})
 
@@ -358,7 +358,7 @@ FROM lineitem GROUP BY ALL
 def concentration(t):
     label = scalars.bucket_label(F.col("l_discount"), scalars.PROBABILITY_STEPS, "VERY_HIGH", inclusive=False)
     rows = t.lineitem.select(label.alias("bucket"), "l_quantity")
-    return aggregates.concentration(rows, "bucket", "l_quantity", [10, 20], width=10.0)
+    return aggregates.concentration(rows, "bucket", "l_quantity", [10, 20])
 
 
 @query("feature_drift", """

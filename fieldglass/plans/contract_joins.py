@@ -245,7 +245,7 @@ def empirical_probability(t):
     scaled = F.floor(F.col("o_totalprice") / 500)
     offers = t.orders.select("o_orderkey", "o_orderpriority", scaled.alias("line"))
     bank = t.orders.select("o_orderpriority", scaled.alias("residual"))
-    out = joins.empirical_probability(offers, bank, "o_orderpriority", "line", "residual", width=50.0)
+    out = joins.empirical_probability(offers, bank, "o_orderpriority", "line", "residual")
     shares = {c: rounded(c, 9) for c in ("share_above", "share_equal", "share_below")}
     return out.drop("line", "o_orderpriority").withColumns(shares)
 
@@ -260,8 +260,8 @@ def compare_ratings(t):
     revenue = t.lineitem.groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.sum(cents("l_extendedprice")).alias("revenue"))
     balance = t.supplier.select("s_suppkey", cents("s_acctbal").alias("balance"))
     rows = joins.compare_ratings(balance, revenue, "s_suppkey", "balance", "revenue")
-    rows = windows.global_rank(rows, "balance", F.floor(F.col("balance") / 10_000), "balance_rank")
-    rows = windows.global_rank(rows, "revenue", F.floor(F.col("revenue") / 100_000_000), "revenue_rank")
+    rows = windows.global_rank(rows, "balance", "balance_rank")
+    rows = windows.global_rank(rows, "revenue", "revenue_rank")
     return rows.select("s_suppkey", "balance_rank", "revenue_rank", rounded("z_gap").alias("z_gap"))
 
 
@@ -393,19 +393,15 @@ SELECT CAST(year(o_orderdate) AS VARCHAR) AS snapshot_id, CAST(l_orderkey AS VAR
 FROM lineitem JOIN orders ON o_orderkey = l_orderkey
 """)
 def snapshot_flatten(t):
-    # Each order becomes a nested event as text, which is then read back with
-    # the snapshot shape; an order's lines are few.
-    line = F.struct(
-        F.col("l_suppkey").cast("string").alias("key"),
-        F.array(F.struct(
-            F.col("l_returnflag").alias("key"),
-            F.array(F.struct(F.col("l_partkey").cast("string").alias("name"), F.col("l_quantity").alias("price"), F.col("l_discount").alias("point"))).alias("outcomes"),
-        )).alias("markets"),
-    )
-    books = t.lineitem.groupBy("l_orderkey").agg(F.collect_list(line).alias("bookmakers"))
+    # Each line becomes a nested one-offer event as text, which is then read
+    # back with the snapshot shape.
+    outcome = F.struct(F.col("l_partkey").cast("string").alias("name"), F.col("l_quantity").alias("price"), F.col("l_discount").alias("point"))
+    market = F.struct(F.col("l_returnflag").alias("key"), F.array(outcome).alias("outcomes"))
+    book = F.struct(F.col("l_suppkey").cast("string").alias("key"), F.array(market).alias("markets"))
+    event = F.struct(F.col("l_orderkey").cast("string").alias("id"), F.array(book).alias("bookmakers"))
+    lines = t.lineitem.select("l_orderkey", F.to_json(F.struct(F.array(event).alias("events"))).alias("body"))
     orders = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), F.year("o_orderdate").cast("string").alias("snapshot_id"))
-    event = F.struct(F.col("l_orderkey").cast("string").alias("id"), "bookmakers")
-    text = books.join(orders, "l_orderkey").select("snapshot_id", F.to_json(F.struct(F.array(event).alias("events"))).alias("body"))
+    text = skew.join_lookup(lines, orders, "l_orderkey", "inner")
     parsed = text.select("snapshot_id", F.from_json("body", scans.SNAPSHOT_SCHEMA).alias("s")).select(
         "snapshot_id", "s.metadata", "s.events", F.lit(None).cast("string").alias("source_file")
     )
@@ -520,7 +516,8 @@ def recommended(t):
         F.trunc(F.to_date("l_shipdate"), "month").alias("period"),
         F.round(F.col("l_discount") * 100).cast("long").alias("edge"), F.round(F.col("l_tax") * 100).cast("long").alias("ev"),
         F.col("l_quantity").cast("long").alias("books"),
-    ).join(orders, "l_orderkey")
+    )
+    board = skew.join_lookup(board, orders, "l_orderkey", "inner")
     board = scalars.before_event(board, "l_shipdate", ["o_orderdate"])
     board = topk.next_period(board, "l_shipdate", "period", F.lit("1998-06-15").cast("timestamp_ntz"))
     status = scalars.classify_rules([

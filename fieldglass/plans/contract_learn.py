@@ -186,7 +186,7 @@ _FOLDS = [10, 12, 14, 16, 18]
 def logistic_grid(t):
     rows = _labelled(t)
     candidates = learn.ablation(_FEATURES)
-    fits = learn.fit_logistic(rows, "period", _FOLDS, candidates, [0.1, 1.0], "quality", width=0.5)
+    fits = learn.fit_logistic(rows, "period", _FOLDS, candidates, [0.1, 1.0], "quality")
     results = learn.backtest_logistic(rows, fits, "period", "quality")
     return learn.pooled(results, ["brier", "log_loss"])
 
@@ -194,7 +194,7 @@ def logistic_grid(t):
 @query("calibrators")
 def calibrators(t):
     rows = _labelled(t)
-    fits = learn.fit_logistic(rows, "period", _FOLDS, [learn.Candidate("full", _FEATURES)], [1.0], "quality", width=0.5)
+    fits = learn.fit_logistic(rows, "period", _FOLDS, [learn.Candidate("full", _FEATURES)], [1.0], "quality")
     oof = learn.oof_predict(rows, fits, "period", ["doc_id", "quality"], logistic=True)
     apply = learn.fit_calibrators(oof, "prediction", "quality")
     return apply(oof).select("doc_id", "fold", "prediction", "sigmoid", "isotonic")
@@ -219,6 +219,6 @@ def evaluate_holdout(t):
 def governance_report(t):
     rows = _labelled(t)
     candidates = [learn.Candidate("full", _FEATURES), learn.Candidate("length", ("log_chars",))]
-    fits = learn.fit_logistic(rows, "period", _FOLDS, candidates, [1.0], "quality", width=0.5)
+    fits = learn.fit_logistic(rows, "period", _FOLDS, candidates, [1.0], "quality")
     results = learn.backtest_logistic(rows, fits, "period", "quality")
     return learn.governance_report(results, "length")["scorecard"]

@@ -243,7 +243,8 @@ SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey FROM
 """)
 def before_event(t):
     orders = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate")
-    rows = t.lineitem.select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), "l_partkey", "l_shipdate").join(orders, "l_orderkey")
+    rows = t.lineitem.select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), "l_partkey", "l_shipdate")
+    rows = skew.join_lookup(rows, orders, "l_orderkey", "inner")
     return scalars.before_event(rows, "l_shipdate", ["o_orderdate"]).select("l_orderkey", "l_linenumber", "l_partkey")
 
 

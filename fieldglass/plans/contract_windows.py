@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldglass.operators import asof, joins, skew, topk, windows
-from fieldglass.operators.asof import calendar_bucket
 from fieldglass.plans.registry import cents, query, rounded
 
 
@@ -64,7 +63,7 @@ WINDOW w4 AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWE
 def rolling_prior(t):
     rows = t.orders.select("o_custkey", "o_orderkey", "o_orderdate", cents("o_totalprice").alias("price"))
     out = windows.rolling_prior(
-        rows, "o_custkey", ["o_orderdate", "o_orderkey"], ["price"], [4, 8], calendar_bucket("o_orderdate")
+        rows, "o_custkey", ["o_orderdate", "o_orderkey"], ["price"], [4, 8]
     )
     return out.drop("o_orderdate", "price")
 
@@ -80,7 +79,7 @@ FROM x WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
 """)
 def running_history(t):
     rows = t.events.select("user_id", "event_id", "ts", cents("value").alias("amount"))
-    return windows.running_history(rows, "user_id", ["ts", "event_id"], "ts", "amount", 4, calendar_bucket("ts"))
+    return windows.running_history(rows, "user_id", ["ts", "event_id"], "ts", "amount", 4)
 
 
 @query("latest_per_key", """
@@ -128,9 +127,8 @@ FROM customer
 """)
 def rank_whole_table(t):
     rows = t.customer.select("c_custkey", F.floor(F.col("c_acctbal") / 100).alias("balance"))
-    bucket = F.floor(F.col("balance") / 5)
-    rows = windows.global_rank(rows, "balance", bucket, "balance_rank")
-    return windows.global_rank(rows, "balance", bucket, "balance_order", ties=["c_custkey"])
+    rows = windows.global_rank(rows, "balance", "balance_rank")
+    return windows.global_rank(rows, "balance", "balance_order", ties=["c_custkey"])
 
 
 @query("max_drawdown", """
@@ -146,7 +144,7 @@ FROM p GROUP BY user_id
 """)
 def max_drawdown(t):
     rows = t.events.select("user_id", "ts", "event_id", (cents("value") - 4000).alias("profit"))
-    out = windows.max_drawdown(rows, "user_id", ["ts", "event_id"], "profit", calendar_bucket("ts"))
+    out = windows.max_drawdown(rows, "user_id", ["ts", "event_id"], "profit")
     return out.withColumns({c: F.col(c).cast("long") for c in ("total", "max_drawdown")})
 
 

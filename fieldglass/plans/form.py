@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from fieldglass.functions import scalars
 from fieldglass.operators import aggregates, joins, skew, windows
-from fieldglass.operators.asof import calendar_bucket
 from fieldglass.plans.reference_values import FORM_METRICS, FORM_WINDOWS, FRANCHISES, PASSER_HALF_LIFE_DAYS, PASSER_PRIOR
 
 EXCLUDED = ["qb_kneel", "qb_spike", "aborted_play", "two_point_attempt", "special_teams_play"]
@@ -87,7 +86,7 @@ def rolling_team_features(efficiency: DataFrame) -> DataFrame:
     """Means over the team's last 4 and 8 earlier games of the season."""
     keep = ["game_id", "season", "season_type", "week", "game_date", "team", "opponent", "is_home"]
     rows = efficiency.select(*keep, *FORM_METRICS)
-    out = windows.rolling_prior(rows, ["team", "season"], ["game_date", "game_id"], FORM_METRICS, FORM_WINDOWS, calendar_bucket("game_date"))
+    out = windows.rolling_prior(rows, ["team", "season"], ["game_date", "game_id"], FORM_METRICS, FORM_WINDOWS)
     short, long = FORM_WINDOWS
     names = {f"{m}_last_{n}": f"pregame_{m}_last_{n}" for m in FORM_METRICS for n in FORM_WINDOWS}
     names |= {"games_before": "season_games_played_before", f"games_last_{short}": "short_window_games", f"games_last_{long}": "long_window_games"}
@@ -211,7 +210,7 @@ def current_qb_ratings(performance: DataFrame, rolling: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("games_played"), F.sum("dropbacks").alias("career_dropbacks"),
     )
     rows = rated.join(played, "qb_id").withColumn("days_since_last_game", F.datediff("as_of_date", "last_game_date"))
-    return windows.global_rank(rows, "qb_rating", F.floor(F.col("qb_rating") / 5), "qb_rank", ties=["qb_id"])
+    return windows.global_rank(rows, "qb_rating", "qb_rank", ties=["qb_id"])
 
 
 def game_qb_features(schedule: DataFrame, performance: DataFrame, history: DataFrame) -> DataFrame:

@@ -81,7 +81,7 @@ def historical_summary(ledger: DataFrame) -> DataFrame:
     }
     sums = aggregates.multi_scope(ledger, [["market_key"], ["market_key", "edge_bucket"]], {"ALL_ROWS": F.lit(True)}, measures).drop("scope")
     both = ledger.withColumn("edge_bucket", F.explode(F.array(F.col("edge_bucket"), F.lit("ALL"))))
-    falls = windows.max_drawdown(both, ["market_key", "edge_bucket"], ["season", "game_id"], "profit_per_unit", F.col("season"))
+    falls = windows.max_drawdown(both, ["market_key", "edge_bucket"], ["season", "game_id"], "profit_per_unit")
     out = sums.join(falls.select("market_key", "edge_bucket", F.col("max_drawdown").alias("maximum_drawdown_units")), ["market_key", "edge_bucket"])
     return out.withColumn("win_rate_excluding_pushes", aggregates.ratio(F.col("win_count"), F.col("win_count") + F.col("loss_count")))
 
@@ -222,6 +222,6 @@ def forward_performance(ledger: DataFrame) -> DataFrame:
         "sample_scope", F.explode(F.array_compact(F.array(F.lit("ALL_TRACKED"), F.lit("SETTLED_ONLY"), F.when(clv, F.lit("CLV_ELIGIBLE")))))
     ).select("__t.*", "sample_scope", "commence_time", F.col("game_id").alias("__g"), F.col("market_key").alias("__m"), F.col("outcome_type").alias("__o"), "profit_units")
     falls = windows.max_drawdown(
-        paid, ["season", "week", "market_key", "sample_scope"], ["commence_time", "__g", "__m", "__o"], "profit_units", F.to_date("commence_time")
+        paid, ["season", "week", "market_key", "sample_scope"], ["commence_time", "__g", "__m", "__o"], "profit_units"
     ).select("season", "week", "market_key", "sample_scope", F.col("max_drawdown").alias("maximum_drawdown_units"))
     return joins.complete_left(rows, falls, ["season", "week", "market_key", "sample_scope"], ["maximum_drawdown_units"])

@@ -136,7 +136,7 @@ def moneyline_value(board: DataFrame, predictions: DataFrame) -> DataFrame:
     return _with_value(rows, F.col("model_probability"), F.lit(0.0), 1.0 - F.col("model_probability"), False)
 
 
-def spread_value(board: DataFrame, predictions: DataFrame, residuals: DataFrame, width: float = 1.0) -> DataFrame:
+def spread_value(board: DataFrame, predictions: DataFrame, residuals: DataFrame) -> DataFrame:
     """Spread offers priced on the residual bank of their prediction mode.
 
     A simulated home margin is rint(prediction + residual).  Whether it beats a
@@ -152,7 +152,7 @@ def spread_value(board: DataFrame, predictions: DataFrame, residuals: DataFrame,
     rows = rows.withColumn("__up", F.col("__above") - F.lit(0.5) - F.col("predicted_home_margin"))
     rows = rows.withColumn("__down", F.col("__below") + F.lit(0.5) - F.col("predicted_home_margin"))
     bank = residuals.select("prediction_mode", F.col("residual_home_margin").cast("double").alias("__res"))
-    rows = joins.rank_in_sample(rows, bank, "prediction_mode", "__res", ["__up", "__down"], width)
+    rows = joins.rank_in_sample(rows, bank, "prediction_mode", "__res", ["__up", "__down"])
     n = F.col("sample_size")
     # Half-even rounding: x.5 goes to the even neighbour.
     over = n - F.when(F.col("__above") % 2 == 0, F.col("__up_lt")).otherwise(F.col("__up_le"))
@@ -173,7 +173,7 @@ def spread_value(board: DataFrame, predictions: DataFrame, residuals: DataFrame,
     return out.withColumn("fair_decimal_odds", checked).drop(*[c for c in out.columns if c.startswith("__")])
 
 
-def totals_value(board: DataFrame, predictions: DataFrame, residuals: DataFrame, width: float = 1.0) -> DataFrame:
+def totals_value(board: DataFrame, predictions: DataFrame, residuals: DataFrame) -> DataFrame:
     """Totals offers; only lines quoted on both sides count.
 
     Win and loss compare strictly while a push accepts a small tolerance, as
@@ -189,7 +189,7 @@ def totals_value(board: DataFrame, predictions: DataFrame, residuals: DataFrame,
     slack = F.lit(1e-9) + F.lit(1e-5) * F.abs(F.col("__t"))
     rows = rows.withColumn("__lo", F.col("__t") - slack).withColumn("__hi", F.col("__t") + slack)
     bank = residuals.select("prediction_mode", F.col("residual_total_points").cast("double").alias("__res"))
-    rows = joins.rank_in_sample(rows, bank, "prediction_mode", "__res", ["__t", "__lo", "__hi"], width)
+    rows = joins.rank_in_sample(rows, bank, "prediction_mode", "__res", ["__t", "__lo", "__hi"])
     n = F.coalesce(F.nullif(F.col("sample_size"), F.lit(0)), F.raise_error(F.lit("no residuals of the prediction mode")).cast("long"))
     over = F.col("outcome_type") == "over"
     above, below = n - F.col("__t_le"), F.col("__t_lt")

@@ -201,7 +201,7 @@ def standings(summary: DataFrame) -> DataFrame:
 
 # -- D12 ------------------------------------------------------------------------
 
-def dispersion_summary(df: DataFrame, by: str | Sequence[str], actual: str, predicted: str, width: float = 1.0) -> DataFrame:
+def dispersion_summary(df: DataFrame, by: str | Sequence[str], actual: str, predicted: str) -> DataFrame:
     """Spread and calibration of predictions against outcomes, per model layer."""
     by = skew.names(by)
     rows = df.where(F.col(actual).isNotNull() & F.col(predicted).isNotNull())
@@ -214,7 +214,7 @@ def dispersion_summary(df: DataFrame, by: str | Sequence[str], actual: str, pred
     )
     out = line.join(moments, by)
     for column, name in ((actual, "actual"), (predicted, "prediction")):
-        out = out.join(exact_quantiles(rows, by, column, {f"{name}_p10": 0.1, f"{name}_p90": 0.9}, width), by)
+        out = out.join(exact_quantiles(rows, by, column, {f"{name}_p10": 0.1, f"{name}_p90": 0.9}), by)
     return out
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -67,3 +68,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def land(df: DataFrame, label: str) -> DataFrame:
+    """Write rows once to the shared folder and go on from there.
+
+    Cuts the lineage like a checkpoint, but stays columnar, so later readers
+    fetch only the columns they use.
+    """
+    spark = df.sparkSession
+    location = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(location)
+    return spark.read.schema(df.schema).parquet(location)

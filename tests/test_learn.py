@@ -72,7 +72,7 @@ def test_logistic_matches_mllib(frame):
 def test_logistic_fills_the_training_median(spark, frame):
     period, x, _, label = data()
     rows = frame.withColumn("a", F.when(F.col("id") % 5 != 0, F.col("a")))
-    fit = learn.fit_logistic(rows, "p", [2021, 2022], [learn.Candidate("m", ("a", "b"))], [1.0], "label", width=0.5)
+    fit = learn.fit_logistic(rows, "p", [2021, 2022], [learn.Candidate("m", ("a", "b"))], [1.0], "label")
     for f in fit:
         use = (period < f.fold) & (np.arange(len(period)) % 5 != 0)
         assert f.fill[0] == pytest.approx(np.median(x[use, 0]))

@@ -94,7 +94,7 @@ def test_uncovered_pairs_fail(spark):
 
 def test_gap_fill_extends_to_bounds(spark):
     df = spark.createDataFrame([("t", 2, 5), ("t", 4, 6)], "k string, w int, v int")
-    rows = reshape.fill_periods(df, "k", "w", F.lit(1).cast("int"), F.lit(5).cast("int")) if False else reshape.fill_periods(df, "k", "w", F.min(F.lit(1)), F.max(F.lit(5)))
+    rows = reshape.fill_periods(df, "k", "w", F.min(F.lit(1)), F.max(F.lit(5)))
     assert sorted((r["w"], r["v"], r["is_gap"]) for r in rows.collect()) == [(1, None, True), (2, 5, False), (3, None, True), (4, 6, False), (5, None, True)]
 
 

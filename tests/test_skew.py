@@ -15,7 +15,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldglass.operators import asof, joins, quantiles, skew, windows
-from fieldglass.operators.asof import calendar_bucket
 
 
 def make_rows(n=400, seed=3):
@@ -39,6 +38,12 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, "k string, id long, ts timestamp_ntz, x long").repartition(5).cache()
 
 
+@pytest.fixture(autouse=True)
+def many_pieces(monkeypatch):
+    """Hot keys are cut into many small pieces."""
+    monkeypatch.setattr(skew, "PIECE_ROWS", 13)
+
+
 def same(a, b):
     cols = sorted(a.columns)
     left = sorted(map(str, (tuple(r) for r in a.select(*cols).collect())))
@@ -77,7 +82,7 @@ def test_join_lookup(spark, frame, how):
 
 
 def test_ordered_rank(frame, rows):
-    got = {r["id"]: r["p"] for r in skew.ordered_rank(frame, "k", [F.col("ts"), F.col("id")], calendar_bucket("ts"), "p").collect()}
+    got = {r["id"]: r["p"] for r in skew.ordered_rank(frame, "k", [F.col("ts"), F.col("id")], "p").collect()}
     for key in ("hot", "a", None):
         mine = sorted((r[2], r[1]) for r in rows if r[0] == key)
         assert [got[i] for _, i in mine] == list(range(1, len(mine) + 1))
@@ -85,12 +90,12 @@ def test_ordered_rank(frame, rows):
 
 @pytest.mark.parametrize("chunk", [7, 20, 1000])
 def test_rolling_prior(frame, chunk):
-    run = lambda hot: windows.rolling_prior(frame, "k", ["ts", "id"], ["x"], [3, 7], calendar_bucket("ts"), hot_rows=hot, chunk_rows=chunk)
+    run = lambda hot: windows.rolling_prior(frame, "k", ["ts", "id"], ["x"], [3, 7], hot_rows=hot, chunk_rows=chunk)
     same(run(20), run(10**9))
 
 
 def test_rolling_prior_by_hand(frame, rows):
-    got = {r["id"]: r for r in windows.rolling_prior(frame, "k", ["ts", "id"], ["x"], [3], calendar_bucket("ts"), hot_rows=20, chunk_rows=10).collect()}
+    got = {r["id"]: r for r in windows.rolling_prior(frame, "k", ["ts", "id"], ["x"], [3], hot_rows=20, chunk_rows=10).collect()}
     mine = sorted((r for r in rows if r[0] == "hot"), key=lambda r: (r[2], r[1]))
     for i, r in enumerate(mine):
         past = [q[3] for q in mine[max(0, i - 3):i]]
@@ -100,12 +105,13 @@ def test_rolling_prior_by_hand(frame, rows):
 
 
 def test_running_history(frame):
-    run = lambda hot: windows.running_history(frame, "k", ["ts", "id"], "ts", "x", 4, calendar_bucket("ts"), hot_rows=hot, chunk_rows=9)
+    run = lambda hot: windows.running_history(frame, "k", ["ts", "id"], "ts", "x", 4, hot_rows=hot, chunk_rows=9)
     same(run(20), run(10**9))
 
 
-def test_max_drawdown(frame, rows):
-    got = {r["k"]: r for r in windows.max_drawdown(frame, "k", ["ts", "id"], "x", calendar_bucket("ts")).collect()}
+@pytest.mark.parametrize("hot", [20, 10**9])
+def test_max_drawdown(frame, rows, hot):
+    got = {r["k"]: r for r in windows.max_drawdown(frame, "k", ["ts", "id"], "x", hot_rows=hot).collect()}
     for key in ("hot", "a", "b", "c", None):
         run, peak, worst = 0, 0, 0
         for r in sorted((r for r in rows if r[0] == key), key=lambda r: (r[2], r[1])):
@@ -174,15 +180,16 @@ def test_trailing_n_for_days_without_events(spark):
 @pytest.mark.parametrize("distributed", [True, False])
 def test_exact_quantiles(frame, rows, distributed):
     qs = {"p05": 0.05, "p50": 0.5, "p90": 0.9}
-    for row in quantiles.exact_quantiles(frame, "k", "x", qs, width=7.0, distributed=distributed).collect():
+    for row in quantiles.exact_quantiles(frame, "k", "x", qs, distributed=distributed).collect():
         values = [r[3] for r in rows if r[0] == row["k"]]
         for name, q in qs.items():
             assert row[name] == pytest.approx(np.quantile(values, q))
 
 
-def test_global_rank(frame, rows):
-    got = {r["id"]: (r["a"], r["b"]) for r in windows.global_rank(
-        windows.global_rank(frame, "x", F.floor(F.col("x") / 10), "a"), "x", F.floor(F.col("x") / 10), "b", ties=["id"]).collect()}
+@pytest.mark.parametrize("distributed", [True, False])
+def test_global_rank(frame, rows, distributed):
+    ranked = windows.global_rank(frame, "x", "a", distributed=distributed)
+    got = {r["id"]: (r["a"], r["b"]) for r in windows.global_rank(ranked, "x", "b", ties=["id"], distributed=distributed).collect()}
     ordered = sorted(rows, key=lambda r: (-r[3], r[1]))
     for place, r in enumerate(ordered, start=1):
         assert got[r[1]] == (1 + sum(q[3] > r[3] for q in rows), place)
@@ -192,7 +199,7 @@ def test_global_rank(frame, rows):
 def test_sample_rank(frame, rows, monkeypatch, small):
     monkeypatch.setattr(skew, "SMALL_BYTES", small)
     offers = frame.where("id % 3 = 0").select("k", "id", (F.col("x") + F.lit(0.5) * (F.col("id") % 2)).alias("t"))
-    got = {r["id"]: r for r in joins.empirical_probability(offers, frame.select("k", F.col("x").cast("double").alias("r")), "k", "t", "r", width=9.0).where("k IS NOT NULL").collect()}
+    got = {r["id"]: r for r in joins.empirical_probability(offers, frame.select("k", F.col("x").cast("double").alias("r")), "k", "t", "r").where("k IS NOT NULL").collect()}
     for i, row in got.items():
         sample = np.array([r[3] for r in rows if r[0] == row["k"]])
         assert row["share_above"] == pytest.approx((sample > row["t"]).mean())
@@ -201,7 +208,7 @@ def test_sample_rank(frame, rows, monkeypatch, small):
 
 
 def test_order_and_partitions_do_not_matter(frame):
-    run = lambda df: windows.rolling_prior(df, "k", ["ts", "id"], ["x"], [4], calendar_bucket("ts"), hot_rows=30, chunk_rows=11)
+    run = lambda df: windows.rolling_prior(df, "k", ["ts", "id"], ["x"], [4], hot_rows=30, chunk_rows=11)
     same(run(frame.repartition(1).orderBy("x")), run(frame.repartition(9)))
 
 
@@ -224,3 +231,17 @@ def test_join_either_pairs_once(spark):
     right = spark.createDataFrame([("x", "a", "b"), ("y", "c", "a")], "n string, u string, v string")
     got = sorted((r["i"], r["n"]) for r in joins.join_either(left, ["p", "q"], right, ["u", "v"]).collect())
     assert got == [(1, "x"), (1, "y"), (2, "x"), (2, "y")]
+
+
+def test_one_moment_can_be_cut(spark):
+    """A third of all rows at one time of one key still spreads over pieces."""
+    moment = datetime(2024, 1, 1)
+    rows = [("hot", moment, i) for i in range(120)] + [("hot", moment + timedelta(days=i), 1000 + i) for i in range(1, 40)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp_ntz, id long")
+    pieces = skew.cut_in_order(df, ["k"], [F.col("ts"), F.col("id")])
+    sizes = [r["count"] for r in pieces.groupBy("__piece").count().collect()]
+    assert len(sizes) > 8 and max(sizes) < 60
+    left = df.select("k", "id", "ts")
+    right = df.where("id % 2 = 0").select("k", F.col("id").alias("rid"), F.col("ts").alias("rts"))
+    for strict in (True, False):
+        same(*[asof.asof_join(left, right, "k", "ts", "rts", ["rid"], ["rid"], strict=strict, hot_rows=hot) for hot in (10, 10**9)])
