@@ -153,9 +153,14 @@ def edge_strength(probability: Column) -> Column:
     )
 
 
-def local_date(instant: Column, zone: str) -> Column:
-    """Calendar date of a UTC instant in a zone, whatever the session zone."""
-    return F.convert_timezone(F.lit("UTC"), F.lit(zone), instant.cast("timestamp_ntz")).cast("date")
+def local_date(instant: Column, zone: str, source: str | None = "UTC") -> Column:
+    """Calendar date of an instant in a zone.
+
+    ``source`` is the zone of a zone-less column; ``None`` is for a true instant
+    (``timestamp``), which Spark renders in the session zone first.
+    """
+    origin = None if source is None else F.lit(source)
+    return F.convert_timezone(origin, F.lit(zone), instant.cast("timestamp_ntz")).cast("date")
 
 
 # -- prices -------------------------------------------------------------------

@@ -102,11 +102,15 @@ def weighted_summary(
 
 
 def versus_baseline(df: DataFrame, candidate: str, baseline: str, metrics: Sequence[str]) -> DataFrame:
-    """``delta_<metric>`` against the baseline candidate of a small report table."""
-    base = df.where(F.col(candidate) == baseline)
-    return df.select(
-        "*", *[(F.col(m) - base.select(m).scalar()).alias(f"delta_{m}") for m in metrics]
-    )
+    """``delta_<metric>`` against the baseline candidate of a report table.
+
+    A report has one row per candidate, so an unpartitioned window is bounded
+    and the table behind it is computed once.
+    """
+    whole = Window.partitionBy()
+    return df.select("*", *[
+        (F.col(m) - F.max(F.when(F.col(candidate) == baseline, F.col(m))).over(whole)).alias(f"delta_{m}") for m in metrics
+    ])
 
 
 def dist_summary(

@@ -241,19 +241,24 @@ def match_audit(df: DataFrame, other: DataFrame, on: Sequence[str], pairs: Mappi
     )
 
 
-def z_score(df: DataFrame, value: str, name: str) -> DataFrame:
-    """Population z-score over a whole table; the moments are scalar subqueries."""
-    mean = df.agg(F.avg(value)).scalar()
-    sd = df.agg(F.stddev_pop(value)).scalar()
-    return df.withColumn(name, (F.col(value) - mean) / F.nullif(sd, F.lit(0.0)))
+def z_scores(df: DataFrame, values: Sequence[str]) -> DataFrame:
+    """Population z-scores ``<value>_z`` over a whole table.
+
+    All moments come from one aggregate, read as one scalar subquery.
+    """
+    moments = df.agg(F.struct(*[
+        c for i, v in enumerate(values) for c in (F.avg(v).alias(f"m{i}"), F.stddev_pop(v).alias(f"s{i}"))
+    ])).scalar()
+    return df.withColumns({
+        f"{v}_z": (F.col(v) - moments[f"m{i}"]) / F.nullif(moments[f"s{i}"], F.lit(0.0)) for i, v in enumerate(values)
+    })
 
 
 def compare_ratings(
     a: DataFrame, b: DataFrame, on: str, a_value: str, b_value: str
 ) -> DataFrame:
     """Z-score gap of two rating sources on their common entities."""
-    joined = a.select(on, a_value).join(b.select(on, b_value), on)
-    joined = z_score(z_score(joined, a_value, f"{a_value}_z"), b_value, f"{b_value}_z")
+    joined = z_scores(a.select(on, a_value).join(b.select(on, b_value), on), [a_value, b_value])
     return joined.withColumn("z_gap", F.col(f"{a_value}_z") - F.col(f"{b_value}_z"))
 
 

@@ -42,11 +42,18 @@ def require_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df
 
 
-def row_checks(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
-    """One pass over the table, one output row per rule."""
-    wide = df.agg(*[F.count(F.when(bad, 1)).alias(name) for name, bad in rules.items()])
+def row_checks(df: DataFrame, rules: Mapping[str, Column], **counts: Column) -> DataFrame:
+    """One pass over the table, one output row per rule.
+
+    ``rules`` mark bad rows; ``counts`` are further aggregates that give an
+    issue count directly.
+    """
+    wide = df.agg(
+        *[F.count(F.when(bad, 1)).alias(name) for name, bad in rules.items()],
+        *[c.cast("long").alias(name) for name, c in counts.items()],
+    )
     items = F.array(*[
-        F.struct(F.lit(n).alias("check_name"), F.col(n).cast("long").alias("issue_count")) for n in rules
+        F.struct(F.lit(n).alias("check_name"), F.col(n).cast("long").alias("issue_count")) for n in [*rules, *counts]
     ])
     return wide.select(F.explode(items).alias("__i")).select("__i.check_name", "__i.issue_count")
 
@@ -77,20 +84,15 @@ def sum_check(df: DataFrame, by: Sequence[str], value: str, name: str, tolerance
 def quality_report(df: DataFrame, rules: Rules) -> DataFrame:
     """Q2 / Q3: ``(check_name, issue_count, severity, status)`` rows."""
     require_columns(df, rules.columns)
-    row_rules = dict(rules.rows)
+    counts = {}
+    if rules.not_empty or rules.row_count is not None:
+        n = F.count(F.lit(1))
+        counts["row_count"] = (n == 0) if rules.row_count is None else (n != rules.row_count)
     parts = []
-    if row_rules:
-        parts.append(row_checks(df, row_rules))
+    if rules.rows or counts:
+        parts.append(row_checks(df, rules.rows, **counts))
     if rules.key:
         parts.append(key_check(df, rules.key))
-    if rules.not_empty or rules.row_count is not None:
-        n = F.count(F.lit(1))
-        wrong = (n == 0) if rules.row_count is None else (n != rules.row_count)
-        parts.append(
-            df.agg(wrong.cast("long").alias("issue_count")).select(
-                F.lit("row_count").alias("check_name"), "issue_count"
-            )
-        )
     for name, (other, on) in rules.references.items():
         parts.append(reference_check(df, other, on, name))
     if rules.sums_to_one:

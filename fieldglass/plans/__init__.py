@@ -1,6 +1,8 @@
 """Contract queries and domain pipelines."""
 
-from fieldglass.plans import contract_aggregates, contract_joins, contract_learn, contract_scalars, contract_windows  # noqa: F401
+from fieldglass.plans import (  # noqa: F401
+    contract_aggregates, contract_joins, contract_learn, contract_pipelines, contract_scalars, contract_windows,
+)
 from fieldglass.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

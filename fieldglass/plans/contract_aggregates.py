@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldglass.functions import scalars
-from fieldglass.operators import aggregates, joins, quality, reshape, skew
+from fieldglass.operators import aggregates, quality, reshape, skew
 from fieldglass.plans.registry import cents, query, rounded
 
 

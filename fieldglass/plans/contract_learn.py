@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fieldglass.operators import aggregates, bootstrap, joins, learn, ratings, skew, windows
+from fieldglass.operators import aggregates, bootstrap, learn, ratings, skew, windows
 from fieldglass.plans.contract_aggregates import _losses
 from fieldglass.plans.registry import cents, query, rounded
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldglass.functions import scalars
-from fieldglass.operators import aggregates, joins, skew
+from fieldglass.operators import skew
 from fieldglass.plans.registry import cents, query, rounded
 
 

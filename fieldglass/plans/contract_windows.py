@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fieldglass.operators import asof, joins, skew, topk, windows
+from fieldglass.operators import asof, joins, topk, windows
 from fieldglass.plans.registry import cents, query, rounded
 
 

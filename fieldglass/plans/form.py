@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldglass.functions import scalars
-from fieldglass.operators import aggregates, joins, skew, windows
+from fieldglass.operators import aggregates, joins, windows
 from fieldglass.plans.reference_values import FORM_METRICS, FORM_WINDOWS, FRANCHISES, PASSER_HALF_LIFE_DAYS, PASSER_PRIOR
 
 EXCLUDED = ["qb_kneel", "qb_spike", "aborted_play", "two_point_attempt", "special_teams_play"]

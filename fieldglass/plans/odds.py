@@ -63,7 +63,7 @@ def event_bridge(events: DataFrame, schedule: DataFrame, teams: Mapping[str, str
     unknown = F.lit(None).cast("string")
     mapped = events.select(
         "snapshot_id", F.col("event_id").alias("odds_event_id"), "commence_time",
-        scalars.local_date(F.col("commence_time"), GAME_ZONE).alias("eastern_game_date"),
+        scalars.local_date(F.col("commence_time"), GAME_ZONE, None).alias("eastern_game_date"),
         F.col("home_team").alias("odds_home_team"), F.col("away_team").alias("odds_away_team"),
         scalars.map_codes(F.col("home_team"), teams, unmapped=unknown).alias("home_team_code"),
         scalars.map_codes(F.col("away_team"), teams, unmapped=unknown).alias("away_team_code"),

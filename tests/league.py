@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import itertools
-import random
 from datetime import date, datetime, timedelta
 
 TEAMS = {"Arizona Cardinals": "ARI", "Buffalo Bills": "BUF", "Chicago Bears": "CHI", "Dallas Cowboys": "DAL"}

@@ -45,6 +45,8 @@ def test_local_date_ignores_the_session_zone(spark):
     try:
         ts = F.lit("2025-09-08 00:20:00").cast("timestamp_ntz")
         assert str(one(spark, d=scalars.local_date(ts, "America/New_York"))["d"]) == "2025-09-07"
+        instant = F.lit("2025-09-08T00:20:00Z").cast("timestamp")
+        assert str(one(spark, d=scalars.local_date(instant, "America/New_York", None))["d"]) == "2025-09-07"
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
