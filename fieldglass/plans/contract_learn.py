@@ -34,38 +34,48 @@ def _matches(t, part: str):
     )
 
 
-def _matches_sql(part: str) -> str:
+_ONE_SETTING = "SELECT 0 AS pid, 20.0::DOUBLE AS k, 48.0::DOUBLE AS adv, 0.6::DOUBLE AS ret"
+
+
+def _ratings_cte(part: str, settings: str = _ONE_SETTING) -> str:
+    """The rating recursion in SQL, one step per round, for each parameter row.
+
+    ``m`` are the matches, ``st`` the rating of every nation after each step.
+    """
     number = "year(o_orderdate) * 12 + month(o_orderdate)" if part == "month" else "year(o_orderdate)"
-    season = "(round - 1) // 12" if part == "month" else "round // 2"
+    season = "(h.round - 1) // 12" if part == "month" else "h.round // 2"
+    regressed = "CASE WHEN r.before IS NOT NULL AND r.before <> r.season THEN 1500 + ({0}.rating - 1500) * g.ret ELSE {0}.rating END"
     return f"""
-WITH RECURSIVE v AS (
+WITH RECURSIVE g AS ({settings}), v AS (
   SELECT c_mktsegment, CAST({number} AS BIGINT) AS round, CAST(c_nationkey AS BIGINT) AS nation, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS v
   FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL
 ), s AS (SELECT *, (nation + round * 5) % 25 AS slot FROM v), m AS (
-  SELECT h.c_mktsegment, h.round, h.slot AS pair, {season.replace('round', 'h.round')} AS season, h.nation AS home, a.nation AS away,
-    CASE WHEN h.v > a.v THEN 1.0::DOUBLE WHEN h.v < a.v THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS score, CASE WHEN h.round % 6 = 0 THEN 0.0::DOUBLE ELSE 48.0::DOUBLE END AS adv
+  SELECT h.c_mktsegment, h.round, h.slot AS pair, {season} AS season, h.nation AS home, a.nation AS away, h.round % 6 = 0 AS neutral,
+    CASE WHEN h.v > a.v THEN 1.0::DOUBLE WHEN h.v < a.v THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS score
   FROM s h JOIN s a ON h.c_mktsegment = a.c_mktsegment AND h.round = a.round AND a.slot = h.slot + 12 WHERE h.slot < 12
 ), rounds AS (SELECT c_mktsegment, round, season, row_number() OVER (PARTITION BY c_mktsegment ORDER BY round) AS step, lag(season) OVER (PARTITION BY c_mktsegment ORDER BY round) AS before
   FROM (SELECT DISTINCT c_mktsegment, round, season FROM m)
 ), side AS (
-  SELECT c_mktsegment, round, home AS nation, away AS opp, true AS is_home, score, adv FROM m UNION ALL SELECT c_mktsegment, round, away, home, false, score, adv FROM m
+  SELECT c_mktsegment, round, home AS nation, true AS is_home, score FROM m UNION ALL SELECT c_mktsegment, round, away, false, score FROM m
 ), st AS (
-  SELECT DISTINCT c_mktsegment, 0::BIGINT AS step, nation, 1500.0::DOUBLE AS rating FROM v
+  SELECT DISTINCT g.pid, c_mktsegment, 0::BIGINT AS step, nation, 1500.0::DOUBLE AS rating FROM v, g
   UNION ALL
-  SELECT n.c_mktsegment, n.step, n.nation, n.pre + CASE WHEN d.nation IS NULL THEN 0 WHEN d.is_home THEN 20 * (d.score - p.home_p) ELSE -20 * (d.score - p.home_p) END
+  SELECT n.pid, n.c_mktsegment, n.step, n.nation, n.pre + CASE WHEN d.nation IS NULL THEN 0 WHEN d.is_home THEN n.k * (d.score - p.home_p) ELSE -n.k * (d.score - p.home_p) END
   FROM (
-    SELECT st.c_mktsegment, r.step, st.nation, r.round, CASE WHEN r.before IS NOT NULL AND r.before <> r.season THEN 1500 + (st.rating - 1500) * 0.6 ELSE st.rating END AS pre
-    FROM st JOIN rounds r ON r.c_mktsegment = st.c_mktsegment AND r.step = st.step + 1
+    SELECT st.pid, g.k, st.c_mktsegment, r.step, st.nation, r.round, {regressed.format("st")} AS pre
+    FROM st JOIN rounds r ON r.c_mktsegment = st.c_mktsegment AND r.step = st.step + 1 JOIN g ON g.pid = st.pid
   ) n LEFT JOIN side d ON d.c_mktsegment = n.c_mktsegment AND d.round = n.round AND d.nation = n.nation
   LEFT JOIN (
-    SELECT m.c_mktsegment, m.round, m.home, m.away,
-      1 / (1 + pow(10, ((CASE WHEN r.before IS NOT NULL AND r.before <> r.season THEN 1500 + (b.rating - 1500) * 0.6 ELSE b.rating END)
-        - ((CASE WHEN r.before IS NOT NULL AND r.before <> r.season THEN 1500 + (a.rating - 1500) * 0.6 ELSE a.rating END) + m.adv)) / 400)) AS home_p
+    SELECT g.pid, m.c_mktsegment, m.round, m.home, m.away,
+      1 / (1 + pow(10, (({regressed.format("b")}) - (({regressed.format("a")}) + CASE WHEN m.neutral THEN 0 ELSE g.adv END)) / 400)) AS home_p
     FROM m JOIN rounds r ON r.c_mktsegment = m.c_mktsegment AND r.round = m.round
     JOIN st a ON a.c_mktsegment = m.c_mktsegment AND a.nation = m.home AND a.step = r.step - 1
-    JOIN st b ON b.c_mktsegment = m.c_mktsegment AND b.nation = m.away AND b.step = r.step - 1
-  ) p ON p.c_mktsegment = n.c_mktsegment AND p.round = n.round AND n.nation IN (p.home, p.away)
-)
+    JOIN st b ON b.c_mktsegment = m.c_mktsegment AND b.nation = m.away AND b.step = r.step - 1 AND b.pid = a.pid JOIN g ON g.pid = a.pid
+  ) p ON p.pid = n.pid AND p.c_mktsegment = n.c_mktsegment AND p.round = n.round AND n.nation IN (p.home, p.away)
+)"""
+
+
+_POST = """
 SELECT m.c_mktsegment, m.round, m.home AS home_team, m.away AS away_team, round(h.rating, 6) AS home_rating_post, round(a.rating, 6) AS away_rating_post
 FROM m JOIN rounds r ON r.c_mktsegment = m.c_mktsegment AND r.round = m.round
 JOIN st h ON h.c_mktsegment = m.c_mktsegment AND h.nation = m.home AND h.step = r.step JOIN st a ON a.c_mktsegment = m.c_mktsegment AND a.nation = m.away AND a.step = r.step
@@ -80,24 +90,44 @@ def _rated(frame):
     return frame.select(*_RATED, rounded("home_rating_post").alias("home_rating_post"), rounded("away_rating_post").alias("away_rating_post"))
 
 
-@query("pairwise_ratings", _matches_sql("month"))
+@query("pairwise_ratings", _ratings_cte("month") + _POST)
 def pairwise_ratings(t):
     return _rated(ratings.pairwise_ratings(_matches(t, "month"), "c_mktsegment", ["round", "pair"], cfg=_CFG, keep=["round"]))
 
 
-@query("ratings_by_round", _matches_sql("year"))
+@query("ratings_by_round", _ratings_cte("year") + _POST)
 def ratings_by_round(t):
     return _rated(ratings.ratings_by_round(_matches(t, "year"), "c_mktsegment", "round", cfg=_CFG))
 
 
-@query("tune_ratings")
+_TUNED = {"ks": (15.0, 30.0), "advantages": (35.0, 55.0), "retentions": (0.4, 0.8)}
+
+
+@query("tune_ratings", _ratings_cte("month", """
+  SELECT row_number() OVER () AS pid, k, adv, ret FROM (SELECT unnest([15.0, 30.0])::DOUBLE AS k), (SELECT unnest([35.0, 55.0])::DOUBLE AS adv), (SELECT unnest([0.4, 0.8])::DOUBLE AS ret)
+""") + """, f AS (
+  SELECT g.k, g.adv, g.ret, CASE WHEN m.season <= 1999 THEN 'DEVELOPMENT' ELSE 'VALIDATION' END AS period, m.score AS y,
+    1 / (1 + pow(10, ((CASE WHEN r.before <> r.season THEN 1500 + (b.rating - 1500) * g.ret ELSE b.rating END)
+      - ((CASE WHEN r.before <> r.season THEN 1500 + (a.rating - 1500) * g.ret ELSE a.rating END) + CASE WHEN m.neutral THEN 0 ELSE g.adv END)) / 400)) AS p
+  FROM m JOIN rounds r ON r.c_mktsegment = m.c_mktsegment AND r.round = m.round
+  JOIN st a ON a.c_mktsegment = m.c_mktsegment AND a.nation = m.home AND a.step = r.step - 1
+  JOIN st b ON b.c_mktsegment = m.c_mktsegment AND b.nation = m.away AND b.step = r.step - 1 AND b.pid = a.pid JOIN g ON g.pid = a.pid WHERE m.score <> 0.5
+)
+SELECT k, adv AS advantage, ret AS retention, period, count(*) AS n, round(avg((p - y) * (p - y)), 6) AS brier, round(avg(-(y * ln(p) + (1 - y) * ln(1 - p))), 6) AS log_loss,
+  round(avg(CASE WHEN (p >= 0.5) = (y = 1) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS accuracy FROM f GROUP BY ALL
+""")
 def tune_ratings(t):
-    grid = ratings.rating_grid((15.0, 20.0, 30.0), (35.0, 55.0), (0.4, 0.6, 0.8))
     split = F.when(F.col("season") <= 1999, "DEVELOPMENT").otherwise("VALIDATION")
-    return ratings.tune_ratings(_matches(t, "month"), "c_mktsegment", ["round", "pair"], grid, split)
+    out = ratings.tune_ratings(_matches(t, "month"), "c_mktsegment", ["round", "pair"], ratings.rating_grid(**_TUNED), split)
+    return out.withColumns({c: rounded(c) for c in ("brier", "log_loss", "accuracy")})
 
 
-@query("current_ratings")
+@query("current_ratings", _ratings_cte("month") + """, p AS (
+  SELECT c_mktsegment, home AS nation, round, season FROM m UNION ALL SELECT c_mktsegment, away, round, season FROM m
+), c AS (SELECT c_mktsegment, nation, max(round) AS round, count(*) AS games_played, max(season) AS last_season FROM p GROUP BY ALL)
+SELECT c.c_mktsegment, c.nation AS entity, round(st.rating, 6) AS rating, games_played, last_season, row_number() OVER (PARTITION BY c.c_mktsegment ORDER BY st.rating DESC, c.nation) AS rating_rank
+FROM c JOIN rounds r ON r.c_mktsegment = c.c_mktsegment AND r.round = c.round JOIN st ON st.c_mktsegment = c.c_mktsegment AND st.nation = c.nation AND st.step = r.step
+""")
 def current_ratings(t):
     history = ratings.pairwise_ratings(_matches(t, "month"), "c_mktsegment", ["round", "pair"], cfg=_CFG, keep=["round", "pair"])
     current = ratings.current_ratings(history, "c_mktsegment", ["round", "pair"])
@@ -182,6 +212,49 @@ _FEATURES = ("log_chars", "digit_share", "word_length", "is_english")
 _FOLDS = [10, 12, 14, 16, 18]
 
 
+_NEWTON = """
+WITH RECURSIVE d AS (
+  SELECT d.doc_id, CAST(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT) AS period, ln(1 + n_chars) AS x, CAST(quality AS DOUBLE) AS y FROM documents d JOIN labels l ON l.doc_id = d.doc_id
+), f AS (SELECT unnest([10, 12, 14, 16, 18])::BIGINT AS fold), c AS (SELECT unnest([0.1, 1.0])::DOUBLE AS c),
+s AS (SELECT fold, avg(x) AS m, stddev_pop(x) AS sd FROM d JOIN f ON d.period < f.fold GROUP BY fold),
+z AS (SELECT s.fold, c.c, (d.x - s.m) / s.sd AS z, d.y FROM d JOIN s ON d.period < s.fold, c),
+b AS (
+  SELECT fold, c, 0 AS step, 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1 FROM f, c
+  UNION ALL
+  SELECT fold, c, step + 1, b0 - (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b1 - (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) FROM (
+    SELECT b.fold, b.c, b.step, b.b0, b.b1, b.c * sum(p - y) AS g0, b.c * sum((p - y) * z) + b.b1 AS g1,
+      b.c * sum(p * (1 - p)) AS h00, b.c * sum(p * (1 - p) * z) AS h01, b.c * sum(p * (1 - p) * z * z) + 1 AS h11
+    FROM (SELECT b.*, z.z, z.y, 1 / (1 + exp(-(b.b0 + b.b1 * z.z))) AS p FROM b JOIN z ON z.fold = b.fold AND z.c = b.c WHERE b.step < 12) b GROUP BY b.fold, b.c, b.step, b.b0, b.b1
+  )
+)"""
+
+
+def _length_fits(t):
+    rows = _labelled(t)
+    return rows, learn.fit_logistic(rows, "period", _FOLDS, [learn.Candidate("length", ("log_chars",))], [0.1, 1.0], "quality")
+
+
+@query("fit_logistic", _NEWTON + """
+SELECT 'length' AS candidate, b.c AS setting, b.fold, 'log_chars' AS feature_name, round(b1, 6) AS coefficient, round(m, 6) AS train_mean, round(sd, 6) AS train_sd FROM b JOIN s USING (fold) WHERE step = 12
+""")
+def fit_logistic(t):
+    out = learn.coefficients(t.spark, _length_fits(t)[1])
+    return out.withColumns({c: rounded(c) for c in ("coefficient", "train_mean", "train_sd")})
+
+
+@query("backtest_logistic", _NEWTON + """, p AS (
+  SELECT b.c, b.fold, d.y, 1 / (1 + exp(-(b0 + b1 * (d.x - m) / sd))) AS p FROM b JOIN s USING (fold) JOIN d ON d.period = b.fold WHERE step = 12
+)
+SELECT 'length' AS candidate, c AS setting, fold, count(*) AS n, round(avg((p - y) * (p - y)), 6) AS brier,
+  round(avg(-(y * ln(least(greatest(p, 1e-6), 1 - 1e-6)) + (1 - y) * ln(1 - least(greatest(p, 1e-6), 1 - 1e-6)))), 6) AS log_loss,
+  round(avg(CASE WHEN (p >= 0.5) = (y = 1) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS accuracy FROM p GROUP BY ALL
+""")
+def backtest_logistic(t):
+    rows, fits = _length_fits(t)
+    out = learn.backtest_logistic(rows, fits, "period", "quality")
+    return out.withColumns({c: rounded(c) for c in ("brier", "log_loss", "accuracy")})
+
+
 @query("logistic_grid")
 def logistic_grid(t):
     rows = _labelled(t)
