@@ -53,8 +53,9 @@ def exact_quantiles(
     if not distributed and weight is None:
         # Spark's exact percentile keeps a group's values in one buffer.
         x = F.col(value).cast("double")
-        return df.where(x.isNotNull()).groupBy(*by).agg(
-            *[F.percentile(x, F.lit(float(q))).alias(n) for n, q in quantiles.items()]
+        points = F.percentile(x, F.array(*[F.lit(float(q)) for q in quantiles.values()]))
+        return df.where(x.isNotNull()).groupBy(*by).agg(points.alias("__q")).select(
+            *by, *[F.col("__q")[i].alias(n) for i, n in enumerate(quantiles)]
         )
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(
         (F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("__c")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from fieldglass.functions import scalars
 from fieldglass.operators import aggregates, joins, reshape, skew, topk, windows
 from fieldglass.plans.registry import cents, query, rounded
+from fieldglass.session import spread
 from fieldglass.sources import publish, scans
 
 
@@ -399,7 +400,7 @@ def snapshot_flatten(t):
     market = F.struct(F.col("l_returnflag").alias("key"), F.array(outcome).alias("outcomes"))
     book = F.struct(F.col("l_suppkey").cast("string").alias("key"), F.array(market).alias("markets"))
     event = F.struct(F.col("l_orderkey").cast("string").alias("id"), F.array(book).alias("bookmakers"))
-    lines = t.lineitem.select("l_orderkey", F.to_json(F.struct(F.array(event).alias("events"))).alias("body"))
+    lines = spread(t.lineitem).select("l_orderkey", F.to_json(F.struct(F.array(event).alias("events"))).alias("body"))
     orders = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), F.year("o_orderdate").cast("string").alias("snapshot_id"))
     text = skew.join_lookup(lines, orders, "l_orderkey", "inner")
     parsed = text.select("snapshot_id", F.from_json("body", scans.SNAPSHOT_SCHEMA).alias("s")).select(

@@ -12,6 +12,7 @@ from fieldglass.functions import scalars
 from fieldglass.operators import skew
 from fieldglass.plans import context, form, market_history, odds
 from fieldglass.plans.registry import query, rounded
+from fieldglass.session import land, spread
 
 
 def _text(prefix: str, column):
@@ -51,7 +52,7 @@ def odds_pipeline(t):
     snapshots = t.orders.groupBy(year.alias("snapshot_id")).agg(F.max("o_orderdate").alias("fetched_at"))
     sides = events.select("snapshot_id", "event_id", F.col("event_id").cast("long").alias("l_orderkey"), "home_team", "away_team")
     flag, q = F.col("l_returnflag"), F.col("l_quantity")
-    lines = skew.join_lookup(t.lineitem.select("l_orderkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"), sides, "l_orderkey", "inner")
+    lines = skew.join_lookup(spread(t.lineitem).select("l_orderkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"), sides, "l_orderkey", "inner")
     offers = lines.select(
         "snapshot_id", "event_id", _text("B", F.col("l_suppkey")).alias("bookmaker_key"), F.lit(None).cast("string").alias("bookmaker_title"),
         F.lit(None).cast("timestamp").alias("bookmaker_last_update"), scalars.map_codes(flag, {"R": "h2h", "A": "spreads"}, unmapped=F.lit("totals")).alias("market_key"),
@@ -74,7 +75,7 @@ def _plays(t):
         F.col("o_orderkey").alias("l_orderkey"), F.year("o_orderdate").cast("int").alias("season"), F.month("o_orderdate").alias("week"), F.to_date("o_orderdate").alias("game_date"),
         _text("H", F.col("o_custkey") % 20).alias("home_team"), _text("A", F.col("o_custkey") % 17).alias("away_team"),
     )
-    lines = skew.join_lookup(t.lineitem, games, "l_orderkey", "inner")
+    lines = skew.join_lookup(spread(t.lineitem), games, "l_orderkey", "inner")
     home = F.col("l_linenumber") % 2 == 1
     flag, q = F.col("l_returnflag"), F.col("l_quantity").cast("int")
     one = lambda test: test.cast("int")
@@ -151,9 +152,11 @@ SELECT a.game_id, a.team, a.qb AS qb_id, round(pd.n, 4) AS pregame_effective_dro
 FROM a JOIN pd ON pd.qb = a.qb AND pd.day = a.game_date JOIN m ON m.day = a.game_date
 """)
 def passer_ratings(t):
-    plays, results = _plays(t), _results(t)
-    rolling = form.rolling_team_features(form.team_game_efficiency(plays, results))
-    history = form.qb_rating_history(form.qb_game_performance(plays, results), rolling)
+    # As in production, each stage is a table of its own.
+    plays, results = land(_plays(t), "plays"), _results(t)
+    rolling = land(form.rolling_team_features(form.team_game_efficiency(plays, results)), "rolling")
+    performance = land(form.qb_game_performance(plays, results), "passers")
+    history = form.qb_rating_history(performance, rolling)
     return history.select(
         "game_id", "team", "qb_id", rounded("pregame_effective_dropbacks", 4).alias("pregame_effective_dropbacks"), rounded("pregame_qb_rating", 4).alias("pregame_qb_rating"),
         rounded("pregame_rating_standard_error").alias("pregame_rating_standard_error"),
@@ -220,7 +223,7 @@ FROM d GROUP BY ALL
 """)
 def market_ledger(t):
     key, who = F.col("o_orderkey"), F.col("o_custkey")
-    games = t.orders.select(
+    games = spread(t.orders).select(
         key.cast("string").alias("game_id"), F.year("o_orderdate").alias("season"), (key % 41 - who % 38).cast("double").alias("actual_home_margin"), (key % 41 + who % 38).cast("double").alias("actual_total"),
         (F.lit(0.3) + (key % 40) / 100).alias("home_win_probability"), (F.lit(0.35) + (who % 30) / 100).alias("home_market_probability_close"), F.lit(0.5).alias("home_market_probability_open"),
         ((who % 15).cast("double") - 7.5).alias("home_line_close"), F.lit(-1.0).alias("home_line_open"), F.lit(-110.0).alias("home_line_close_price"), F.lit(105.0).alias("away_line_close_price"),
@@ -257,7 +260,7 @@ def market_movement(t):
     spreads, opened = F.col("l_returnflag") == "A", F.col("l_linestatus") == "O"
     key = F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
     nothing = F.lit(None).cast("string")
-    archive = t.lineitem.select(
+    archive = spread(t.lineitem).select(
         F.sha2(key, 256).alias("archive_key"), F.lit("run").alias("refresh_run_id"), F.lit("s").alias("snapshot_id"), F.col("l_shipdate").alias("fetched_at"), F.col("l_shipdate").alias("archived_at"),
         (F.col("l_shipdate") + F.expr("INTERVAL 400 DAYS")).alias("commence_time"), F.col("l_partkey").cast("string").alias("game_id"), F.year("l_shipdate").alias("season"), F.month("l_shipdate").alias("week"),
         nothing.alias("home_team"), nothing.alias("away_team"), F.when(spreads, "spreads").otherwise("totals").alias("market_key"), nothing.alias("market_name"), nothing.alias("outcome_name"),

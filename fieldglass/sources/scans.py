@@ -77,13 +77,13 @@ def flatten_snapshot(df: DataFrame) -> dict[str, DataFrame]:
     snapshots = df.select(
         "snapshot_id", "metadata.*", F.size("events").alias("event_count"), "source_file"
     )
-    events = df.select("snapshot_id", "metadata.fetched_at", F.explode("events").alias("e"))
+    events = df.select("snapshot_id", F.explode("events").alias("e"))
     event_rows = events.select(
         "snapshot_id", F.col("e.id").alias("event_id"), "e.sport_key", "e.sport_title",
         "e.commence_time", "e.home_team", "e.away_team",
     )
-    books = events.select("snapshot_id", "fetched_at", "e.id", F.explode("e.bookmakers").alias("b"))
-    markets = books.select("snapshot_id", "fetched_at", "id", "b.key", "b.title", "b.last_update", F.explode("b.markets").alias("m"))
+    books = events.select("snapshot_id", "e.id", F.explode("e.bookmakers").alias("b"))
+    markets = books.select("snapshot_id", "id", "b.key", "b.title", "b.last_update", F.explode("b.markets").alias("m"))
     offers = markets.select(
         "snapshot_id", F.col("id").alias("event_id"), F.col("key").alias("bookmaker_key"),
         F.col("title").alias("bookmaker_title"), F.col("last_update").alias("bookmaker_last_update"),
