@@ -134,7 +134,8 @@ def ratings_by_round(
     state = spark.createDataFrame([], entity.add("rating", "double"))
     out = list(dict.fromkeys([*chain, cols.game, cols.season, round_col, cols.home, cols.away, *keep]))
     # One pass lays the games out by round, so each step reads its round only.
-    games.write.partitionBy(round_col).parquet(f"{folder}/games")
+    # The range order keeps a round in few files and splits a large one.
+    games.repartitionByRange(F.col(round_col), F.col(cols.home)).write.partitionBy(round_col).parquet(f"{folder}/games")
     landed = spark.read.schema(games.schema).parquet(f"{folder}/games")
     previous = None
     for step, (season, number) in enumerate(calendar):

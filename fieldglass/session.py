@@ -47,8 +47,8 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
-    Only where ``spark.checkpoint.dir`` is unset (tests on one machine) is a
-    temporary folder made, and set as the session's checkpoint directory.
+    A temporary folder is made, and set as the checkpoint directory, only in
+    local mode (tests on one machine); a cluster must name one.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -56,6 +56,8 @@ def shared_folder(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     fresh = tempfile.mkdtemp(prefix="fieldglass-")
     spark.sparkContext.setCheckpointDir(fresh)
     return fresh

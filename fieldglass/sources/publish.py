@@ -85,8 +85,13 @@ def archive_keys(df: DataFrame, columns: Sequence[str], name: str = "archive_key
 
 
 def archive_new(new: DataFrame, archive: DataFrame, key: str = "archive_key") -> DataFrame:
-    """Unseen rows of an archive; the archive side carries only its key."""
-    return new.join(archive.select(key).distinct(), key, "left_anti")
+    """Unseen rows of an archive.
+
+    The archive is first reduced to the keys of the batch (a small batch is
+    broadcast, so the archive is scanned but never shuffled).
+    """
+    seen = archive.select(key).join(new.select(key).distinct(), key, "left_semi").distinct()
+    return new.join(seen, key, "left_anti")
 
 
 def archive_conflicts(new: DataFrame, archive: DataFrame, key: str, payload: Sequence[str]) -> DataFrame:
