@@ -18,7 +18,7 @@ WITH x AS (
   FROM x
 )
 SELECT l_partkey, l_suppkey AS best_l_suppkey, l_orderkey AS best_l_orderkey, CAST(l_linenumber AS BIGINT) AS best_l_linenumber,
-  round(unit_price, 6) AS best_unit_price, n AS offer_count, round(a, 4) AS average_unit_price, round(lo, 6) AS minimum_unit_price
+  round(unit_price, 9) AS best_unit_price, n AS offer_count, round(a, 4) AS average_unit_price, round(lo, 9) AS minimum_unit_price
 FROM y WHERE rn = 1
 """)
 def best_with_consensus(t):
@@ -29,9 +29,9 @@ def best_with_consensus(t):
     keys = ["l_suppkey", "l_orderkey", "l_linenumber"]
     best = windows.best_with_consensus(rows, "l_partkey", "unit_price", keys, keys)
     return best.withColumns({
-        "best_unit_price": rounded("best_unit_price"),
+        "best_unit_price": rounded("best_unit_price", 9),
         "average_unit_price": rounded("average_unit_price", 4),
-        "minimum_unit_price": rounded("minimum_unit_price"),
+        "minimum_unit_price": rounded("minimum_unit_price", 9),
     })
 
 
