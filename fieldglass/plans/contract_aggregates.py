@@ -479,7 +479,7 @@ def edge_bucket(t):
 WITH x AS (
   SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, l_discount * 8 AS w, l_tax / 2 AS u, 1 - l_discount * 8 - l_tax / 2 AS z, 1.5 + l_quantity / 50 AS odds, 0.3 + l_tax AS m FROM lineitem
 )
-SELECT l_orderkey, l_linenumber, l_partkey, round(w / (w + z) - m, 6) AS edge, CASE WHEN w > 0 THEN round((w + z) / w, 6) END AS fair_odds, round(w * (odds - 1) - z, 6) AS expected_value,
+SELECT l_orderkey, l_linenumber, l_partkey, round(w / (w + z) - m, 6) AS edge, CASE WHEN w > 0 THEN round((w + z) / w, 6) END AS fair_odds, round(w * (odds - 1) - z, 6) + 0.0::DOUBLE AS expected_value,
   round(greatest((w * (odds - 1) - z) / ((odds - 1) * (w + z)), 0), 6) AS kelly_fraction, w * (odds - 1) - z > 0 AS is_positive FROM x
 """)
 def price_offers(t):

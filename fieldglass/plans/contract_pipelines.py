@@ -123,8 +123,8 @@ WITH g AS (
 
 
 @query("team_form", _FORM + """
-SELECT game_id, season, team, before AS season_games_played_before, round(epa4, 6) AS pregame_offensive_epa_per_play_last_4, round(points8, 6) AS pregame_points_scored_last_8,
-  round(allowed8, 6) AS pregame_defensive_epa_allowed_per_play_last_8, round(turn4, 6) AS pregame_turnover_rate_last_4 FROM r
+SELECT game_id, season, team, before AS season_games_played_before, round(epa4, 6) + 0.0::DOUBLE AS pregame_offensive_epa_per_play_last_4, round(points8, 6) AS pregame_points_scored_last_8,
+  round(allowed8, 6) + 0.0::DOUBLE AS pregame_defensive_epa_allowed_per_play_last_8, round(turn4, 6) AS pregame_turnover_rate_last_4 FROM r
 """)
 def team_form(t):
     rolling = form.rolling_team_features(form.team_game_efficiency(_plays(t), _results(t)))

@@ -136,7 +136,7 @@ def market_movement(archive: DataFrame, capture: tuple[int, int] = (45, 75), cap
     side = F.lower("outcome_type")
     gap = F.col("entry_point") - F.col("latest_point")
     advantage = F.when((F.col("market_key") == "spreads") | ((F.col("market_key") == "totals") & (side == "under")), gap).when(
-        (F.col("market_key") == "totals") & (side == "over"), -gap
+        (F.col("market_key") == "totals") & (side == "over"), F.col("latest_point") - F.col("entry_point")
     )
     found = F.col("latest_fetched_at").isNotNull()
     minutes = scalars.minute_difference(F.col("latest_fetched_at"), F.col("commence_time"))

@@ -43,4 +43,5 @@ def cents(column: str) -> Column:
 
 
 def rounded(column: str | Column, digits: int = 6) -> Column:
-    return F.round(F.col(column) if isinstance(column, str) else column, digits)
+    """Rounded value; adding zero turns a negative zero into zero."""
+    return F.round(F.col(column) if isinstance(column, str) else column, digits) + F.lit(0.0)
