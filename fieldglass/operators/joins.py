@@ -59,13 +59,23 @@ def mirror_join(
 ) -> DataFrame:
     """J2 for rows already at (unit, side) grain: take the opponent's columns.
 
-    A unit has two rows, so both fit in one small array per unit: one exchange,
-    no self join.  Columns are null where the opponent is absent.
+    A unit has at most two rows (more fail the query), so its first and last row
+    by side are all of it: one exchange, no self join.  Columns are null where
+    the opponent is absent.
     """
     unit = names(unit)
-    pair = F.collect_list(F.struct(F.col(side).alias("__side"), *take)).over(Window.partitionBy(*unit))
-    other = F.try_element_at(F.filter("__pair", lambda x: x["__side"] == F.col(opponent)), F.lit(1))
-    rows = df.withColumn("__pair", pair).withColumn("__other", other)
+    whole = Window.partitionBy(*unit)
+    row = F.struct(F.col(side).alias("__side"), *take)
+    rows = df.withColumns({
+        "__low": F.min(row).over(whole), "__high": F.max(row).over(whole), "__n": F.count(F.lit(1)).over(whole),
+    })
+    other = F.when(F.col("__low.__side") == F.col(opponent), F.col("__low")).when(
+        F.col("__high.__side") == F.col(opponent), F.col("__high")
+    )
+    ok = F.when(F.col("__n") <= 2, F.lit(True)).otherwise(
+        F.raise_error(F.lit("a unit has more than two sides")).cast("boolean")
+    )
+    rows = rows.where(ok).withColumn("__other", other)
     return rows.select(*df.columns, *[F.col(f"__other.{c}").alias(n) for c, n in take.items()])
 
 

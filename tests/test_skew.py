@@ -216,6 +216,8 @@ def test_mirror_and_checked_joins(spark):
     df = spark.createDataFrame([(1, "a", "b", 5), (1, "b", "a", 7), (2, "a", "c", 1)], "g long, t string, o string, x long")
     got = {(r["g"], r["t"]): r["y"] for r in joins.mirror_join(df, "g", "t", "o", {"x": "y"}).collect()}
     assert got == {(1, "a"): 7, (1, "b"): 5, (2, "a"): None}
+    with pytest.raises(Exception, match="more than two sides"):
+        joins.mirror_join(df.unionByName(df), "g", "t", "o", {"x": "y"}).collect()
     dims = spark.createDataFrame([("a", 1), ("a", 2)], "t string, d long")
     with pytest.raises(Exception, match="not unique on t"):
         joins.join_checked(df, dims, "t").collect()
