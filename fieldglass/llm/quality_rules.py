@@ -6,75 +6,106 @@ document never meets another one, so no key can be hot.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fieldglass.llm.common import texts, with_text, words_of
+from fieldglass.llm.common import BLANKS, texts, with_text
 
-#: Characters that count as symbols (fixed values of the contract).
-SYMBOLS = r"[#*$%&|<>]"
+#: All but the characters that count as symbols (fixed values of the contract).
+NOT_SYMBOLS = r"[^#*$%&|<>]+"
 #: Phrases of page furniture, matched in lower-cased lines (fixed values).
 BOILERPLATE = (
-    "all rights reserved|cookie policy|privacy policy|terms of use|terms of service|enable javascript"
-    "|click here|sign up for|subscribe to|share this|lorem ipsum|skip to content"
+    "all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "enable javascript",
+    "click here", "sign up for", "subscribe to", "share this", "lorem ipsum", "skip to content",
 )
 #: Marks that end a sentence, with closing quotes and brackets after them.
 SENTENCE_END = r"[.!?…:;][\x22'”»)\]]*$"
 
+#: Longest list of repeated windows that is searched value by value.
+LOOKED_UP = 32
+
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
 MAX_LOST_PERCENT = 50
 
 
-def repeated_words(words: Column) -> Column:
-    """Number of words inside three-word windows that the text holds twice or more.
-
-    ``words`` must be a plain column, as it is read several times.  Windows are
-    compared by a 64-bit hash together with their position after one sort.
-    """
+def window_hashes(words: Column) -> Column:
+    """A 64-bit hash of every three-word window, in text order."""
     count = F.size(words)
-    windows = F.when(
+    return F.when(
         count >= 3,
         F.transform(
-            F.slice(words, 1, count - 2),
-            lambda w, i: F.struct(F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("p")),
+            F.slice(words, 1, count - 2), lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2))
         ),
-    ).otherwise(F.array().cast("array<struct<h:bigint,p:int>>"))
-    return F.sort_array(windows)
+    ).otherwise(F.array().cast("array<bigint>"))
+
 
+def count_repeated(rows: DataFrame) -> DataFrame:
+    """Add n_repeat_words: the words inside windows whose hash occurs again (column ``hashes``).
 
-def covered(sorted_windows: Column) -> Column:
-    """Words covered by windows whose hash occurs again; the array is sorted by hash."""
-    again = F.filter(
-        sorted_windows,
-        lambda x, i: (x["h"] == F.get(sorted_windows, i - 1)["h"]) | (x["h"] == F.get(sorted_windows, i + 1)["h"]),
+    Most texts repeat no window or a few, which are looked up in a short list.
+    Where that list is longer, one sort of hashes with their positions brings
+    equal windows together.  Both ways find the same positions.
+    """
+    rows = rows.withColumn("ordered", F.sort_array("hashes"))
+    rows = rows.withColumn(
+        "again", F.array_distinct(F.filter("ordered", lambda h, i: h == F.get(F.col("ordered"), i - 1)))
+    ).drop("ordered")
+    pairs = F.sort_array(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
+    rows = rows.withColumn("pairs", F.when(F.size("again") > LOOKED_UP, pairs))
+    by_sort = F.filter(
+        "pairs",
+        lambda x, i: (x["h"] == F.get(F.col("pairs"), i - 1)["h"]) | (x["h"] == F.get(F.col("pairs"), i + 1)["h"]),
+    )
+    by_list = F.filter(
+        F.transform("hashes", lambda h, i: F.when(F.array_contains("again", h), i)), lambda p: p.isNotNull()
     )
-    starts = F.sort_array(F.transform(again, lambda x: x["p"]))
-    start = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("total"))
-    return F.aggregate(
-        starts, start,
+    starts = (
+        F.when(F.size("again") == 0, F.array().cast("array<int>"))
+        .when(F.size("again") > LOOKED_UP, F.sort_array(F.transform(by_sort, lambda x: x["p"])))
+        .otherwise(by_list)
+    )
+    zero = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("total"))
+    spanned = F.aggregate(
+        starts, zero,
         lambda acc, p: F.struct(
             (p + 3).alias("end"), (acc["total"] + (p + 3) - F.greatest(p, acc["end"])).alias("total")
         ),
         lambda acc: acc["total"],
     )
+    return rows.withColumn("n_repeat_words", spanned).drop("again", "pairs", "hashes")
+
 
+def line_facts(line: Column) -> Column:
+    """A line with its words, so that later steps read each of them once."""
+    return F.struct(line.alias("line"), F.array_remove(F.split(line, BLANKS), "").alias("words"))
 
-def line_fails(line: Column) -> Column:
+
+def line_counts(fact: Column) -> Column:
+    """Counts the line rules look at; symbols are what remains when the rest is taken out."""
+    return F.struct(
+        fact["line"].alias("line"),
+        F.size(fact["words"]).alias("n"),
+        F.size(F.array_distinct(fact["words"])).alias("distinct"),
+        F.length(F.regexp_replace(fact["line"], NOT_SYMBOLS, "")).alias("symbols"),
+    )
+
+
+def line_fails(x: Column) -> Column:
     """The line rules: symbols, menus, shouting, stutter, furniture, loose fragments.
 
     Lines without a word pass: they carry nothing.
     """
-    words = words_of(line)
-    count = F.size(words)
-    symbols = F.regexp_count(line, F.lit(SYMBOLS))
-    letters = F.regexp_count(line, F.lit("[A-Za-z]"))
-    capitals = F.regexp_count(line, F.lit("[A-Z]"))
-    return (count > 0) & (
-        (symbols * 10 >= count * 3)
-        | ((letters >= 20) & (capitals * 10 > letters * 7))
-        | ((count >= 10) & (F.size(F.array_distinct(words)) * 10 < count * 3))
-        | F.lower(line).rlike(BOILERPLATE)
-        | ((count <= 3) & ~F.rtrim(line).rlike(SENTENCE_END))
+    letters = F.length(F.regexp_replace(x["line"], "[^A-Za-z]+", ""))
+    capitals = F.length(F.regexp_replace(x["line"], "[^A-Z]+", ""))
+    return (x["n"] > 0) & (
+        (x["symbols"] * 10 >= x["n"] * 3)
+        | (x["line"].rlike("[A-Z]{3}") & (letters >= 20) & (capitals * 10 > letters * 7))
+        | ((x["n"] >= 10) & (x["distinct"] * 10 < x["n"] * 3))
+        | reduce(or_, (F.contains(F.lower(x["line"]), F.lit(phrase)) for phrase in BOILERPLATE))
+        | ((x["n"] <= 3) & ~F.rtrim(x["line"]).rlike(SENTENCE_END))
     )
 
 
@@ -94,19 +125,24 @@ def quality_rules(
     "".  Repeated rows and ids are judged each for itself; other columns are
     left out, whatever their names; an empty table gives an empty one.
     """
-    judged = texts(docs, id_column, text_column).select(
-        "doc_id", "text", words_of(F.col("text")).alias("words"),
-        F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
+    lines = texts(docs, id_column, text_column).select(
+        "doc_id", F.transform(F.split("text", "\n", -1), line_facts).alias("facts")
     )
-    judged = judged.select("*", repeated_words(F.col("words")).alias("windows"))
-    judged = judged.select(
-        "doc_id", "text", "lines",
-        F.size("words").cast("long").alias("n_words"),
+    # A line break is white space, so the words of the text are those of its lines.
+    lines = lines.select(
+        "doc_id", F.flatten(F.transform("facts", lambda x: x["words"])).alias("words"),
+        F.transform("facts", line_counts).alias("lines"),
+    )
+    lines = lines.select(
+        "doc_id", "lines", F.size("words").cast("long").alias("n_words"), window_hashes(F.col("words")).alias("hashes"),
         F.aggregate("words", F.lit(0).cast("long"), lambda n, w: n + F.length(w)).alias("word_chars"),
-        F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        covered(F.col("windows")).alias("n_repeat_words"),
-        F.filter(F.split("text", "\n", -1), lambda x: ~line_fails(x)).alias("good"),
+        F.transform(F.filter("lines", lambda x: x["n"] > 0), lambda x: x["line"]).alias("full"),
+    )
+    judged = count_repeated(lines).select(
+        "doc_id", "n_words", "word_chars", "n_repeat_words",
+        F.aggregate("lines", F.lit(0).cast("long"), lambda n, x: n + x["symbols"]).alias("n_symbols"),
+        (F.size("full") - F.size(F.array_distinct("full"))).cast("long").alias("n_dup_lines"),
+        F.transform(F.filter("lines", lambda x: ~line_fails(x)), lambda x: x["line"]).alias("good"),
     )
     judged = judged.select(
         "*",

@@ -49,7 +49,7 @@ judged AS (
       list_filter(lines, lambda x:
         length(regexp_replace(x, '[^#*$%&|<>]+', '', 'g')) * 10
           >= len(list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), lambda y: y <> '')) * 3
-        OR (length(regexp_replace(x, '[^A-Za-z]+', '', 'g')) >= 20
+        OR (regexp_matches(x, '[A-Z]{{3}}') AND length(regexp_replace(x, '[^A-Za-z]+', '', 'g')) >= 20
             AND length(regexp_replace(x, '[^A-Z]+', '', 'g')) * 10 > length(regexp_replace(x, '[^A-Za-z]+', '', 'g')) * 7)
         OR (len(list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), lambda y: y <> '')) >= 10
             AND len(list_distinct(list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), lambda y: y <> ''))) * 10
@@ -63,7 +63,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
   (NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND lost * 100 <= word_chars * 50) AS kept
 FROM judged
-""".format(boilerplate=rules.BOILERPLATE)
+""".format(boilerplate="|".join(rules.BOILERPLATE))
 
 
 @query("op7_quality_rules", RULES_SQL)
