@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fieldglass.llm import bpe, decontaminate as leaks, near_dup, quality_rules as rules
+from fieldglass.llm import bpe, decontaminate as leaks, near_dup, quality_rules as rules, shards
 from fieldglass.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,3 +153,8 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
 @query("op8_near_dup", NEAR_SQL)
 def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), words_per_shingle=2)
+
+
+@query("op10_shards")
+def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.assign_shards(table(spark, sf_dir, "documents"))
