@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fieldglass.llm import bpe, decontaminate as leaks, near_dup, quality_rules as rules, shards
+from fieldglass.llm import bpe, decontaminate as leaks, near_dup, quality_rules as rules, shards, wrapper
 from fieldglass.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -158,3 +158,9 @@ def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_shards")
 def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.assign_shards(table(spark, sf_dir, "documents"))
+
+
+@query("op3_main_text")
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = wrapper.extract_main_text(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
