@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fieldglass.llm import bpe, decontaminate as leaks, near_dup, quality_rules as rules, shards, wrapper
+from fieldglass.llm import bpe, decontaminate as leaks, near_dup, quality_qda, quality_rules as rules, shards, wrapper
 from fieldglass.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -164,3 +164,8 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = wrapper.extract_main_text(table(spark, sf_dir, "pages"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("op5_quality_qda")
+def op5_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_qda.classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
