@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fieldglass.llm import bpe, decontaminate as leaks, near_dup, quality_qda, quality_rules as rules, shards, wrapper
+from fieldglass.llm import bpe, decontaminate as leaks, near_dup, quality_qda, quality_rules as rules, shards, toxicity, wrapper
 from fieldglass.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,3 +169,8 @@ def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_quality_qda")
 def op5_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_qda.classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op2_toxicity_svm")
+def op2_toxicity_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
