@@ -31,10 +31,13 @@ MINING_ROUNDS = 2
 LEAST_RATIO = 10.0
 #: ... and the odds against its counts being chance are so much above the number of units (natural logarithm).
 SAFETY = 2.0
-TOXIC_LANDMARKS, CLEAN_LANDMARKS = 32, 12
+TOXIC_LANDMARKS, CLEAN_LANDMARKS = 32, 16
 #: Landmarks of one side are less alike than this.
-ALIKE = 0.3
+ALIKE = 0.15
 
+PENALTY = 1e-4
+#: Width of the Gaussian over the kernel's squared distance.
+WIDTH = 0.3
 LENGTH = 4
 DECAY = np.float32(0.7)
 #: Longest unit; longer words are cut into pieces of this size that overlap by half.
@@ -123,7 +126,7 @@ class Machine:
 
 
 def likeness(words: list[str], landmarks: list[str], own: np.ndarray) -> np.ndarray:
-    """Kernel with the landmarks, divided so that a word is 1 to itself."""
+    """Likeness to the landmarks: a Gaussian of the distance that the kernel, divided so that a word is 1 to itself, gives."""
     right = coded(landmarks, -2)
     out = np.empty((len(words), len(landmarks)), np.float32)
     order = sorted(range(len(words)), key=lambda i: len(words[i]))
@@ -131,7 +134,7 @@ def likeness(words: list[str], landmarks: list[str], own: np.ndarray) -> np.ndar
         block = order[start:start + BLOCK]
         left = coded([words[i] for i in block], -1)
         out[block] = subsequence_kernel(left, right) / np.sqrt(self_kernel(left))[:, None]
-    return out / np.sqrt(own)
+    return np.exp((out / np.sqrt(own) - 1) / np.float32(WIDTH))
 
 
 def self_kernel(code: np.ndarray) -> np.ndarray:
@@ -164,27 +167,29 @@ def choose_landmarks(words: list[str], most: int, alike: float = ALIKE) -> list[
     return chosen
 
 
-def fit_machine(suspects: dict[str, int], clean: list[str], penalty: float = 1e-4) -> Machine | None:
+def fit_machine(suspects: dict[str, int], clean: dict[str, int], penalty: float = PENALTY) -> Machine | None:
     """Squared-hinge support vector machine on Nyström features; none without suspects or clean units.
 
-    ``suspects`` come with the number of toxic texts that count for them.
+    Both come with the numbers of toxic and of clean texts that count for them;
+    the root of that is the cost of getting them wrong.
     """
     if not suspects or not clean:
         return None
     names = sorted(suspects, key=lambda u: (-suspects[u], u))
+    others = list(clean)
     toxic_marks = choose_landmarks(names, TOXIC_LANDMARKS)
-    close = likeness(clean, toxic_marks, own_kernel(toxic_marks)).max(1)
-    hardest = [clean[i] for i in np.argsort(-close, kind="stable")]
+    close = likeness(others, toxic_marks, own_kernel(toxic_marks)).max(1)
+    hardest = [others[i] for i in np.argsort(-close, kind="stable")]
     marks = toxic_marks + choose_landmarks(hardest, CLEAN_LANDMARKS)
     own = own_kernel(marks)
     among = likeness(marks, marks, own).astype(float)
     values, vectors = np.linalg.eigh((among + among.T) / 2)
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
-    x = likeness(names + clean, marks, own).astype(float) @ root
+    x = likeness(names + others, marks, own).astype(float) @ root
     x = np.hstack((x, np.ones((len(x), 1))))
-    y = np.r_[np.ones(len(names)), -np.ones(len(clean))]
-    stands = np.sqrt([suspects[u] for u in names])
-    cost = np.r_[0.5 * stands / stands.sum(), np.full(len(clean), 0.5 / len(clean))]
+    y = np.r_[np.ones(len(names)), -np.ones(len(others))]
+    cost = np.sqrt([*(suspects[u] for u in names), *clean.values()])
+    cost /= cost[:len(names)].sum()
     ridge = penalty * np.eye(x.shape[1])
     ridge[-1, -1] = 1e-9
     w = np.zeros(x.shape[1])
@@ -244,18 +249,20 @@ def significant(count: Column, clean: Column, share: float, candidates: int) ->
     return (part > share) & (total * (part * F.ln(part / share) + spread) >= float(np.log(candidates) + SAFETY))
 
 
-def hardest_clean(counts: DataFrame, machine: Machine) -> list[str]:
-    """The clean units with the highest decision values."""
+def hardest_clean(counts: DataFrame, machine: Machine) -> dict[str, int]:
+    """The clean units with the highest decision values, and in how many clean texts they are."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = batch.column(0).to_pylist()
             if words:
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(machine.decide(words).astype(float))], names=["unit", "v"]
+                    [batch.column(0), batch.column(1), pa.array(machine.decide(words).astype(float))],
+                    names=["unit", "clean", "v"],
                 )
 
-    scored = counts.where("clean > 0").select("unit").mapInArrow(run, "unit string, v double")
-    return [r[0] for r in scored.orderBy(F.desc("v"), "unit").limit(HARD_CLEAN).collect()]
+    scored = counts.where("clean > 0").select("unit", "clean")
+    scored = scored.mapInArrow(run, "unit string, clean bigint, v double")
+    return {r["unit"]: r["clean"] for r in scored.orderBy(F.desc("v"), "unit").limit(HARD_CLEAN).collect()}
 
 
 def teach(docs: DataFrame, sample: DataFrame) -> Machine | None:
@@ -278,11 +285,12 @@ def teach(docs: DataFrame, sample: DataFrame) -> Machine | None:
     suspects = {r["unit"]: r["n"] for r in ranked.orderBy(F.desc("n"), "unit").limit(SUSPECTS).collect()}
     common = counts.where("clean > 0").orderBy(F.desc("clean"), "unit").limit(FREQUENT_CLEAN)
     other = counts.where("clean > 0").orderBy(F.xxhash64("unit"), "unit").limit(OTHER_CLEAN)
-    clean = {r[0]: None for part in (common, other) for r in part.select("unit").collect() if r[0] not in suspects}
-    machine = fit_machine(suspects, list(clean))
+    clean = {r["unit"]: r["clean"] for part in (common, other) for r in part.select("unit", "clean").collect()}
+    clean = {u: n for u, n in clean.items() if u not in suspects}
+    machine = fit_machine(suspects, clean)
     for _ in range(MINING_ROUNDS if machine else 0):
-        clean |= {u: None for u in hardest_clean(counts, machine) if u not in suspects}
-        machine = fit_machine(suspects, list(clean))
+        clean |= {u: n for u, n in hardest_clean(counts, machine).items() if u not in suspects}
+        machine = fit_machine(suspects, clean)
     return machine
 
 
