@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fieldglass.llm import bpe, decontaminate as leaks, near_dup, quality_qda, quality_rules as rules, shards, toxicity, wrapper
+from fieldglass.llm import bpe, decontaminate as leaks, near_dup, pii, quality_qda, quality_rules as rules, shards, toxicity, wrapper
 from fieldglass.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -174,3 +174,12 @@ def op5_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_toxicity_svm")
 def op2_toxicity_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op6_pii")
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", *(pii.count_of(F.col("base"), kind).alias(f"n_{kind}") for kind in pii.KINDS),
+        F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"),
+    )
