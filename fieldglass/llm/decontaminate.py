@@ -162,4 +162,4 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents table without the rows that hold a benchmark window."""
     packed = docs.select("text", F.struct(*DOCUMENT_COLUMNS).alias("doc"))
     found = decontaminate(packed, benchmark, id_column="doc").where(F.size("spans") == 0)
-    return found.select("doc.*")
+    return found.select("doc_id.*")

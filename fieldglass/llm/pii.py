@@ -244,7 +244,7 @@ def clean_documents(docs: DataFrame) -> DataFrame:
     packed = docs.select("text", F.struct("doc_id", "lang", "source").alias("doc"))
     found = find_personal_data(packed, id_column="doc")
     out = found.select(
-        "doc.doc_id", "doc.lang", "doc.source",
+        "doc_id.doc_id", "doc_id.lang", "doc_id.source",
         F.when(F.size("spans") > 0, masked(F.col("text"), F.col("spans"))).otherwise(F.col("text")).alias("text"),
     )
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*DOCUMENT_COLUMNS)

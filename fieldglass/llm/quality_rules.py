@@ -11,7 +11,7 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fieldglass.llm.common import BLANKS, texts, with_text
+from fieldglass.llm.common import BLANKS, landed, texts, with_text
 
 #: All but the characters that count as symbols (fixed values of the contract).
 NOT_SYMBOLS = r"[^#*$%&|<>]+"
@@ -162,7 +162,8 @@ def quality_rules(
 def clean_documents(docs: DataFrame) -> DataFrame:
     """The documents table after the rules: rejected rows are gone, failing lines cut out."""
     packed = docs.select("text", F.struct("doc_id", "lang", "source").alias("doc"))
-    judged = quality_rules(packed, id_column="doc").where("kept")
+    # Written first: a filter would be pushed below the counts and compute them over again.
+    judged = landed(quality_rules(packed, id_column="doc").select("doc_id", "kept", "clean_text"), "judged").where("kept")
     return with_text(
-        judged.select("doc.doc_id", "doc.lang", "doc.source", "clean_text"), F.col("clean_text")
+        judged.select("doc_id.doc_id", "doc_id.lang", "doc_id.source", "clean_text"), F.col("clean_text")
     )
