@@ -43,7 +43,7 @@ DECAY = np.float32(0.7)
 #: Longest unit; longer words are cut into pieces of this size that overlap by half.
 PIECE = 24
 #: Units a worker remembers; beyond that it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
 BLOCK = 64
 #: Shortest unit.
 LEAST_UNIT = 3
@@ -313,12 +313,24 @@ class Scorer:
         return [max((known[u] for u in us), default=None) for us in own]
 
 
+_SCORERS: dict[tuple, Scorer] = {}
+
+
+def scorer_of(machine: Machine) -> Scorer:
+    """The worker process's scorer of a machine; it lives on from task to task, and only the last one does."""
+    key = (machine.landmarks, machine.weights.tobytes(), machine.bias)
+    if key not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[key] = Scorer(machine)
+    return _SCORERS[key]
+
+
 def raw_scores(docs: DataFrame, machine: Machine) -> DataFrame:
     """Rows (doc_id, raw); texts without a unit have a null."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(machine)
+        scorer = scorer_of(machine)
         for batch in batches:
             found: list[float | None] = []
             for start in range(0, batch.num_rows, 256):
