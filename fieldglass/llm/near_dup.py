@@ -6,9 +6,10 @@ How pairs are found without ever listing all pairs of a group:
 2. Every class falls into one bucket per band.  A bucket's members are compared
    with its smallest member, by signature and then on the full sets.
 3. These links give components.  In a bucket that holds several components only
-   members of different components can still add a link.  They are compared,
-   leaving out pairs that the distances to the bucket's smallest member rule out
-   (Jaccard distance is a metric, so this loses nothing).
+   members of different components can still add a link.  Their signatures are
+   compared block against block inside tasks: first each outsider finds its best
+   partner in every other component, and the links found join most components;
+   then whatever pairs are still likely go to the full sets.
 """
 
 from __future__ import annotations
@@ -29,8 +30,10 @@ SIMILARITY_PERCENT = 80
 #: With 64 bands of 8 minima a pair at 0.8 is missed with probability below 1e-5, one at 0.3 meets in 0.4 %.
 BANDS = 64
 ROWS_PER_BAND = 8
-#: A pair goes on to the full sets if its signature is no further below the limit than this (over 8 standard errors).
-SIGNATURE_SLACK = 0.15
+#: A pair goes on to the full sets if its signature is no further below the limit than this (over 5 standard errors of 512 minima).
+SIGNATURE_SLACK = 0.1
+#: Documents in one block of a bucket.
+TILE = 128
 
 #: Word hashes a worker remembers; beyond that it starts anew.
 REMEMBERED = 400_000
@@ -160,59 +163,69 @@ def similarities(pairs: DataFrame, sets: DataFrame, similarity_percent: int) ->
     )
 
 
-def likely(pairs: DataFrame, signatures: DataFrame, similarity_percent: int) -> DataFrame:
-    """The pairs whose signatures agree nearly as often as those of linked texts do."""
-    kind = dict(pairs.dtypes)["a"]
-    floor = similarity_percent / 100 - SIGNATURE_SLACK
-    loaded = pairs.select("a", "b").join(
-        signatures.select(F.col("doc_id").alias("b"), F.col("signature").alias("b_mark")), "b"
+def mixed_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of buckets that hold several components: bucket, doc_id, component, outside (the bucket's largest one)."""
+    named = members.join(labels.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
+    named = named.select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    counts = landed(named.groupBy("bucket", "component").count(), "counts")
+    main = counts.groupBy("bucket").agg(
+        F.max(F.struct("count", "component")).alias("m"), F.count("*").alias("parts"), F.sum("count").alias("size")
+    )
+    main = main.where("parts > 1").select("bucket", F.col("m.component").alias("main"), "size")
+    return landed(
+        named.join(main, "bucket").select("bucket", "doc_id", "component", (F.col("component") != F.col("main"))
+                                          .alias("outside"), "size"),
+        "mixed",
     )
-    loaded = loaded.join(signatures.select(F.col("doc_id").alias("a"), F.col("signature").alias("a_mark")), "a")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            left, right = (
-                np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-                for i in (2, 3)
-            )
-            agree = (left == right).mean(axis=1)
-            keep = (agree - 1 / 256) / (1 - 1 / 256) >= floor
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(
-                pa.array(keep)
-            )
 
-    return loaded.select("a", "b", "a_mark", "b_mark").mapInArrow(run, f"a {kind}, b {kind}")
+def across(mixed: DataFrame, signatures: DataFrame, similarity_percent: int, best_only: bool) -> DataFrame:
+    """Likely pairs (a, b) of one bucket in different components.
 
+    Every document outside its bucket's largest component is compared with all
+    others of the bucket, in blocks of about ``TILE`` documents, so that no task
+    holds a bucket and no pair becomes a row before its signatures agree.  With
+    ``best_only`` a document gives its best partner in each other component of a
+    block, else all.
+    """
+    kind = dict(mixed.dtypes)["doc_id"]
+    floor = similarity_percent / 100 - SIGNATURE_SLACK
+    loaded = mixed.join(signatures, "doc_id")
+    tile = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / TILE))
+    item = F.struct("doc_id", "component", "signature", "outside")
+    tiles = landed(loaded.groupBy("bucket", tile.alias("tile")).agg(F.collect_list(item).alias("items")), "tiles")
+    outside = tiles.select("bucket", F.filter("items", lambda x: x["outside"]).alias("few")).where(F.size("few") > 0)
 
-def across(members: DataFrame, labels: DataFrame, compared: DataFrame, similarity_percent: int) -> DataFrame:
-    """Pairs of one bucket that lie in different components and that distances do not rule out.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[tuple] = []
+            for few, items in zip(batch.column(0), batch.column(1), strict=True):
+                found += _likely_pairs(few.as_py(), items.as_py(), floor, best_only)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([p[0] for p in found], batch.column(0).type.value_type.field("doc_id").type),
+                 pa.array([p[1] for p in found], batch.column(0).type.value_type.field("doc_id").type)],
+                names=["a", "b"],
+            )
 
-    ``members`` are the bucket's documents but for its head, with which all are
-    compared already.  In each bucket the documents outside its largest
-    component are paired with those of other components.
-    """
-    named = members.join(labels.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
-    named = named.join(
-        compared.select(F.col("a").alias("head"), F.col("b").alias("doc_id"), "share"), ["head", "doc_id"]
-    )
-    named = named.select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"), "share")
-    mixed = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    mixed = mixed.where("lo < hi").select("bucket")
-    named = landed(named.join(mixed, "bucket", "left_semi"), "mixed")
-    counts = named.groupBy("bucket", "component").count()
-    main = counts.groupBy("bucket").agg(F.max(F.struct("count", "component")).alias("m"))
-    marked = named.join(main.select("bucket", F.col("m.component").alias("main")), "bucket")
-    few = marked.where("component != main").select(
-        "bucket", F.col("doc_id").alias("x"), F.col("component").alias("xc"), F.col("share").alias("xs")
-    )
-    reach = 1 - similarity_percent / 100 + 1e-9
-    paired = marked.join(few, "bucket").where(
-        (F.col("component") != F.col("xc")) & ((F.col("component") == F.col("main")) | (F.col("x") < F.col("doc_id")))
-        & (F.abs(F.col("share") - F.col("xs")) <= reach)
-    )
-    return paired.select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b")).distinct()
+    # The blocks of outsiders are joined to all blocks of their bucket.
+    joined = tiles.select("bucket", "items").join(outside, "bucket").select("few", "items")
+    return joined.mapInArrow(run, f"a {kind}, b {kind}").distinct()
+
+
+def _likely_pairs(few: list[dict], items: list[dict], floor: float, best_only: bool) -> list[tuple]:
+    left = np.stack([np.frombuffer(x["signature"], np.uint8) for x in few])
+    right = np.stack([np.frombuffer(x["signature"], np.uint8) for x in items])
+    parts = np.array([x["component"] for x in items])
+    out = []
+    for x, own in zip(few, left, strict=True):
+        share = ((right == own).mean(1) - 1 / 256) / (1 - 1 / 256)
+        likely = np.flatnonzero((share >= floor) & (parts != x["component"]))
+        if best_only and len(likely) > 1:
+            ordered = likely[np.argsort(-share[likely], kind="stable")]
+            _, first = np.unique(parts[ordered], return_index=True)
+            likely = ordered[first]
+        out += [(min(x["doc_id"], y), max(x["doc_id"], y)) for y in (items[i]["doc_id"] for i in likely)]
+    return out
 
 
 def near_duplicates(
@@ -250,14 +263,16 @@ def near_duplicates(
     compared = landed(similarities(stars, sets, similarity_percent), "compared")
     labels = landed(components(_linked(compared)), "labels")
 
-    pairs = landed(across(members, labels, compared, similarity_percent), "pairs")
-    if not pairs.isEmpty():
-        signatures = filled.select("doc_id", "signature").join(wanted, "doc_id", "left_semi")
-        pairs = landed(likely(pairs, signatures.dropDuplicates(["doc_id"]), similarity_percent), "pairs")
-        more = _linked(similarities(pairs, sets, similarity_percent))
-        labels = landed(
-            components(labels.select(F.col("id").alias("u"), F.col("component").alias("v")).union(more)), "labels"
-        )
+    signatures = filled.select("doc_id", "signature").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    for best_only in (True, False):
+        mixed = mixed_buckets(members, labels)
+        if mixed.isEmpty():
+            break
+        pairs = landed(across(mixed, signatures, similarity_percent, best_only), "pairs")
+        more = landed(_linked(similarities(pairs, sets, similarity_percent)), "more")
+        if not more.isEmpty():
+            known = labels.select(F.col("id").alias("u"), F.col("component").alias("v"))
+            labels = landed(components(known.union(more)), "labels")
 
     named = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
         "set_key", F.coalesce("component", "rep").alias("component")
