@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fieldglass.llm import bpe, decontaminate as leaks, near_dup, pii, quality_qda, quality_rules as rules, shards, toxicity, wrapper
+from fieldglass.llm import bpe, chat, decontaminate as leaks, near_dup, pii, quality_qda, quality_rules as rules, shards, toxicity, wrapper
 from fieldglass.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -183,3 +183,48 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *(pii.count_of(F.col("base"), kind).alias(f"n_{kind}") for kind in pii.KINDS),
         F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"),
     )
+
+
+VIEWS_SQL = r"""
+WITH m AS (
+  SELECT conv_id, turn, CASE WHEN trim(coalesce(role, '')) = '' THEN 'unknown' ELSE trim(role) END AS speaker,
+    coalesce(text, '') AS text, count(*) AS copies
+  FROM conversations GROUP BY ALL),
+k AS (
+  SELECT *, floor(turn / 64)::BIGINT AS segment,
+    ('0x' || md5(speaker || chr(31) || text)[1:8])::BIGINT AS digest FROM m),
+c AS (
+  SELECT *, count(*) OVER (PARTITION BY conv_id, segment) > 512 AS crowded,
+    count(*) OVER (PARTITION BY conv_id, turn) AS heap FROM k),
+s AS (
+  SELECT *, CASE WHEN crowded THEN turn END AS sub,
+    CASE WHEN crowded THEN floor(digest * ceil(heap / 512) / 4294967296)::BIGINT ELSE 0 END AS part FROM c),
+v AS (SELECT DISTINCT conv_id, speaker AS view FROM s WHERE speaker <> 'system'),
+p AS (
+  SELECT s.*, view, speaker = view AS own,
+    CASE WHEN speaker = 'system' THEN '<|im_start|>system' || chr(10)
+      WHEN speaker = view THEN '<|im_start|>assistant' || chr(10)
+      ELSE '<|im_start|>user name=' || regexp_replace(speaker, '[\x00-\x20<>|]+', '_', 'g') || chr(10) END AS head
+  FROM s JOIN v ON s.conv_id IS NOT DISTINCT FROM v.conv_id),
+o AS (
+  SELECT *, coalesce(sum(length(head) + length(text) + 11) OVER (
+      PARTITION BY conv_id, view, segment, sub, part ORDER BY turn, digest, speaker, text
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS start
+  FROM p)
+SELECT conv_id, view, segment, sub, part, count(*) AS n_messages, sum(copies)::BIGINT AS n_copies,
+  md5(string_agg(head || text || '<|im_end|>' || chr(10), '' ORDER BY turn, digest, speaker, text)) AS rendered_md5,
+  coalesce(string_agg(CASE WHEN own THEN start::BIGINT || ':' || (start + length(text) + 11)::BIGINT END, ','
+    ORDER BY turn, digest, speaker, text), '') AS masks
+FROM o GROUP BY conv_id, view, segment, sub, part
+"""
+
+
+@query("op1_chat_views", VIEWS_SQL)
+def op1_chat_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    views = chat.rotate(table(spark, sf_dir, "conversations"))
+    return views.select(
+        "conv_id", "view", "segment", "sub", "part", "n_messages", "n_copies",
+        F.md5("rendered").alias("rendered_md5"),
+        F.array_join(F.transform("masks", lambda m: F.concat_ws(
+            ":", m["start"].cast("string"), m["end"].cast("string"))), ",").alias("masks"),
+    )
