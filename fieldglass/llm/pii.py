@@ -101,7 +101,9 @@ def base_spans(docs: DataFrame) -> DataFrame:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """Identifier-like words with their left context: doc_key, kind (of the base span there, or null), context, value, start, end.
+    """Identifier-like words with their left context: doc_key, context, value, start, end, kind and whole.
+
+    Kind and whole are those of the base span that the word is part of, else null and the word.
 
     A word is what lies between white space, without outer punctuation; it is
     identifier-like if it holds a digit or an at sign.  Contexts are the two words
@@ -120,8 +122,10 @@ def occurrences(docs: DataFrame) -> DataFrame:
     ).where("value != ''")
     end = F.col("start") + F.length("value")
     touching = F.filter("base", lambda s: (s["start"] < end) & (s["end"] > F.col("start")))
+    first = F.get(touching, F.lit(0))
     return rows.select(
-        "doc_key", "context", "value", "start", end.alias("end"), F.get(touching, F.lit(0))["kind"].alias("kind")
+        "doc_key", "context", "value", "start", end.alias("end"), first["kind"].alias("kind"),
+        F.coalesce(first["value"], "value").alias("whole"),
     )
 
 
@@ -145,8 +149,10 @@ def learn_patterns(docs: DataFrame, found: DataFrame, rounds: int = ROUNDS) -> D
     pattern before them gives.  A pattern's confidence is the sum over the
     different identifiers after it, divided by the number of all words after it.
     """
-    edges = found.groupBy("context", "value").agg(F.max("kind").alias("kind"), F.count("*").alias("n"))
-    seeds = found.where("kind is not null").groupBy("context", "kind").agg(F.countDistinct("value").alias("seeds"))
+    edges = found.groupBy("context", F.col("whole").alias("value")).agg(
+        F.max("kind").alias("kind"), F.count("*").alias("n")
+    )
+    seeds = found.where("kind is not null").groupBy("context", "kind").agg(F.countDistinct("whole").alias("seeds"))
     seeds = landed(seeds.where(F.col("seeds") >= LEAST_SEEDS), "seeds")
     if seeds.isEmpty():
         return seeds.select("context", "kind")
@@ -197,7 +203,7 @@ def find_personal_data(docs: DataFrame, id_column: str = "doc_id", text_column:
     patterns = landed(learn_patterns(plain, found), "patterns")
     if patterns.isEmpty():
         return plain.select("doc_id", "text", "base", F.col("base").alias("spans"))
-    fresh = found.where("kind is null").drop("kind").join(patterns, "context")
+    fresh = found.where("kind is null").drop("kind", "whole").join(patterns, "context")
     span = F.struct("kind", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "value")
     # Spans of one text only; equal texts have the same ones.
     added = fresh.groupBy("doc_key").agg(F.collect_set(span).alias("added"))
