@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -113,6 +114,16 @@ def versus_baseline(df: DataFrame, candidate: str, baseline: str, metrics: Seque
     ])
 
 
+def _beside(groups: DataFrame, points: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Quantiles beside all groups: the null group too, and nulls for groups without a value."""
+    if not by:
+        # One row each; the scalar is null if there is no value.
+        return groups.select("*", *[points.select(c).scalar().alias(c) for c in points.columns])
+    side = points.select(*[F.col(k).alias(f"__k_{k}") for k in by], *[c for c in points.columns if c not in by])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in by])
+    return groups.join(side, same, "left").drop(*[f"__k_{k}" for k in by])
+
+
 def dist_summary(
     df: DataFrame, by: str | Sequence[str], value: str,
     quantiles: Mapping[str, float] = {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95},
@@ -127,7 +138,7 @@ def dist_summary(
         F.avg(F.abs(x)).alias("mae"),
         F.sqrt(F.avg(x * x)).alias("rmse"),
     )
-    return moments.join(exact_quantiles(df, by, value, dict(quantiles)), by)
+    return _beside(moments, exact_quantiles(df, by, value, dict(quantiles)), by)
 
 
 def calibration_line(df: DataFrame, by: str | Sequence[str], y: str, x: str) -> DataFrame:
@@ -185,7 +196,7 @@ def concentration(df: DataFrame, by: str | Sequence[str], value: str, limits: Se
         *[count_where(F.col(value) >= limit).alias(f"n_ge_{int(limit)}") for limit in limits],
         F.max(value).alias("max_value"),
     )
-    return counts.join(exact_quantiles(df, by, value, {"median_value": 0.5}), by)
+    return _beside(counts, exact_quantiles(df, by, value, {"median_value": 0.5}), by)
 
 
 def segment_summary(
@@ -376,7 +387,7 @@ def discrete_distribution(samples: DataFrame, by: str | Sequence[str], value: st
         F.max(value).alias("max"),
     )
     points = exact_quantiles(samples, by, value, {"p10": 0.1, "median": 0.5, "p90": 0.9})
-    return base.join(points, by)
+    return _beside(base, points, by)
 
 
 def threshold_probability(dist: DataFrame, by: str | Sequence[str], value: str, limits: Sequence[float]) -> DataFrame:

@@ -31,11 +31,13 @@ def asof_join(
 
     ``ties`` order right rows of one time; the last wins.  ``payload`` columns of
     the right side are added (``right_ts`` included only if listed); they are
-    null where nothing qualifies.
+    null where nothing qualifies.  As in SQL a null key or a null time equals
+    and precedes nothing: such right rows are dropped, such left rows stay and
+    find nothing.
     """
     by = names(by)
     left_cols = [c for c in left.columns if c not in by]
-    side = right.select(
+    side = right.dropna("any", subset=[*by, right_ts]).select(
         *by,
         F.col(right_ts).alias("__ts"),
         F.struct(F.col(right_ts).alias("__rts"), *[F.col(t).alias(f"__tie{i}") for i, t in enumerate(ties)],

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,27 +45,26 @@ def exact_quantiles(
     """Linearly interpolated percentiles, one column per entry of ``quantiles``.
 
     Values are first counted (map-side combined), then placed by running count,
-    so a large group's values never meet in one task.
+    so a large group's values never meet in one task.  The arithmetic is the same
+    whether or not the running count is cut; null groups count like others, and
+    groups without a value have no row.
     ``weight`` names a column of counts when the input is already counted.
     """
     by = names(by)
     if distributed is None:
         distributed = not skew.is_small(df)
-    if not distributed and weight is None:
-        # Spark's exact percentile keeps a group's values in one buffer.
-        x = F.col(value).cast("double")
-        points = F.percentile(x, F.array(*[F.lit(float(q)) for q in quantiles.values()]))
-        return df.where(x.isNotNull()).groupBy(*by).agg(points.alias("__q")).select(
-            *by, *[F.col("__q")[i].alias(n) for i, n in enumerate(quantiles)]
-        )
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(
         (F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("__c")
     )
     placed = running_count(counts, by, value, "__c", distributed=distributed)
     sizes = counts.groupBy(*by).agg(F.sum("__c").alias("__n"))
-    placed = skew.join_lookup(placed, sizes, by, "inner") if by else placed.withColumn(
-        "__n", sizes.scalar()
-    )
+    if by:
+        # Null-safe, so that the null group keeps its quantiles; both sides are exchanged next to the join.
+        side = sizes.select(*[F.col(k).alias(f"__k_{k}") for k in by], "__n")
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in by])
+        placed = placed.join(side, same).drop(*[f"__k_{k}" for k in by])
+    else:
+        placed = placed.withColumn("__n", sizes.scalar())
     picks = []
     for name, q in quantiles.items():
         position = F.lit(float(q)) * (F.col("__n") - 1)

@@ -4,7 +4,7 @@ Every per-key operator here must stay balanced when one key owns, say, a third
 of the table.  The building blocks:
 
 * ``hot_keys``      the few keys above a row threshold, counted by one
-                    map-side combined job; at most ``HOT_KEY_LIMIT`` keys, so
+                    map-side combined job; fewer keys than rows / ``HOT_ROWS``, so
                     broadcasting them is safe at any data size.  Keys beyond
                     the limit are simply handled on the ordinary path.
 * ``split_hot``     rows of ordinary keys / rows of hot keys, by broadcast
@@ -36,8 +36,6 @@ from fieldglass.session import land
 HOT_ROWS = 2_000_000
 #: Rows of one piece of a hot key.
 PIECE_ROWS = 2_000_000
-#: Upper bound of the broadcast hot-key list.
-HOT_KEY_LIMIT = 10_000
 #: Inputs estimated below this are not examined for hot keys.
 SMALL_BYTES = 64 * 1024 * 1024
 
@@ -66,7 +64,9 @@ def is_small(df: DataFrame) -> bool:
 def hot_keys(
     df: DataFrame, by: str | Sequence[str], hot_rows: int | None = HOT_ROWS
 ) -> DataFrame | None:
-    """Keys with more than ``hot_rows`` rows, largest first; None if there are none.
+    """Keys with more than ``hot_rows`` rows; None if there are none.
+
+    All of them: there are fewer than the table's rows divided by ``hot_rows``.
 
     ``hot_rows=None`` states that groups are bounded and skips the count.
     """
@@ -77,11 +77,9 @@ def hot_keys(
         df.groupBy(*by)
         .agg(F.count(F.lit(1)).alias("__n"))
         .where(F.col("__n") > hot_rows)
-        .orderBy(F.desc("__n"), *by)
-        .limit(HOT_KEY_LIMIT)
         .select(*[F.col(k).alias(a) for k, a in zip(by, _hot_alias(by))])
     )
-    found = counted.collect()  # at most HOT_KEY_LIMIT keys
+    found = counted.collect()  # fewer keys than rows / hot_rows
     return df.sparkSession.createDataFrame(found, counted.schema) if found else None
 
 
@@ -109,8 +107,8 @@ def attach_totals(
     """Add aggregates of each key to all its rows.
 
     Ordinary keys use one unordered window (a single exchange).  A hot key's
-    aggregate is built map-side first and comes back as a broadcast of at most
-    ``HOT_KEY_LIMIT`` rows, so its rows never meet in one task.
+    aggregate is built map-side first and comes back as a broadcast of one row
+    per hot key, so its rows never meet in one task.
     """
     by = names(by)
     cold, hot = split_hot(df, by, hot_rows)
@@ -119,7 +117,7 @@ def attach_totals(
     if hot is None:
         return cold
     aliases = _hot_alias(by)
-    # At most HOT_KEY_LIMIT groups, since `hot` holds only those keys.
+    # One group per hot key, since `hot` holds only those keys.
     sums = hot.groupBy(*[F.col(k).alias(a) for k, a in zip(by, aliases)]).agg(
         *[c.alias(n) for n, c in totals.items()]
     )

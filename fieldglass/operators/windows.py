@@ -264,6 +264,10 @@ def decayed_at(
     return df.where(age >= 0).groupBy(*names(by)).agg(*[F.sum(F.col(s) * weight).alias(f"prior_{s}") for s in sums])
 
 
+#: Half-lives per block of W8; 2 to this power times the values must stay finite.
+BLOCK_HALF_LIVES = 64
+
+
 def decayed_prior(
     df: DataFrame,
     by: str | Sequence[str],
@@ -273,26 +277,58 @@ def decayed_prior(
 ) -> DataFrame:
     """Exponentially decayed sums over strictly earlier days.
 
-    Input is one row per key and day (aggregate first); a key's group is then
-    bounded by its days.  The closed form  sum(x * 2^(t/H)) * 2^(-t/H)  replaces
-    the day-by-day recursion.  Days are counted from the key's first day, which
-    keeps the powers small.
+    Input is one row per key and day (aggregate first).  The calendar is cut into
+    blocks of ``BLOCK_HALF_LIVES`` half-lives.  Inside a block the closed form
+    sum(x * 2^o) * 2^-o, with o counted from the block's start, replaces the
+    day-by-day recursion; what earlier blocks leave is carried from block to
+    block, so no power ever exceeds a block's span, however long the history.
+    A window holds one key's days of one block; the carry runs over one number
+    per key and block with rows.
     """
     by = names(by)
-    start = F.min(day).over(Window.partitionBy(*by))
-    rows = df.withColumn("__t", F.datediff(F.col(day), start).cast("double") / F.lit(float(half_life_days)))
+    age = F.unix_date(F.to_date(day)) / F.lit(float(half_life_days))
+    rows = df.withColumn("__b", F.floor(age / BLOCK_HALF_LIVES))
+    rows = rows.withColumn("__o", age - F.col("__b") * BLOCK_HALF_LIVES)
+    grown = F.pow(F.lit(2.0), F.col("__o"))
+    # What a block is worth at its end, which is the start of the next.
+    worth = rows.groupBy(*by, "__b").agg(
+        *[F.coalesce(F.sum(F.col(s) * F.pow(F.lit(2.0), F.col("__o") - BLOCK_HALF_LIVES)), F.lit(0.0)).alias(s) for s in sums]
+    )
+    blocks = worth.where("__b IS NOT NULL").groupBy(*by).agg(
+        F.sort_array(F.collect_list(F.struct("__b", *[F.col(s) for s in sums]))).alias("__blocks")
+    )
+    def step(acc, x):
+        # The carry at a block's start: the last block's own carry and worth, halved once per half-life since.
+        last = F.get(acc, F.size(acc) - 1)
+        idle = F.pow(F.lit(2.0), -(x["__b"] - 1 - last["b"]).cast("double") * BLOCK_HALF_LIVES)
+        faded = F.lit(2.0 ** -BLOCK_HALF_LIVES)
+        return F.concat(acc, F.array(F.struct(
+            x["__b"].alias("b"),
+            *[F.coalesce((last[f"c_{s}"] * faded + last[f"w_{s}"]) * idle, F.lit(0.0)).alias(f"c_{s}") for s in sums],
+            *[x[s].alias(f"w_{s}") for s in sums],
+        )))
+
+    shape = ",".join(["b:bigint", *[f"c_{s}:double" for s in sums], *[f"w_{s}:double" for s in sums]])
+    carried = F.aggregate("__blocks", F.array().cast(f"array<struct<{shape}>>"), step)
+    carry = blocks.select(*[F.col(k).alias(f"__k_{k}") for k in by], F.explode(carried).alias("__c")).select(
+        *[f"__k_{k}" for k in by], F.col("__c.b").alias("__cb"), *[F.col(f"__c.c_{s}").alias(f"__c_{s}") for s in sums]
+    )
+    same = F.col("__b") == F.col("__cb")
+    for k in by:
+        same &= F.col(k).eqNullSafe(F.col(f"__k_{k}"))
     earlier = (
-        Window.partitionBy(*by).orderBy(F.unix_date(F.to_date(day))).rangeBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*by, "__b").orderBy(F.unix_date(F.to_date(day))).rangeBetween(Window.unboundedPreceding, -1)
     )
-    grown = F.pow(F.lit(2.0), F.col("__t"))
-    shrunk = F.pow(F.lit(2.0), -F.col("__t"))
-    return rows.select(
-        "*",
+    inside = rows.withColumns({f"__s_{s}": F.sum(F.col(s) * grown).over(earlier) for s in sums})
+    shrunk = F.pow(F.lit(2.0), -F.col("__o"))
+    return inside.join(carry, same, "left").select(
+        *df.columns,
         *[
-            (F.coalesce(F.sum(F.col(s) * grown).over(earlier), F.lit(0.0)) * shrunk).alias(f"prior_{s}")
+            ((F.coalesce(F.col(f"__s_{s}"), F.lit(0.0)) + F.coalesce(F.col(f"__c_{s}"), F.lit(0.0))) * shrunk)
+            .alias(f"prior_{s}")
             for s in sums
         ],
-    ).drop("__t")
+    )
 
 
 def shrink_rating(

@@ -102,6 +102,38 @@ def dist_summary(t):
     return out.withColumns({c: rounded(c, d) for c, d in digits.items()})
 
 
+_GAPS = """
+WITH g AS (
+  SELECT nullif(l_returnflag, 'R') AS flag,
+    CASE WHEN l_returnflag <> 'N' AND l_quantity <= 45 THEN l_extendedprice END AS price FROM lineitem)
+"""
+
+
+def _gaps(t):
+    """A null group, and a group whose values are all null."""
+    value = F.when((F.col("l_returnflag") != "N") & (F.col("l_quantity") <= 45), F.col("l_extendedprice"))
+    return t.lineitem.select(F.expr("nullif(l_returnflag, 'R')").alias("flag"), value.alias("price"))
+
+
+@query("dist_summary_nulls", _GAPS + """
+SELECT flag, count(price) AS n, round(avg(price), 3) AS mean, round(stddev_samp(price), 3) AS sd,
+  round(quantile_cont(price, 0.05), 4) AS p05, round(quantile_cont(price, 0.5), 4) AS p50, round(quantile_cont(price, 0.95), 4) AS p95
+FROM g GROUP BY flag
+""")
+def dist_summary_nulls(t):
+    out = aggregates.dist_summary(_gaps(t), "flag", "price")
+    return out.select("flag", "n", *[rounded(c, 3).alias(c) for c in ("mean", "sd")], *[rounded(c, 4).alias(c) for c in ("p05", "p50", "p95")])
+
+
+@query("concentration_nulls", _GAPS + """
+SELECT flag, count(*) AS n, count(*) FILTER (WHERE price >= 20000) AS n_ge_20000, max(price) AS max_value,
+  round(quantile_cont(price, 0.5), 4) AS median_value FROM g GROUP BY flag
+""")
+def concentration_nulls(t):
+    out = aggregates.concentration(_gaps(t), "flag", "price", [20_000])
+    return out.withColumn("median_value", rounded("median_value", 4))
+
+
 @query("calibration_line", _EST + """
 SELECT ship_year, count(*) AS n, round(regr_slope(actual, estimate), 6) AS slope, round(regr_intercept(actual, estimate), 3) AS intercept,
   round(stddev_pop(estimate) / stddev_pop(actual), 6) AS sd_ratio FROM e GROUP BY ALL
@@ -535,11 +567,11 @@ def quality_report(t):
 WITH s AS (SELECT l_orderkey, sum(l_extendedprice * (1 - l_discount)) AS total FROM lineitem GROUP BY ALL), j AS (
   SELECT o.o_totalprice AS a, s.total AS b FROM orders o FULL JOIN s ON s.l_orderkey = o.o_orderkey
 )
-SELECT 'total' AS check_name, count(*) FILTER (WHERE (a IS NULL) <> (b IS NULL) OR coalesce(abs(a - b) > 200000, false)) AS issue_count FROM j
+SELECT 'total' AS check_name, count(*) FILTER (WHERE (a IS NULL) <> (b IS NULL) OR coalesce(abs(a - b) > 1e-6, false)) AS issue_count FROM j
 """)
 def recompute_check(t):
     stored = t.orders.select("o_orderkey", F.col("o_totalprice").alias("total"))
     rebuilt = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
         F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("total")
     )
-    return quality.recompute_check(stored, rebuilt, ["o_orderkey"], ["total"], tolerance=200_000)
+    return quality.recompute_check(stored, rebuilt, ["o_orderkey"], ["total"], tolerance=1e-6)

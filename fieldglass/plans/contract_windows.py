@@ -173,6 +173,21 @@ def decayed_prior(t):
     return out.select("user_id", "day", rounded("prior_n").alias("prior_n"), rounded("prior_v").alias("prior_v"))
 
 
+@query("decayed_prior_long", """
+WITH d AS (
+  SELECT nullif(o_orderpriority, '5-LOW') AS priority, CAST(o_orderdate AS DATE) AS day, sum(o_totalprice) AS v FROM orders GROUP BY ALL
+)
+SELECT a.priority, a.day, round(coalesce(sum(b.v * pow(2, -(a.day - b.day)::DOUBLE)), 0), 4) AS prior_v
+FROM d a LEFT JOIN d b ON b.priority IS NOT DISTINCT FROM a.priority AND b.day < a.day GROUP BY a.priority, a.day
+""")
+def decayed_prior_long(t):
+    days = t.orders.groupBy(
+        F.expr("nullif(o_orderpriority, '5-LOW')").alias("priority"), F.to_date("o_orderdate").alias("day")
+    ).agg(F.sum("o_totalprice").alias("v"))
+    out = windows.decayed_prior(days, "priority", "day", 1.0, ["v"])
+    return out.select("priority", "day", rounded("prior_v", 4).alias("prior_v"))
+
+
 @query("shrink_rating", _DECAY_SQL + """, l AS (
   SELECT day, sum(n) AS n, sum(v) AS v, sum(v2) AS v2 FROM d GROUP BY day
 ), p AS (
@@ -273,6 +288,54 @@ def asof_strict(t):
     )
 
 
+def _with_nulls(t):
+    """Events under a coarse key; every 5th key and every 11th time is null, and whole seconds make ties."""
+    return t.events.select(
+        F.when(F.col("user_id") % 5 != 0, F.col("user_id") % 50).alias("key"), "event_id", "event_type", "value",
+        F.when(F.col("event_id") % 11 != 0, F.date_trunc("hour", "ts").cast("timestamp_ntz")).alias("ts"),
+    )
+
+
+_NULLS_SQL = """
+WITH n AS (
+  SELECT CASE WHEN user_id % 5 <> 0 THEN user_id % 50 END AS key, event_id, event_type, value,
+    CASE WHEN event_id % 11 <> 0 THEN CAST(date_trunc('hour', ts) AS TIMESTAMP) END AS ts FROM events
+), v AS (SELECT * FROM n WHERE event_type = 'view'), p AS (SELECT * FROM n WHERE event_type = 'purchase')
+"""
+
+
+@query("asof_nulls", _NULLS_SQL + """, r AS (
+  SELECT strict, p.key, p.event_id, p.ts, v.event_id AS view_event_id,
+    row_number() OVER (PARTITION BY strict, p.event_id ORDER BY v.ts DESC NULLS LAST, v.event_id DESC NULLS LAST) AS rn
+  FROM (VALUES (true), (false)) AS m(strict) CROSS JOIN p
+  LEFT JOIN v ON v.key = p.key AND (v.ts < p.ts OR (NOT strict AND v.ts = p.ts)))
+SELECT strict, key, event_id, ts, view_event_id FROM r WHERE rn = 1
+""")
+def asof_nulls(t):
+    events = _with_nulls(t)
+    purchases = events.where("event_type = 'purchase'").select("key", "event_id", "ts")
+    views = events.where("event_type = 'view'").select("key", F.col("event_id").alias("view_event_id"), F.col("ts").alias("view_ts"))
+    parts = [
+        asof.asof_join(purchases, views, "key", "ts", "view_ts", ["view_event_id"], ["view_event_id"], strict=strict)
+        .withColumn("strict", F.lit(strict)) for strict in (True, False)
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+@query("latest_before_nulls", _NULLS_SQL + """, r AS (
+  SELECT p.key, p.event_id, v.event_id AS view_event_id,
+    row_number() OVER (PARTITION BY p.event_id ORDER BY v.ts DESC NULLS LAST, v.event_id DESC NULLS LAST) AS rn
+  FROM p LEFT JOIN v ON v.key = p.key AND v.ts > p.ts AND v.ts < p.ts + INTERVAL 3 DAYS)
+SELECT key, event_id, view_event_id FROM r WHERE rn = 1
+""")
+def latest_before_nulls(t):
+    events = _with_nulls(t)
+    entry = events.where("event_type = 'purchase'").select("key", "event_id", "ts", F.expr("ts + INTERVAL 3 DAYS").alias("until"))
+    views = events.where("event_type = 'view'").select("key", F.col("event_id").alias("view_event_id"), F.col("ts").alias("view_ts"))
+    out = asof.latest_before(entry, views, "key", "ts", "until", "view_ts", ["view_event_id"], ["view_event_id"])
+    return out.select("key", "event_id", "view_event_id")
+
+
 @query("latest_before_deadline", """
 WITH s AS (SELECT * FROM events WHERE event_type = 'signup'), c AS (SELECT * FROM events WHERE event_type = 'click')
 SELECT user_id, event_id, click_event_id, click_ts, movement,

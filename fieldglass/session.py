@@ -63,15 +63,6 @@ def shared_folder(spark: SparkSession) -> str:
     return fresh
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder; survives executor loss."""
-    spark = df.sparkSession
-    folder = shared_folder(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 def land(df: DataFrame, label: str) -> DataFrame:
     """Write rows once to the shared folder and go on from there.
 
@@ -82,13 +73,3 @@ def land(df: DataFrame, label: str) -> DataFrame:
     location = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(location)
     return spark.read.schema(df.schema).parquet(location)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on an input of fewer splits than cores.
-
-    For rows that cost much to compute; files of ordinary size already have more
-    splits than that, and then nothing is moved.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -167,7 +167,7 @@ def audited(spark: SparkSession, location: str, mode: str, work: Callable[[], in
     try:
         count = work()
     except Exception as error:
-        record_run(spark, location, **base, completed_at=datetime.now(timezone.utc), status="FAILED", error_message=str(error)[:500])
+        record_run(spark, location, **base, completed_at=datetime.now(timezone.utc), status="FAILED", error_message=str(error))
         raise
     record_run(spark, location, **base, completed_at=datetime.now(timezone.utc), status="SUCCESS", archived_market_row_count=count)
     return run_id

@@ -134,7 +134,7 @@ def test_asof_join(frame, rows, strict, hot):
     for key, i, ts, _ in rows:
         if i % 2:
             continue
-        past = [(r[2], r[1]) for r in rows if r[0] == key and r[1] % 2 and (r[2] < ts or (not strict and r[2] == ts))]
+        past = [(r[2], r[1]) for r in rows if key is not None and r[0] == key and r[1] % 2 and (r[2] < ts or (not strict and r[2] == ts))]
         assert got[i] == (max(past)[1] if past else None)
 
 
@@ -146,7 +146,7 @@ def test_latest_before(frame, rows, hot):
     for key, i, ts, _ in rows:
         if i % 2:
             continue
-        past = [(r[2], r[1]) for r in rows if r[0] == key and r[1] % 2 and ts < r[2] < ts + timedelta(days=2)]
+        past = [(r[2], r[1]) for r in rows if key is not None and r[0] == key and r[1] % 2 and ts < r[2] < ts + timedelta(days=2)]
         assert got[i] == (max(past)[1] if past else None)
 
 
