@@ -392,13 +392,15 @@ WITH h AS (
 ), k AS (
   SELECT user_id, day, min(rn) - 1 AS before FROM h GROUP BY ALL
 )
-SELECT k.user_id, k.day, count(h.rn) AS count_last_4, CAST(sum(amount) AS BIGINT) / nullif(count(h.rn), 0) AS mean_last_4
+SELECT k.user_id, k.day, count(h.rn) AS count_last_4, CAST(sum(amount) AS BIGINT) / nullif(count(h.rn), 0) AS mean_last_4,
+  round(stddev_samp(amount), 1) AS sd_last_4
 FROM k LEFT JOIN h ON h.user_id = k.user_id AND h.rn <= k.before AND h.rn > k.before - 4 GROUP BY ALL
 """)
 def trailing_n_keyed(t):
     history = t.events.select("user_id", F.to_date("ts").alias("day"), "ts", "event_id", cents("value").alias("amount"))
     targets = history.select("user_id", "day").distinct()
-    return asof.trailing_n(targets, history, "day", ["ts", "event_id"], "amount", [4], by="user_id").drop("sd_last_4")
+    out = asof.trailing_n(targets, history, "day", ["ts", "event_id"], "amount", [4], by="user_id")
+    return out.withColumn("sd_last_4", rounded("sd_last_4", 1))
 
 
 @query("trailing_n", """
@@ -410,11 +412,16 @@ SELECT k.day,
   count(*) FILTER (WHERE h.rn > k.before - 32) AS count_last_32,
   CAST(sum(price) FILTER (WHERE h.rn > k.before - 32) AS BIGINT) / nullif(count(*) FILTER (WHERE h.rn > k.before - 32), 0) AS mean_last_32,
   round(stddev_samp(price) FILTER (WHERE h.rn > k.before - 32), 1) AS sd_last_32,
-  count(h.rn) AS count_last_64, CAST(sum(price) AS BIGINT) / nullif(count(h.rn), 0) AS mean_last_64, round(stddev_samp(price), 1) AS sd_last_64
-FROM k LEFT JOIN h ON h.rn <= k.before AND h.rn > k.before - 64 GROUP BY k.day, k.before
+  count(*) FILTER (WHERE h.rn > k.before - 64) AS count_last_64,
+  CAST(sum(price) FILTER (WHERE h.rn > k.before - 64) AS BIGINT) / nullif(count(*) FILTER (WHERE h.rn > k.before - 64), 0) AS mean_last_64,
+  round(stddev_samp(price) FILTER (WHERE h.rn > k.before - 64), 1) AS sd_last_64,
+  count(*) FILTER (WHERE h.rn > k.before - 128) AS count_last_128,
+  CAST(sum(price) FILTER (WHERE h.rn > k.before - 128) AS BIGINT) / nullif(count(*) FILTER (WHERE h.rn > k.before - 128), 0) AS mean_last_128,
+  round(stddev_samp(price) FILTER (WHERE h.rn > k.before - 128), 1) AS sd_last_128
+FROM k LEFT JOIN h ON h.rn <= k.before AND h.rn > k.before - 128 GROUP BY k.day, k.before
 """)
 def trailing_n(t):
     history = t.orders.select(F.to_date("o_orderdate").alias("day"), "o_orderkey", cents("o_totalprice").alias("price"))
     targets = history.select("day").distinct()
-    out = asof.trailing_n(targets, history, "day", ["o_orderkey"], "price", [32, 64])
-    return out.withColumns({c: rounded(c, 1) for c in ("sd_last_32", "sd_last_64")})
+    out = asof.trailing_n(targets, history, "day", ["o_orderkey"], "price", [32, 64, 128])
+    return out.withColumns({c: rounded(c, 1) for c in ("sd_last_32", "sd_last_64", "sd_last_128")})
