@@ -12,7 +12,7 @@ def large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     out = both.join(least, "u").where("v > u")
-    return out.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+    return out.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
 
 
 def small_star(edges: DataFrame) -> DataFrame:

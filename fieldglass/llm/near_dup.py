@@ -7,9 +7,10 @@ How pairs are found without ever listing all pairs of a group:
    with its smallest member, by signature and then on the full sets.
 3. These links give components.  In a bucket that holds several components only
    members of different components can still add a link.  Their signatures are
-   compared block against block inside tasks: first each outsider finds its best
-   partner in every other component, and the links found join most components;
-   then whatever pairs are still likely go to the full sets.
+   compared block against block inside tasks.  First each outsider finds its best
+   partner, in some of the buckets; the links found join most components.  Then
+   all buckets that still hold several components are compared, each pair in the
+   first bucket it shares, and whatever is likely goes to the full sets.
 """
 
 from __future__ import annotations
@@ -30,10 +31,12 @@ SIMILARITY_PERCENT = 80
 #: With 64 bands of 8 minima a pair at 0.8 is missed with probability below 1e-5, one at 0.3 meets in 0.4 %.
 BANDS = 64
 ROWS_PER_BAND = 8
-#: A pair goes on to the full sets if its signature is no further below the limit than this (over 5 standard errors of 512 minima).
-SIGNATURE_SLACK = 0.1
+#: A pair goes on to the full sets if its signature is no further below the limit than this (4 standard errors of 512 minima).
+SIGNATURE_SLACK = 0.07
 #: Documents in one block of a bucket.
-TILE = 128
+TILE = 512
+#: Rounds in which outsiders look for their best partner, each in one of so many parts of the buckets.
+BEST_ROUNDS, BUCKET_PARTS = 2, 8
 
 #: Word hashes a worker remembers; beyond that it starts anew.
 REMEMBERED = 400_000
@@ -185,46 +188,47 @@ def across(mixed: DataFrame, signatures: DataFrame, similarity_percent: int, bes
     Every document outside its bucket's largest component is compared with all
     others of the bucket, in blocks of about ``TILE`` documents, so that no task
     holds a bucket and no pair becomes a row before its signatures agree.  With
-    ``best_only`` a document gives its best partner in each other component of a
-    block, else all.
+    ``best_only`` a document gives its best partner in a block; else all likely
+    ones for which this is the first bucket they share.
     """
     kind = dict(mixed.dtypes)["doc_id"]
     floor = similarity_percent / 100 - SIGNATURE_SLACK
     loaded = mixed.join(signatures, "doc_id")
     tile = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / TILE))
-    item = F.struct("doc_id", "component", "signature", "outside")
+    item = F.struct("doc_id", "component", "signature", "outside", "buckets")
     tiles = landed(loaded.groupBy("bucket", tile.alias("tile")).agg(F.collect_list(item).alias("items")), "tiles")
     outside = tiles.select("bucket", F.filter("items", lambda x: x["outside"]).alias("few")).where(F.size("few") > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: list[tuple] = []
-            for few, items in zip(batch.column(0), batch.column(1), strict=True):
-                found += _likely_pairs(few.as_py(), items.as_py(), floor, best_only)
+            for bucket, few, items in zip(*(batch.column(i) for i in range(3)), strict=True):
+                found += _likely_pairs(few.as_py(), items.as_py(), floor, None if best_only else bucket.as_py())
+            ids = batch.column(1).type.value_type.field("doc_id").type
             yield pa.RecordBatch.from_arrays(
-                [pa.array([p[0] for p in found], batch.column(0).type.value_type.field("doc_id").type),
-                 pa.array([p[1] for p in found], batch.column(0).type.value_type.field("doc_id").type)],
-                names=["a", "b"],
+                [pa.array([p[0] for p in found], ids), pa.array([p[1] for p in found], ids)], names=["a", "b"]
             )
 
     # The blocks of outsiders are joined to all blocks of their bucket.
-    joined = tiles.select("bucket", "items").join(outside, "bucket").select("few", "items")
+    joined = tiles.select("bucket", "items").join(outside, "bucket").select("bucket", "few", "items")
     return joined.mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
-def _likely_pairs(few: list[dict], items: list[dict], floor: float, best_only: bool) -> list[tuple]:
-    left = np.stack([np.frombuffer(x["signature"], np.uint8) for x in few])
-    right = np.stack([np.frombuffer(x["signature"], np.uint8) for x in items])
+def _likely_pairs(few: list[dict], items: list[dict], floor: float, bucket: int | None) -> list[tuple]:
+    """Pairs of two blocks; without a bucket the best of each outsider, else those that share no earlier bucket."""
+    left, right = (np.stack([np.frombuffer(x["signature"], np.uint8) for x in block]) for block in (few, items))
+    own, other = (np.array([x["buckets"] for x in block], np.int64) for block in (few, items))
     parts = np.array([x["component"] for x in items])
     out = []
-    for x, own in zip(few, left, strict=True):
-        share = ((right == own).mean(1) - 1 / 256) / (1 - 1 / 256)
+    for i, x in enumerate(few):
+        share = ((right == left[i]).mean(1) - 1 / 256) / (1 - 1 / 256)
         likely = np.flatnonzero((share >= floor) & (parts != x["component"]))
-        if best_only and len(likely) > 1:
-            ordered = likely[np.argsort(-share[likely], kind="stable")]
-            _, first = np.unique(parts[ordered], return_index=True)
-            likely = ordered[first]
-        out += [(min(x["doc_id"], y), max(x["doc_id"], y)) for y in (items[i]["doc_id"] for i in likely)]
+        if bucket is None:
+            likely = likely[np.argsort(-share[likely], kind="stable")[:1]]
+        elif len(likely):
+            first = (other[likely] == own[i]).argmax(1)
+            likely = likely[own[i][first] == bucket]
+        out += [(min(x["doc_id"], y), max(x["doc_id"], y)) for y in (items[k]["doc_id"] for k in likely)]
     return out
 
 
@@ -263,12 +267,15 @@ def near_duplicates(
     compared = landed(similarities(stars, sets, similarity_percent), "compared")
     labels = landed(components(_linked(compared)), "labels")
 
-    signatures = filled.select("doc_id", "signature").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    for best_only in (True, False):
-        mixed = mixed_buckets(members, labels)
+    marks = filled.select("doc_id", "signature", "buckets").join(wanted, "doc_id", "left_semi")
+    marks = landed(marks.dropDuplicates(["doc_id"]), "marks")
+    for turn in range(BEST_ROUNDS + 1):
+        best_only = turn < BEST_ROUNDS
+        part = F.pmod("bucket", F.lit(BUCKET_PARTS)) == turn
+        mixed = mixed_buckets(members.where(part) if best_only else members, labels)
         if mixed.isEmpty():
-            break
-        pairs = landed(across(mixed, signatures, similarity_percent, best_only), "pairs")
+            continue
+        pairs = landed(across(mixed, marks, similarity_percent, best_only), "pairs")
         more = landed(_linked(similarities(pairs, sets, similarity_percent)), "more")
         if not more.isEmpty():
             known = labels.select(F.col("id").alias("u"), F.col("component").alias("v"))
