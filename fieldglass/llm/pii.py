@@ -135,8 +135,8 @@ def _context(pieces: Column, i: Column) -> Column:
 
 
 def followers(docs: DataFrame, contexts: DataFrame) -> DataFrame:
-    """How often each context is followed by any word at all, in the texts that hold an identifier-like word."""
-    rows = docs.where(F.col("text").rlike("[0-9@]")).select(F.split("text", _PIECES, -1).alias("pieces"))
+    """How often each context is followed by any word at all, in all texts."""
+    rows = docs.select(F.split("text", _PIECES, -1).alias("pieces"))
     rows = rows.select("pieces", F.explode(F.sequence(F.lit(2), F.greatest(F.lit(2), F.size("pieces") - 1))).alias("i"))
     rows = rows.where(F.col("i") < F.size("pieces")).select(_context(F.col("pieces"), F.col("i")).alias("context"))
     return rows.join(contexts, "context", "left_semi").groupBy("context").count()

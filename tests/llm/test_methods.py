@@ -65,6 +65,15 @@ def test_contexts_find_unseen_identifiers(spark):
     assert {r["doc_id"]: r["text"] for r in masked}[40] == "My call phone line <phone> is odd."
 
 
+def test_texts_without_digits_count_against_a_context(spark):
+    rows = [(i, f"Please call phone line +1 555 010 {1000 + i} now.") for i in range(30)]
+    rows += [(100 + i, "Any phone line hums at night.") for i in range(60)]
+    rows += [(40, "My call phone line 5550104444 is odd.")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {r["doc_id"]: r["spans"] for r in pii.find_personal_data(frame).collect()}
+    assert found[40] == []
+
+
 def test_pii_query(spark):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{MIDDLE}/documents.parquet").collect()}
     for row in QUERIES["op6_pii"](spark, MIDDLE).collect():
