@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fieldglass.llm.common import DOCUMENT_COLUMNS, landed, texts
+from fieldglass.llm.common import DOCUMENT_COLUMNS, landed, texts, words_of
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base expressions (fixed values of the contract).  Runs are possessive and start where no earlier
@@ -33,6 +33,15 @@ SURE = 0.9
 DOUBT = 1.0
 
 _PIECES = r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])"
+#: Stands for the words before the first one of a text.
+START = "\u0002"
+#: A card has at most so many digits, a phone number fewer.
+MOST_DIGITS = 19
+#: A digit group, what may stand before another one, and the white space between them.
+_GROUP = r"^\(?[0-9](?:[0-9().-]*[0-9)])?(?=[\x22')\]}>»”.,;:!?]*[\x20\x09-\x0D]*$)"
+_GROUP_BEFORE = r"^[\x22'(\[{<«“]*[0-9](?:[0-9().-]*[0-9)-])?[\x20\x09]+$"
+_GAP = r"[\x20\x09-\x0D]+$"
+_AREA_CODE = r"^[\x22'\[{<«“]*\([0-9]+\)"
 _OUTSIDE = r"^[\x22'(\[{<«“]+|[\x22')\]}>»”.,;:!?\x20\x09-\x0D]+$"
 
 
@@ -101,45 +110,86 @@ def base_spans(docs: DataFrame) -> DataFrame:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """Identifier-like words with their left context: doc_key, context, value, start, end, kind and whole.
+    """Identifier-like words with their left context: doc_key, context, value, start, end, groups, kind and whole.
 
-    Kind and whole are those of the base span that the word is part of, else null and the word.
+    Kind and whole are those of the base span that the word is part of, else null
+    and the word with the digit groups that go on from it (``groups``, at most
+    MOST_DIGITS digits in all, none of them in a base span).
 
     A word is what lies between white space, without outer punctuation; it is
     identifier-like if it holds a digit or an at sign.  Contexts are the two words
-    before, lower-cased, digits made 0.
+    before, lower-cased, digits made 0; START stands for words before the first.
     """
     rows = docs.where(F.col("text").rlike("[0-9@]")).select(
         "doc_key", "text", "base", F.split("text", _PIECES, -1).alias("pieces")
     )
     rows = rows.select("doc_key", "base", "pieces", F.posexplode("pieces").alias("i", "piece"))
-    rows = rows.where(F.col("piece").rlike("[0-9@]") & (F.col("i") >= 2))
+    rows = rows.where(F.col("piece").rlike("[0-9@]"))
     before = F.length(F.array_join(F.slice("pieces", 1, F.col("i")), ""))
+    # An area code keeps its opening bracket if digits go on after it.
     lead = F.length(F.regexp_extract("piece", r"^[\x22'(\[{<«“]*", 0))
     rows = rows.select(
-        "doc_key", "base", _context(F.col("pieces"), F.col("i")).alias("context"),
-        F.regexp_replace("piece", _OUTSIDE, "").alias("value"), (before + lead).alias("start"),
+        "doc_key", "base", "piece", _context(F.col("pieces"), F.col("i")).alias("context"),
+        F.slice("pieces", F.col("i") + 2, MOST_DIGITS - 1).alias("next"),
+        F.regexp_replace("piece", _OUTSIDE, "").alias("value"), (before + lead).alias("start"), (before + F.length("piece")).alias("after"),
     ).where("value != ''")
     end = F.col("start") + F.length("value")
     touching = F.filter("base", lambda s: (s["start"] < end) & (s["end"] > F.col("start")))
     first = F.get(touching, F.lit(0))
+    limit = F.array_min(F.transform(F.filter("base", lambda s: s["start"] >= end), lambda s: s["start"]))
+    rows = rows.select(
+        "doc_key", "context", "value", "start", end.alias("end"), first["kind"].alias("kind"), first["value"].alias("base_value"),
+        F.when(first.isNull() & F.col("piece").rlike(_GROUP_BEFORE), _following(limit)).otherwise(F.array().cast("array<string>")).alias("groups"),
+        F.col("piece").rlike(_AREA_CODE).cast("int").alias("bracket"), F.col("piece").alias("piece"),
+    )
+    opened = (F.size("groups") > 0) & (F.col("bracket") == 1)
+    rows = rows.withColumn("value", F.when(opened, F.concat(F.lit("("), F.regexp_extract("piece", r"[0-9].*?[0-9)](?=[\x20\x09]*$)", 0))).otherwise(F.col("value")))
+    rows = rows.withColumn("start", F.col("start") - opened.cast("int")).withColumn("end", F.col("start") + F.length("value"))
     return rows.select(
-        "doc_key", "context", "value", "start", end.alias("end"), first["kind"].alias("kind"),
-        F.coalesce(first["value"], "value").alias("whole"),
+        "doc_key", "context", "value", "start", "end", "groups", "kind",
+        F.coalesce("base_value", F.concat("value", F.array_join("groups", ""))).alias("whole"),
     )
 
 
+def _following(limit: Column) -> Column:
+    """The digit groups right after a word, each with what lies before it: joined to the word they give the text."""
+    start = F.struct(
+        F.array().cast("array<string>").alias("groups"), F.lit(True).alias("live"),
+        F.length(_digits(F.col("value"))).alias("digits"), F.regexp_extract("piece", _GAP, 0).alias("gap"), F.col("after").alias("at"),
+    )
+
+    def add(acc: Column, piece: Column) -> Column:
+        group = F.regexp_extract(piece, _GROUP, 0)
+        digits = acc["digits"] + F.length(_digits(group))
+        at = acc["at"] + F.length(piece)
+        fits = acc["live"] & (group != "") & (digits <= MOST_DIGITS) & (limit.isNull() | (acc["at"] + F.length(group) <= limit))
+        return F.struct(
+            F.when(fits, F.array_append(acc["groups"], F.concat(acc["gap"], group))).otherwise(acc["groups"]).alias("groups"),
+            (fits & piece.rlike(_GROUP_BEFORE)).alias("live"), digits.alias("digits"),
+            F.regexp_extract(piece, _GAP, 0).alias("gap"), at.alias("at"),
+        )
+
+    return F.aggregate("next", start, add, lambda acc: acc["groups"])
+
+
 def _context(pieces: Column, i: Column) -> Column:
-    words = F.lower(F.concat(F.get(pieces, i - 2), F.get(pieces, i - 1)))
+    def word(at: Column) -> Column:
+        piece = F.get(pieces, at)
+        return F.when(piece.rlike(r"[^\x20\x09-\x0D]"), piece).otherwise(F.lit(START + " "))
+
+    words = F.lower(F.concat(word(i - 2), word(i - 1)))
     return F.trim(F.regexp_replace(F.regexp_replace(words, "[0-9]", "0"), r"[\x20\x09-\x0D]+", " "))
 
 
 def followers(docs: DataFrame, contexts: DataFrame) -> DataFrame:
     """How often each context is followed by any word at all, in all texts."""
-    rows = docs.select(F.split("text", _PIECES, -1).alias("pieces"))
-    rows = rows.select("pieces", F.explode(F.sequence(F.lit(2), F.greatest(F.lit(2), F.size("pieces") - 1))).alias("i"))
-    rows = rows.where(F.col("i") < F.size("pieces")).select(_context(F.col("pieces"), F.col("i")).alias("context"))
-    return rows.join(contexts, "context", "left_semi").groupBy("context").count()
+    rows = docs.select(words_of(F.lower(F.regexp_replace("text", "[0-9]", "0"))).alias("words"))
+
+    def word(at: Column) -> Column:
+        return F.coalesce(F.get("words", at), F.lit(START))
+
+    rows = rows.select(F.explode(F.transform("words", lambda w, i: F.concat_ws(" ", word(i - 2), word(i - 1)))).alias("context"))
+    return rows.join(contexts, "context", "left_semi").groupBy("context").agg(F.count("*").alias("total"))
 
 
 def learn_patterns(docs: DataFrame, found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -148,43 +198,88 @@ def learn_patterns(docs: DataFrame, found: DataFrame, rounds: int = ROUNDS) -> D
     Base identifiers have the confidence 1 for their kind, others what the best
     pattern before them gives.  A pattern's confidence is the sum over the
     different identifiers after it, divided by the number of all words after it.
+
+    Patterns enter the graph with LEAST_SEEDS different base identifiers.  In each
+    round those join them that have as many different identifiers of the
+    confidence SURE, base ones or found ones, if these could make them sure.
     """
-    edges = found.groupBy("context", F.col("whole").alias("value")).agg(
+    edges = landed(found.groupBy("context", F.col("whole").alias("value")).agg(
         F.max("kind").alias("kind"), F.count("*").alias("n")
-    )
-    seeds = found.where("kind is not null").groupBy("context", "kind").agg(F.countDistinct("whole").alias("seeds"))
-    seeds = landed(seeds.where(F.col("seeds") >= LEAST_SEEDS), "seeds")
-    if seeds.isEmpty():
-        return seeds.select("context", "kind")
-    contexts = landed(seeds.select("context").distinct(), "contexts")
-    totals = landed(followers(docs, contexts), "followers").withColumnRenamed("count", "total")
-    edges = landed(edges.join(contexts, "context", "left_semi"), "edges")
-    kinds = seeds.select("context", F.col("kind").alias("label"))
-    known = edges.join(kinds, "context").select(
-        "context", "label", "value", "n", (F.col("kind").eqNullSafe(F.col("label"))).cast("double").alias("trust"),
-        F.col("kind").isNotNull().alias("fixed"),
-    )
+    ), "edges")
+    seeds = edges.where("kind is not null").groupBy("context", F.col("kind").alias("label")).agg(F.count("*").alias("seeds"))
+    active = landed(seeds.where(F.col("seeds") >= LEAST_SEEDS).select("context", "label"), "active")
+    if active.isEmpty():
+        return active.withColumnRenamed("label", "kind")
+    totals = landed(followers(docs, active.select("context").distinct()), "followers")
+    best = None
     for _ in range(rounds):
-        scored = known.groupBy("context", "label").agg(F.sum(F.col("trust") * F.col("n")).alias("good"))
-        scored = scored.join(totals, "context").select(
-            "context", "label", (F.col("good") / (F.col("total") + DOUBT)).alias("sure")
+        trusted = _trusted(edges, best)
+        best = landed(
+            _scored(trusted, active, totals).join(edges.where("kind is null"), "context").groupBy("label", "value")
+            .agg(F.max("sure").alias("trust")), "best",
         )
-        best = known.join(scored, ["context", "label"]).groupBy("label", "value").agg(F.max("sure").alias("best"))
-        known = landed(
-            known.join(best, ["label", "value"]).select(
-                "context", "label", "value", "n",
-                F.when(F.col("fixed"), F.col("trust")).otherwise(F.col("best")).alias("trust"), "fixed",
-            ),
-            "graph",
-        )
-    scored = known.groupBy("context", "label").agg(F.sum(F.col("trust") * F.col("n")).alias("good"))
-    scored = scored.join(totals, "context").withColumn("sure", F.col("good") / (F.col("total") + DOUBT))
-    ranked = scored.where(F.col("sure") >= SURE).groupBy("context").agg(
+        strong = _trusted(edges, best)
+        # All words after a context are at least the identifier-like ones.
+        words = edges.groupBy("context").agg(F.sum("n").alias("words"))
+        reached = strong.groupBy("context", "label").agg(
+            F.sum((F.col("trust") >= SURE).cast("long")).alias("seeds"), F.sum(F.col("trust") * F.col("n")).alias("good")
+        ).where(F.col("seeds") >= LEAST_SEEDS).join(words, "context")
+        reached = reached.where(F.col("good") >= SURE * (F.col("words") + DOUBT)).select("context", "label")
+        fresh = landed(reached.join(active, ["context", "label"], "left_anti"), "fresh")
+        if not fresh.isEmpty():
+            unseen = landed(fresh.select("context").distinct().join(totals, "context", "left_anti"), "unseen")
+            if not unseen.isEmpty():
+                totals = landed(totals.unionByName(followers(docs, unseen)), "followers")
+            active = landed(active.unionByName(fresh), "active")
+    ranked = _scored(_trusted(edges, best), active, totals).where(F.col("sure") >= SURE).groupBy("context").agg(
         F.max(F.struct("sure", "label")).alias("top")
     )
     return ranked.select("context", F.col("top.label").alias("kind"))
 
 
+def _trusted(edges: DataFrame, best: DataFrame | None) -> DataFrame:
+    """Context, label, value, n and trust of all identifiers with a confidence so far."""
+    base = edges.where("kind is not null").select("context", F.col("kind").alias("label"), "value", "n", F.lit(1.0).alias("trust"))
+    if best is None:
+        return base
+    other = edges.where("kind is null").join(best, "value")
+    return base.unionByName(other.select("context", "label", "value", "n", "trust"))
+
+
+def _scored(trusted: DataFrame, active: DataFrame, totals: DataFrame) -> DataFrame:
+    """The confidence of every pattern in the graph."""
+    good = trusted.groupBy("context", "label").agg(F.sum(F.col("trust") * F.col("n")).alias("good"))
+    scored = good.join(active, ["context", "label"]).join(totals, "context")
+    return scored.select("context", "label", (F.col("good") / (F.col("total") + DOUBT)).alias("sure"))
+
+
+def _grown(kind: Column) -> Column:
+    """Value of an added span: the word, and for cards and phones the digit groups that go on from it."""
+    most = F.when(kind == "card", MOST_DIGITS).when(kind == "phone", 15).otherwise(0)
+    return F.aggregate(
+        "groups", F.struct(F.col("value").alias("text"), F.lit(True).alias("live")),
+        lambda acc, g: F.struct(
+            F.when(acc["live"] & (F.length(_digits(F.concat(acc["text"], g))) <= most), F.concat(acc["text"], g))
+            .otherwise(acc["text"]).alias("text"),
+            (acc["live"] & (F.length(_digits(F.concat(acc["text"], g))) <= most)).alias("live"),
+        ),
+        lambda acc: acc["text"],
+    )
+
+
+def _outer(spans: Column) -> Column:
+    """Spans without those that lie inside another one."""
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(
+        s["start"].alias("start"), (-s["end"]).alias("back"), s.alias("span"))))
+    empty = F.struct(F.lit(-1).alias("at"), F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>").alias("kept"))
+    return F.aggregate(
+        ordered, empty,
+        lambda acc, s: F.when(s["span"]["end"] <= acc["at"], acc).otherwise(F.struct(
+            s["span"]["end"].alias("at"), F.array_append(acc["kept"], s["span"]).alias("kept"))),
+        lambda acc: acc["kept"],
+    )
+
+
 def find_personal_data(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """All spans of personal data, one row per row: doc_id, text, base, spans.
 
@@ -203,10 +298,11 @@ def find_personal_data(docs: DataFrame, id_column: str = "doc_id", text_column:
     patterns = landed(learn_patterns(plain, found), "patterns")
     if patterns.isEmpty():
         return plain.select("doc_id", "text", "base", F.col("base").alias("spans"))
-    fresh = found.where("kind is null").drop("kind", "whole").join(patterns, "context")
+    fresh = found.where("kind is null").drop("kind", "whole", "end").join(patterns, "context")
+    fresh = fresh.withColumn("value", _grown(F.col("kind"))).withColumn("end", F.col("start") + F.length("value"))
     span = F.struct("kind", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "value")
     # Spans of one text only; equal texts have the same ones.
-    added = fresh.groupBy("doc_key").agg(F.collect_set(span).alias("added"))
+    added = fresh.groupBy("doc_key").agg(_outer(F.collect_set(span)).alias("added"))
     joined = plain.join(landed(added, "added"), "doc_key", "left")
     nothing = F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>")
     every = F.concat("base", F.coalesce("added", nothing))

@@ -74,6 +74,24 @@ def test_texts_without_digits_count_against_a_context(spark):
     assert found[40] == []
 
 
+def test_found_identifiers_lead_to_new_contexts_and_whole_spans(spark):
+    unseen = [f"55501044{i:02d}" for i in range(5)]
+    texts = [f"Please call phone line +1 555 010 {1000 + i} now." for i in range(300)]
+    texts += [f"My call phone line {u} is odd." for u in unseen]
+    texts += [f"Try the fax desk {u} at noon." for u in unseen for _ in range(4)]
+    texts += [f"Phone: +1 555 020 {1000 + i} is mine." for i in range(30)]
+    first = len(texts)
+    texts += ["Try the fax desk 0307776666 at noon.", "Try phone line (030) 1234 5678 at noon.", "Phone: 5550209999 is mine.", "In phone line 5550104477, 12 of 30 said."]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    masked = pii.clean_documents(frame.selectExpr("*", "'en' lang", "'a' source", "0L n_chars")).where(f"doc_id >= {first}").collect()
+    assert [r["text"] for r in sorted(masked)] == [
+        "Try the fax desk <phone> at noon.", "Try phone line <phone> at noon.", "Phone: <phone> is mine.", "In phone line <phone>, 12 of 30 said."
+    ]
+    found = {r["doc_id"]: r for r in pii.find_personal_data(frame).where(f"doc_id >= {first}").collect()}
+    for i, row in found.items():
+        assert all(texts[i][s["start"]:s["end"]] == s["value"] for s in row["spans"])
+
+
 def test_pii_query(spark):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{MIDDLE}/documents.parquet").collect()}
     for row in QUERIES["op6_pii"](spark, MIDDLE).collect():
