@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
 
-from fieldglass.operators import aggregates, bootstrap, learn, ratings, skew, windows
+from pyspark.sql import DataFrame, functions as F
+
+from fieldglass.functions import scalars
+from fieldglass.operators import aggregates, bootstrap, learn, ratings, reshape, skew, windows
 from fieldglass.plans.contract_aggregates import _losses
 from fieldglass.plans.registry import cents, query, rounded
 
@@ -210,6 +213,14 @@ def _labelled(t):
 
 _FEATURES = ("log_chars", "digit_share", "word_length", "is_english")
 _FOLDS = [10, 12, 14, 16, 18]
+#: All penalties of the reference's grid.
+_CS = (0.001, 0.003, 0.01, 0.03, 0.1, 0.3, 1.0, 3.0, 10.0, 30.0, 100.0, 300.0)
+
+
+def _all_folds(rows) -> list[int]:
+    """Every period of the labelled rows that has an earlier one."""
+    found = rows.where("period is not null and quality is not null").select("period").distinct().collect()
+    return sorted(r["period"] for r in found)[1:]
 
 
 _NEWTON = """
@@ -259,15 +270,27 @@ def backtest_logistic(t):
 def logistic_grid(t):
     rows = _labelled(t)
     candidates = learn.ablation(_FEATURES)
-    fits = learn.fit_logistic(rows, "period", _FOLDS, candidates, [0.1, 1.0], "quality")
-    results = learn.backtest_logistic(rows, fits, "period", "quality")
+    fits = learn.fit_logistic(rows, "period", _all_folds(rows), candidates, _CS, "quality")
+    # The many models are a table joined by fold, not literals of the plan; a feature left out weighs nothing.
+    models = []
+    for f in fits:
+        parts = dict(zip(f.features, zip(f.weights, f.means, f.sds, f.fill)))
+        terms = [[float(v) for v in parts.get(name, (0.0, 0.0, 1.0, 0.0))] for name in _FEATURES]
+        models.append((f.candidate, f.setting, f.fold, float(f.intercept), terms))
+    models = t.spark.createDataFrame(models, "candidate string, setting double, fold long, intercept double, terms array<array<double>>")
+    score = F.col("intercept")
+    for i, name in enumerate(_FEATURES):
+        term = F.get("terms", F.lit(i))
+        score = score + F.get(term, F.lit(0)) * (F.coalesce(name, F.get(term, F.lit(3))) - F.get(term, F.lit(1))) / F.get(term, F.lit(2))
+    oof = rows.join(models, F.col("period") == F.col("fold")).withColumn("prediction", scalars.inverse_logit(score))
+    results = aggregates.probability_metrics(oof, ["candidate", "setting", "fold"], "prediction", "quality", 1e-6)
     return learn.pooled(results, ["brier", "log_loss"])
 
 
 @query("calibrators")
 def calibrators(t):
     rows = _labelled(t)
-    fits = learn.fit_logistic(rows, "period", _FOLDS, [learn.Candidate("full", _FEATURES)], [1.0], "quality")
+    fits = learn.fit_logistic(rows, "period", _all_folds(rows), [learn.Candidate("full", _FEATURES)], [1.0], "quality")
     oof = learn.oof_predict(rows, fits, "period", ["doc_id", "quality"], logistic=True)
     apply = learn.fit_calibrators(oof, "prediction", "quality")
     return apply(oof).select("doc_id", "fold", "prediction", "sigmoid", "isotonic")
@@ -275,7 +298,8 @@ def calibrators(t):
 
 @query("gbt_time_cv")
 def gbt_time_cv(t):
-    return learn.gbt_time_cv(_labelled(t), "period", [12, 16], list(_FEATURES), "quality", iterations=5)
+    rows = _labelled(t)
+    return learn.gbt_time_cv(rows, "period", _all_folds(rows), list(_FEATURES), "quality")
 
 
 @query("evaluate_holdout")
@@ -292,6 +316,17 @@ def evaluate_holdout(t):
 def governance_report(t):
     rows = _labelled(t)
     candidates = [learn.Candidate("full", _FEATURES), learn.Candidate("length", ("log_chars",))]
-    fits = learn.fit_logistic(rows, "period", _FOLDS, candidates, [1.0], "quality")
+    fits = learn.fit_logistic(rows, "period", _all_folds(rows), candidates, [1.0], "quality")
     results = learn.backtest_logistic(rows, fits, "period", "quality")
-    return learn.governance_report(results, "length")["scorecard"]
+    oof = learn.oof_predict(rows, fits, "period", ["doc_id", "quality"], logistic=True)
+    pairs = oof.groupBy("doc_id", "fold", "quality").agg(
+        *(F.max(F.when(F.col("candidate") == c, F.col("prediction"))).alias(c) for c in ("full", "length"))
+    )
+    blended = reshape.sweep(pairs, "weight", [round(0.05 * i, 2) for i in range(21)])
+    blended = blended.withColumn("p", F.col("weight") * F.col("full") + (1 - F.col("weight")) * F.col("length"))
+    blend_grid = aggregates.probability_metrics(blended, "weight", "p", "quality", 1e-6)
+    frames = learn.governance_report(results, "length", blend_grid, {"full": "challenger", "length": "baseline"})
+    return reduce(
+        lambda left, right: left.unionByName(right, allowMissingColumns=True),
+        [frame.select(F.lit(name).alias("frame"), "*") for name, frame in frames.items()],
+    )

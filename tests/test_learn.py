@@ -137,3 +137,25 @@ def test_bootstrap_is_stable_and_covers(spark):
     half = 1.96 * x.std() / np.sqrt(len(x))
     assert one["mean"] == pytest.approx(x.mean()) and one["n"] == 500
     assert one["ci_low"] == pytest.approx(x.mean() - half, abs=0.02) and one["ci_high"] == pytest.approx(x.mean() + half, abs=0.02)
+
+
+def test_learning_queries_take_all_folds_and_penalties(spark, monkeypatch):
+    from __spark_entry__ import queries
+
+    class Seen(Exception):
+        pass
+
+    def caught(*args, **settings):
+        raise Seen(args, settings)
+
+    monkeypatch.setattr(learn, "fit_logistic", caught)
+    monkeypatch.setattr(learn, "gbt_time_cv", caught)
+    folder = "/root/testdata/sf0.001"
+    sources = spark.read.parquet(f"{folder}/documents.parquet").join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id")
+    periods = sorted({int(r["source"].rstrip().split("_")[-1].lstrip("abcdefghijklmnopqrstuvwxyz-")) for r in sources.select("source").distinct().collect()})
+    for name in ("logistic_grid", "calibrators", "gbt_time_cv", "governance_report"):
+        with pytest.raises(Seen) as found:
+            queries()[name](spark, folder)
+        args, settings = found.value.args
+        assert args[2] == periods[1:] and settings == {}
+        assert name != "logistic_grid" or len(args[4]) == 12
