@@ -31,8 +31,8 @@ SIMILARITY_PERCENT = 80
 #: With 64 bands of 8 minima a pair at 0.8 is missed with probability below 1e-5, one at 0.3 meets in 0.4 %.
 BANDS = 64
 ROWS_PER_BAND = 8
-#: A pair goes on to the full sets if its signature is no further below the limit than this (4 standard errors of 512 minima).
-SIGNATURE_SLACK = 0.07
+#: A pair goes on to the full sets if its signature is no further below the limit than this (5 standard errors of 512 minima).
+SIGNATURE_SLACK = 0.09
 #: Documents in one block of a bucket.
 TILE = 512
 #: Rounds in which outsiders look for their best partner, each in one of so many parts of the buckets.

@@ -304,3 +304,7 @@ def test_matching_keeps_order_and_prefers_equal_texts():
     page = html_tree.parse("<div><p>new</p><p>b</p><p>same</p></div>")
     pairs = html_tree.Matching(pivot, page).texts()
     assert ("same", "same") in {(pivot.text[a], page.text[b]) for a, b in pairs} and len(pairs) == 2
+
+
+def test_signature_slack_is_five_standard_errors():
+    assert near_dup.SIGNATURE_SLACK >= 5 * (0.8 * 0.2 / 512) ** 0.5
