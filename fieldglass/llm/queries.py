@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fieldglass.llm import bpe, chat, decontaminate as leaks, near_dup, pii, quality_qda, quality_rules as rules, shards, toxicity, wrapper
+from fieldglass.llm import (
+    bpe, chat, collocations, decontaminate as leaks, near_dup, packing, pii, quality_qda, quality_rules as rules, shards,
+    toxicity, wrapper,
+)
 from fieldglass.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -228,3 +231,49 @@ def op1_chat_views(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(F.transform("masks", lambda m: F.concat_ws(
             ":", m["start"].cast("string"), m["end"].cast("string"))), ",").alias("masks"),
     )
+
+
+PHRASES_SQL = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+totals AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM w GROUP BY lang),
+f AS (
+  SELECT lang, size, phrase, count(*)::HUGEINT AS a FROM (
+    SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS phrase
+    FROM w, range(1, 6) AS s(size), unnest(range(1, len(w) - size + 2)) AS r(i))
+  GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT *, string_split(phrase, ' ') AS words FROM f WHERE size > 1),
+cuts AS (
+  SELECT lang, phrase, a, k, array_to_string(words[1:k], ' ') AS lhs, array_to_string(words[k + 1:size], ' ') AS rhs
+  FROM c, unnest(range(1, size)) AS r(k)),
+scored AS (
+  SELECT cuts.lang, cuts.phrase, cuts.a, x.a AS l, y.a AS r, n,
+    (1000::HUGEINT * cuts.a * n) // (x.a * y.a) AS score, k,
+    row_number() OVER (PARTITION BY cuts.lang, cuts.phrase ORDER BY (1000::HUGEINT * cuts.a * n) // (x.a * y.a), k) AS nth
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = lhs JOIN f y ON y.lang = cuts.lang AND y.phrase = rhs
+    JOIN totals ON totals.lang = cuts.lang),
+around AS (
+  SELECT lang, phrase, max(a) AS most FROM (
+    SELECT lang, a, array_to_string(words[i:i + s - 1], ' ') AS phrase
+    FROM c, range(2, 5) AS q(s), unnest(range(1, size - s + 2)) AS r(i) WHERE s < size)
+  GROUP BY ALL),
+ranked AS (
+  SELECT scored.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM scored LEFT JOIN around USING (lang, phrase) WHERE nth = 1 AND (most IS NULL OR 100 * most < 100 * a))
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM ranked WHERE rank <= 2000
+"""
+
+
+@query("op11_collocations", PHRASES_SQL)
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = collocations.mine_collocations(table(spark, sf_dir, "documents"))
+    return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+@query("op12_packing")
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
