@@ -14,6 +14,8 @@ What reaches the driver is bounded by (periods or models) x features squared.
 
 from __future__ import annotations
 
+import math
+import warnings
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
@@ -471,29 +473,60 @@ def fit_calibrators(oof: DataFrame, p: str, y: str):
     merged points equal fits on the rows.  Returns a function adding the columns
     ``sigmoid`` and ``isotonic``.
     """
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import IsotonicRegression
+    from .isotonic import apply_isotonic, fit_isotonic
 
     raw = F.col(p).cast("double")
-    points = oof.groupBy(raw.alias("__p"), F.col(y).cast("double").alias("__y")).agg(F.count(F.lit(1)).cast("double").alias("__w"))
-    assembled = VectorAssembler(inputCols=["__l"], outputCol="__x").transform(points.withColumn("__l", logit(F.col("__p"))))
-    sigmoid = LogisticRegression(
-        featuresCol="__x", labelCol="__y", weightCol="__w", regParam=0.0, maxIter=200, tol=1e-12, standardization=False
-    ).fit(assembled)
-    slope, intercept = float(sigmoid.coefficients[0]), float(sigmoid.intercept)
-    merged = points.groupBy("__p").agg(
-        (F.sum(F.col("__y") * F.col("__w")) / F.sum("__w")).alias("__y"), F.sum("__w").alias("__w")
-    )
-    isotonic = IsotonicRegression(featuresCol="__p", labelCol="__y", weightCol="__w", predictionCol="isotonic").fit(merged)
+    points = oof.where(raw.isNotNull() & F.col(y).isNotNull()).groupBy(
+        raw.alias("__p"), F.col(y).cast("double").alias("__y")
+    ).agg(F.count(F.lit(1)).cast("double").alias("__w"))
+    intercept, slope = fit_sigmoid(points.withColumn("__l", logit(F.col("__p"))), "__l", "__y", "__w")
+    blocks = fit_isotonic(points, "__p", "__y", "__w")
 
     def apply(df: DataFrame) -> DataFrame:
-        scored = df.withColumn("__p", raw).withColumn("sigmoid", inverse_logit(F.lit(intercept) + F.lit(slope) * logit(raw)))
-        return isotonic.transform(scored).drop("__p")
+        scored = df.withColumn("sigmoid", inverse_logit(F.lit(intercept) + F.lit(slope) * logit(raw)))
+        return apply_isotonic(scored, p, blocks)
 
     return apply
 
 
+def fit_sigmoid(
+    points: DataFrame, x: str, y: str, weight: str, penalty: float = 1e-6, iterations: int = 50, tolerance: float = 1e-10
+) -> tuple[float, float]:
+    """Intercept and slope of a weighted logistic line: Newton steps, each one aggregate of five sums.
+
+    The small penalty on the slope keeps it finite where the classes separate.
+    A step that raises the loss is halved; without convergence a warning is given.
+    """
+    a, b = 0.0, 0.0
+    step, best = (0.0, 0.0), math.inf
+    for _ in range(iterations):
+        score = F.lit(a) + F.lit(b) * F.col(x)
+        chance = inverse_logit(score)
+        slack, spread = F.col(weight) * (chance - F.col(y)), F.col(weight) * chance * (1 - chance)
+        loss = F.col(weight) * (F.greatest(score, F.lit(0.0)) + F.log1p(F.exp(-F.abs(score))) - F.col(y) * score)
+        row = points.agg(
+            F.sum(loss), F.sum(slack), F.sum(slack * F.col(x)), F.sum(spread), F.sum(spread * F.col(x)),
+            F.sum(spread * F.col(x) * F.col(x)),
+        ).first()
+        if row[0] is None:
+            raise ValueError("no row to fit the sigmoid on")
+        total = row[0] + penalty * b * b / 2
+        if total > best + 1e-12 * abs(best) and max(abs(step[0]), abs(step[1])) > tolerance:
+            step = (step[0] / 2, step[1] / 2)
+            a, b = a - step[0], b - step[1]
+            continue
+        best = total
+        g0, g1 = row[1], row[2] + penalty * b
+        h00, h01, h11 = row[3] + penalty, row[4], row[5] + penalty
+        det = h00 * h11 - h01 * h01
+        step = (-(h11 * g0 - h01 * g1) / det, -(h00 * g1 - h01 * g0) / det)
+        a, b = a + step[0], b + step[1]
+        if max(abs(step[0]), abs(step[1])) < tolerance:
+            return a, b
+    warnings.warn(f"the sigmoid did not settle in {iterations} steps", RuntimeWarning, stacklevel=2)
+    return a, b
+
+
 # -- governance --------------------------------------------------------------------------------
 
 def governance_report(

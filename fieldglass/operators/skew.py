@@ -77,6 +77,7 @@ def hot_keys(
         df.groupBy(*by)
         .agg(F.count(F.lit(1)).alias("__n"))
         .where(F.col("__n") > hot_rows)
+        .orderBy(F.desc("__n"))
         .select(*[F.col(k).alias(a) for k, a in zip(by, _hot_alias(by))])
     )
     found = counted.collect()  # fewer keys than rows / hot_rows
