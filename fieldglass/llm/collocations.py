@@ -27,11 +27,16 @@ TOP = 2000
 #: N-gram occurrences that one hash part is meant to hold; the number of parts grows with the input.
 PART_MASS = 4_000_000
 #: Counters of a summary: so many times mass / threshold, which keeps what is subtracted below threshold / factor.
-CAPACITY_FACTOR = 4
-#: Words a task counts at once; the counts leave the task, so its memory does not depend on its input.
-BLOCK_WORDS = 500_000
+CAPACITY_FACTOR = 16
+#: Words a task counts at once in the first and second pass; the counts leave the task, so its memory does not depend
+#: on its input.
+BLOCK_WORDS, EXACT_BLOCK_WORDS = 500_000, 2_000_000
 #: Bits of the survivors' filter: so many per survivor, and no more than the bound (32 MB).
 BITS_PER_SURVIVOR, MOST_BITS = 64, 1 << 28
+#: Phrases whose exact counts a task adds up before they leave it.
+HELD_PHRASES = 400_000
+#: Words of one task of the second pass.  Every task gives most frequent phrases once, so a few large ones give fewer rows.
+TASK_WORDS = 50_000_000
 #: Words a task keeps a number for before it starts anew.
 REMEMBERED = 2_000_000
 KEY_BITS = 40
@@ -242,27 +247,35 @@ def _exact(parts: int, most_words: int, block_words: int, bits: int, shared):
         def inside(at: np.ndarray) -> np.ndarray:
             return (field[(at >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & 1
 
+        held: dict[tuple[str, str, int], int] = {}
         for numbers in reader.blocks(batches):
-            found: list[tuple[str, str, int, int]] = []
             names = {id_: lang for lang, vocabulary in reader.known.items() for id_ in vocabulary.values()}
             for length, start, hashes in reader.grams(numbers, most_words):
                 first, second = probes(placed(hashes, parts), bits)
                 hit = np.flatnonzero(inside(first))
                 hit = hit[inside(second[hit]) == 1]
                 for position, count in _by_words(numbers, start[hit], hashes[hit], length):
-                    words = numbers[position:position + length]
+                    words = numbers[position:position + length].tolist()
                     text = b" ".join([reader.words[w] for w in words])
-                    found.append((names[int(words[0])], text.decode("utf-8", "replace"), length, count))
-            columns = list(zip(*found, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()),
-                 pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int64())],
-                names=["lang", "phrase", "size", "n"],
-            )
+                    key = (names[words[0]], text.decode("utf-8", "replace"), length)
+                    held[key] = held.get(key, 0) + count
+            if len(held) >= HELD_PHRASES:
+                yield _phrase_batch(held)
+                held = {}
+        yield _phrase_batch(held)
 
     return run
 
 
+def _phrase_batch(held: dict[tuple[str, str, int], int]) -> pa.RecordBatch:
+    columns = list(zip(*held, strict=True)) or [()] * 3
+    return pa.RecordBatch.from_arrays(
+        [pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int32()),
+         pa.array(held.values(), pa.int64())],
+        names=["lang", "phrase", "size", "n"],
+    )
+
+
 def _by_words(numbers: np.ndarray, start: np.ndarray, hashes: np.ndarray, length: int) -> Iterator[tuple[int, int]]:
     """Position and count of each different phrase; equal hashes are told apart by their words."""
     order = np.argsort(hashes, kind="stable")
@@ -292,7 +305,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
 
 def frequent_phrases(
     rows: DataFrame, mass: int, threshold: int = THRESHOLD, most_words: int = MOST_WORDS,
-    part_mass: int = PART_MASS, block_words: int = BLOCK_WORDS,
+    part_mass: int = PART_MASS, block_words: int = BLOCK_WORDS, exact_block_words: int = EXACT_BLOCK_WORDS,
 ) -> DataFrame:
     """Exact counts of all phrases of 1 to ``most_words`` words with at least ``threshold`` occurrences.
 
@@ -307,8 +320,9 @@ def frequent_phrases(
     survivors = landed(slices.groupBy("part").applyInArrow(_survivors(threshold, CAPACITY_FACTOR), "key bigint"), "survivors")
     bits = min(MOST_BITS, 1 << max(10, (BITS_PER_SURVIVOR * survivors.count()).bit_length()))
     shared = spark.sparkContext.broadcast(filter_of(survivors, bits))
-    counts = rows.mapInArrow(
-        _exact(parts, most_words, block_words, bits, shared), "lang string, phrase string, size int, n bigint"
+    tasks = max(2 * spark.sparkContext.defaultParallelism, mass // (most_words * TASK_WORDS))
+    counts = rows.coalesce(tasks).mapInArrow(
+        _exact(parts, most_words, exact_block_words, bits, shared), "lang string, phrase string, size int, n bigint"
     )
     counts = counts.groupBy("lang", "phrase").agg(F.first("size").alias("size"), F.sum("n").alias("a"))
     return landed(counts.where(F.col("a") >= threshold), "phrases")
