@@ -10,6 +10,9 @@ meet those of other groups, until one group is left or nothing is gained.
 
 from __future__ import annotations
 
+import json
+import re
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -29,28 +32,66 @@ GROUP_PIECES = 4096
 SWEEPS = 60
 #: Neighbourhood of the search: candidates looked at for each wanted size, pieces of a bin that are paired (the largest).
 LOOKED_AT, PAIRED = 12, 32
-#: Chunks between white space whose ids a worker remembers, up to this size; beyond that it starts anew.
-REMEMBERED, REMEMBERED_BYTES = 400_000, 64
+#: Chunks between white space, and words, whose ids a worker remembers, up to this size; beyond that it starts anew.
+REMEMBERED, REMEMBERED_BYTES = 600_000, 64
+
+
+class WordIds(dict):
+    """Ids of single words as the tokenizer's model gives them, remembered."""
+
+    def __init__(self, model) -> None:
+        super().__init__()
+        self.model = model
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        hidden = [b for b in range(256) if b not in set(shown)]
+        #: Bytes as the letters that byte-level vocabularies write for them.
+        self.letters = {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(hidden)}
+
+    def __missing__(self, word: str) -> bytes:
+        written = word.encode("utf-8").decode("latin-1").translate(self.letters)
+        ids = [token.id for token in self.model.tokenize(written)]
+        found = struct.pack(f"<{len(ids)}I", *ids)
+        if len(word) <= REMEMBERED_BYTES:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = found
+        return found
 
 
 class ChunkIds(dict):
     """Ids of the chunks between white space, as little-endian unsigned 32-bit integers.
 
     The tokenizer drops white space and merges nothing across it, so a text's ids
-    are those of its chunks.
+    are those of its chunks.  Chunks of plain letters, digits and signs, for which
+    the normaliser only lower-cases, are split by the tokenizer's own expression
+    and looked up word by word; all others go through the whole tokenizer.
     """
 
     def __init__(self, path: str) -> None:
         super().__init__()
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.words = WordIds(self.tokenizer.model)
+        steps = json.loads(self.tokenizer.to_str())
+        splits = (steps["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        lowered = [n["type"] for n in (steps["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+        split = [n.get("type") for n in splits] == ["Split", "ByteLevel"] and not splits[1]["use_regex"]
+        self.pieces = regex.compile(splits[0]["pattern"]["Regex"]) if lowered and split else None
+        # Composed and lower-cased character by character alike everywhere; special tokens hold "<|".
+        self.plain = re.compile("[!-~\u00c0-\u012f\u0131-\u017f]+")
 
     def __missing__(self, chunk: bytes) -> bytes:
-        ids = self.tokenizer.encode(chunk.decode("utf-8"), add_special_tokens=False).ids
-        found = np.array(ids, "<u4").tobytes()
+        text = chunk.decode("utf-8")
+        if self.pieces is not None and self.plain.fullmatch(text) and "<|" not in text:
+            low = text.lower()
+            found = self.words[low] if low.isalpha() else b"".join([self.words[w] for w in self.pieces.findall(low)])
+        else:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            found = np.array(ids, "<u4").tobytes()
         if len(chunk) <= REMEMBERED_BYTES:
             if len(self) >= REMEMBERED:
                 self.clear()
