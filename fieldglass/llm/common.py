@@ -27,7 +27,17 @@ def landed(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     location = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(location)
-    return spark.read.schema(df.schema).parquet(location)
+    out = spark.read.schema(df.schema).parquet(location)
+    out._landed_at = location
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables that ``landed`` wrote and that no later step reads."""
+    for frame in frames:
+        context = frame.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(frame._landed_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

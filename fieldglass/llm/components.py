@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from fieldglass.llm.common import landed
+from fieldglass.llm.common import discard, landed
 
 
 def large_star(edges: DataFrame) -> DataFrame:
@@ -38,7 +38,8 @@ def components(links: DataFrame) -> DataFrame:
     )
     seen = _mark(edges)
     while True:
-        edges = landed(small_star(large_star(edges)), "stars")
+        before, edges = edges, landed(small_star(large_star(edges)), "stars")
+        discard(before)
         mark = _mark(edges)
         if mark == seen:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(

@@ -3,14 +3,16 @@
 How pairs are found without ever listing all pairs of a group:
 
 1. Documents with equal shingle sets are one class; one sketch per class goes on.
-2. Every class falls into one bucket per band.  A bucket's members are compared
-   with its smallest member, by signature and then on the full sets.
+2. Every class falls into one bucket per band.  In a part of the buckets the
+   members are compared with the smallest one, on the full sets.
 3. These links give components.  In a bucket that holds several components only
-   members of different components can still add a link.  Their signatures are
-   compared block against block inside tasks.  First each outsider finds its best
-   partner, in some of the buckets; the links found join most components.  Then
-   all buckets that still hold several components are compared, each pair in the
-   first bucket it shares, and whatever is likely goes to the full sets.
+   members of different components can still add a link.  Those outside the
+   bucket's largest component are compared with all others block against block,
+   by signature and then, still inside the task, on the full sets; a pair that
+   the links found so far join is skipped.  What leaves the task is a forest of
+   confirmed links.  First each outsider looks for one link only, in a part of
+   the buckets, which joins most components; then all buckets that still hold
+   several are compared in full, each pair in the first bucket it shares.
 """
 
 from __future__ import annotations
@@ -21,9 +23,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from fieldglass.llm.common import DOCUMENT_COLUMNS, landed, texts
+from fieldglass.llm.common import DOCUMENT_COLUMNS, discard, landed, texts
 from fieldglass.llm.components import components
 
 WORDS_PER_SHINGLE = 5
@@ -33,10 +35,11 @@ BANDS = 64
 ROWS_PER_BAND = 8
 #: A pair goes on to the full sets if its signature is no further below the limit than this (5 standard errors of 512 minima).
 SIGNATURE_SLACK = 0.09
-#: Documents in one block of a bucket.
-TILE = 512
-#: Rounds in which outsiders look for their best partner, each in one of so many parts of the buckets.
-BEST_ROUNDS, BUCKET_PARTS = 2, 8
+#: Weight of one block of a bucket; a document weighs 1 and one more for every so many shingles (about 4 KB).
+TILE, SHINGLES_PER_WEIGHT = 512, 512
+#: Buckets are dealt to so many parts.  Part 0 is for comparisons with the smallest member; in so many rounds, each
+#: in the next part, outsiders look for one link, with so many of their likeliest partners.
+BUCKET_PARTS, BEST_ROUNDS, BEST_TRIED = 8, 2, 4
 
 #: Word hashes a worker remembers; beyond that it starts anew.
 REMEMBERED = 400_000
@@ -122,7 +125,7 @@ def sketches(docs: DataFrame, words_per_shingle: int, bands: int, rows: int) ->
                     keys.append(None), buckets.append(None), checks.append(None)
                     continue
                 signature = minima(own, family)
-                keys.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
+                keys.append(_set_key(own))
                 buckets.append(band_keys(signature, bands, rows))
                 checks.append((signature & np.uint32(255)).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
@@ -137,101 +140,194 @@ def sketches(docs: DataFrame, words_per_shingle: int, bands: int, rows: int) ->
 
 
 def shingle_sets(docs: DataFrame, words_per_shingle: int) -> DataFrame:
-    """The full sets of some documents as arrays of 64-bit hashes."""
-    kind = dict(docs.dtypes)["doc_id"]
+    """The full sets of some texts as sorted arrays of 64-bit hashes, with their keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(text.as_py(), words_per_shingle).view(np.int64) for text in batch.column(1)]
+            sets = [shingles(text.as_py(), words_per_shingle) for text in batch.column(0)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "own"]
+                [pa.array([_set_key(own) for own in sets], pa.binary()),
+                 pa.array([own.view(np.int64) for own in sets], pa.list_(pa.int64()))],
+                names=["set_key", "own"],
             )
 
-    return docs.mapInArrow(run, f"doc_id {kind}, own array<bigint>")
+    return docs.select("text").mapInArrow(run, "set_key binary, own array<bigint>")
 
 
-def similarities(pairs: DataFrame, sets: DataFrame, similarity_percent: int) -> DataFrame:
-    """Exact overlap of every pair (a, b): columns a, b, share, linked."""
-    # The sets of the many members come first; those of hubs are joined to them, so that a hub's rows can be split.
-    loaded = pairs.select("a", "b").join(sets.select(F.col("doc_id").alias("b"), F.col("own").alias("b_set")), "b")
-    loaded = loaded.join(sets.select(F.col("doc_id").alias("a"), F.col("own").alias("a_set")), "a")
-    counted = loaded.select(
-        "a", "b", F.size(F.array_intersect("a_set", "b_set")).alias("both"),
-        (F.size("a_set") + F.size("b_set")).alias("total"),
-    )
-    either = F.col("total") - F.col("both")
-    return counted.select(
-        "a", "b", (F.col("both") / either).alias("share"),
-        (F.col("both") * 100 >= either * similarity_percent).alias("linked"),
+def _set_key(own: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None
+
+
+def star_links(stars: DataFrame, sets: DataFrame, similarity_percent: int) -> DataFrame:
+    """The pairs (head, cls) that are linked on their full sets, as (u, v)."""
+    # The sets of the many members come first; those of heads are joined to them, so that a head's rows can be split.
+    loaded = stars.select("head", "cls").join(sets.select("cls", F.col("own").alias("one")), "cls")
+    loaded = loaded.join(sets.select(F.col("cls").alias("head"), F.col("own").alias("other")), "head")
+    both = F.size(F.array_intersect("one", "other"))
+    either = F.size("one") + F.size("other") - both
+    return loaded.where(both * 100 >= either * similarity_percent).select(
+        F.col("head").alias("u"), F.col("cls").alias("v")
     )
 
 
 def mixed_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of buckets that hold several components: bucket, doc_id, component, outside (the bucket's largest one)."""
-    named = members.join(labels.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
-    named = named.select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    counts = landed(named.groupBy("bucket", "component").count(), "counts")
+    """Members of buckets that hold several components, once for every pair of blocks they take part in.
+
+    Columns: bucket, cls, component, outside (of the bucket's largest component),
+    outer and tile (the block of outsiders and the block of members that meet),
+    few and item (whether the row stands on the one side, on the other, or both).
+    """
+    named = members.join(labels.select(F.col("id").alias("cls"), "component"), "cls", "left")
+    named = named.select("bucket", "cls", "weight", F.coalesce("component", "cls").alias("component"))
+    counts = named.groupBy("bucket", "component").agg(F.sum("weight").alias("weight"))
     main = counts.groupBy("bucket").agg(
-        F.max(F.struct("count", "component")).alias("m"), F.count("*").alias("parts"), F.sum("count").alias("size")
+        F.max(F.struct("weight", "component")).alias("m"), F.count("*").alias("parts"), F.sum("weight").alias("size")
     )
-    main = main.where("parts > 1").select("bucket", F.col("m.component").alias("main"), "size")
-    return landed(
-        named.join(main, "bucket").select("bucket", "doc_id", "component", (F.col("component") != F.col("main"))
-                                          .alias("outside"), "size"),
-        "mixed",
+    main = landed(main.where("parts > 1").select(
+        "bucket", F.col("m.component").alias("main"), F.ceil(F.col("size") / TILE).alias("tiles"),
+        F.ceil((F.col("size") - F.col("m.weight")) / TILE).alias("outers"),
+    ), "main")
+    rows = named.join(main, "bucket").select(
+        "bucket", "cls", "component", (F.col("component") != F.col("main")).alias("outside"), "tiles", "outers",
+        F.pmod(F.xxhash64("cls"), "tiles").alias("tile"), F.pmod(F.xxhash64("cls", F.lit(1)), "outers").alias("outer"),
     )
+    outside, tile, outer = F.col("outside"), F.col("tile"), F.col("outer")
 
+    def every(count: str) -> Column:
+        return F.sequence(F.lit(0).cast("bigint"), F.col(count) - 1)
 
-def across(mixed: DataFrame, signatures: DataFrame, similarity_percent: int, best_only: bool) -> DataFrame:
-    """Likely pairs (a, b) of one bucket in different components.
+    as_item = F.transform(every("outers"), lambda o: F.struct(
+        o.alias("outer"), tile.alias("tile"), (outside & (o == outer)).alias("few"), F.lit(True).alias("item")))
+    as_few = F.transform(F.filter(every("tiles"), lambda t: outside & (t != tile)), lambda t: F.struct(
+        outer.alias("outer"), t.alias("tile"), F.lit(True).alias("few"), F.lit(False).alias("item")))
+    out = landed(rows.select("bucket", "cls", "component", "outside", F.inline(F.concat(as_item, as_few))), "mixed")
+    discard(main)
+    return out
+
+
+_MEET = ("bucket", "outer", "tile")
 
-    Every document outside its bucket's largest component is compared with all
-    others of the bucket, in blocks of about ``TILE`` documents, so that no task
-    holds a bucket and no pair becomes a row before its signatures agree.  With
-    ``best_only`` a document gives its best partner in a block; else all likely
-    ones for which this is the first bucket they share.
+
+def across(mixed: DataFrame, marks: DataFrame, sets: DataFrame, similarity_percent: int, best_only: bool) -> DataFrame:
+    """A forest of confirmed links (u, v) between components that share a bucket.
+
+    Outsiders of a bucket are compared with all its members, block against block,
+    so that no task holds a bucket.  Signatures alone say first which members have
+    a likely partner in another component; only these come back with their full
+    sets.  With ``best_only`` an outsider stops at its first link; else every
+    likely pair for which this is the first bucket it shares is confirmed or
+    refuted, unless links of this pair of blocks have joined the two already.
     """
-    kind = dict(mixed.dtypes)["doc_id"]
     floor = similarity_percent / 100 - SIGNATURE_SLACK
-    loaded = mixed.join(signatures, "doc_id")
-    tile = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / TILE))
-    item = F.struct("doc_id", "component", "signature", "outside", "buckets")
-    tiles = landed(loaded.groupBy("bucket", tile.alias("tile")).agg(F.collect_list(item).alias("items")), "tiles")
-    outside = tiles.select("bucket", F.filter("items", lambda x: x["outside"]).alias("few")).where(F.size("few") > 0)
+    columns = ["bucket", "outer", "tile", "cls", "component", "outside", "few", "item", "signature", "prints"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found: list[tuple] = []
-            for bucket, few, items in zip(*(batch.column(i) for i in range(3)), strict=True):
-                found += _likely_pairs(few.as_py(), items.as_py(), floor, None if best_only else bucket.as_py())
-            ids = batch.column(1).type.value_type.field("doc_id").type
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([p[0] for p in found], ids), pa.array([p[1] for p in found], ids)], names=["a", "b"]
-            )
+    def met(rows: DataFrame, extra: list[str]) -> DataFrame:
+        return rows.select(*columns, *extra).repartition(*_MEET).sortWithinPartitions(*_MEET)
 
-    # The blocks of outsiders are joined to all blocks of their bucket.
-    joined = tiles.select("bucket", "items").join(outside, "bucket").select("bucket", "few", "items")
-    return joined.mapInArrow(run, f"a {kind}, b {kind}").distinct()
-
-
-def _likely_pairs(few: list[dict], items: list[dict], floor: float, bucket: int | None) -> list[tuple]:
-    """Pairs of two blocks; without a bucket the best of each outsider, else those that share no earlier bucket."""
-    left, right = (np.stack([np.frombuffer(x["signature"], np.uint8) for x in block]) for block in (few, items))
-    own, other = (np.array([x["buckets"] for x in block], np.int64) for block in (few, items))
-    parts = np.array([x["component"] for x in items])
-    out = []
-    for i, x in enumerate(few):
-        share = ((right == left[i]).mean(1) - 1 / 256) / (1 - 1 / 256)
-        likely = np.flatnonzero((share >= floor) & (parts != x["component"]))
-        if bucket is None:
-            likely = likely[np.argsort(-share[likely], kind="stable")[:1]]
-        elif len(likely):
-            first = (other[likely] == own[i]).argmax(1)
-            likely = likely[own[i][first] == bucket]
-        out += [(min(x["doc_id"], y), max(x["doc_id"], y)) for y in (items[k]["doc_id"] for k in likely)]
+    def involved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(block.involved(floor, best_only), pa.int64())], names=["cls"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches):
+            found = block.forest(floor, similarity_percent, best_only)
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], names=["u", "v"])
+
+    likely = landed(met(mixed.join(marks, "cls"), []).mapInArrow(involved, "cls bigint").distinct(), "involved")
+    kept = mixed.join(likely, "cls", "left_semi").join(marks.join(sets, "cls").join(likely, "cls", "left_semi"), "cls")
+    out = landed(met(kept, ["own"]).mapInArrow(run, "u bigint, v bigint").distinct(), "more")
+    discard(likely)
     return out
 
 
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+    """The pairs of blocks in sorted batches."""
+    held: list[pa.RecordBatch] = []
+    at = None
+    for batch in batches:
+        keys = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in _MEET])
+        edges = (np.flatnonzero((np.diff(keys, axis=0) != 0).any(1)) + 1).tolist()
+        for start, end in zip([0, *edges], [*edges, len(keys)], strict=True):
+            if end > start:
+                if held and tuple(keys[start]) != at:
+                    yield Block(pa.Table.from_batches(held))
+                    held = []
+                at = tuple(keys[start])
+                held.append(batch.slice(start, end - start))
+    if held:
+        yield Block(pa.Table.from_batches(held))
+
+
+class Block:
+    """Outsiders of one block and members of another, of one bucket."""
+
+    def __init__(self, table: pa.Table) -> None:
+        def flat(name: str) -> np.ndarray:
+            return table.column(name).to_numpy()
+
+        self.cls, self.component, self.outside, self.few = (flat(n) for n in ("cls", "component", "outside", "few"))
+        self.items = np.flatnonzero(flat("item"))
+        self.signatures = np.stack([np.frombuffer(s.as_buffer(), np.uint8) for s in table.column("signature")])
+        self.prints = np.stack([p.values.to_numpy() for p in table.column("prints")])
+        self.bucket = np.array([table.column("bucket")[0].as_py()], np.int64).astype(np.int32)[0]
+        self.sets = [s.values.to_numpy() for s in table.column("own")] if "own" in table.column_names else []
+
+    def likely(self, i: int, floor: float, any_bucket: bool) -> np.ndarray:
+        """Members of other components with a signature close enough, the closest first."""
+        near = self.items[self.component[self.items] != self.component[i]]
+        if not any_bucket:
+            # Two outsiders meet in both roles; one is enough.
+            near = near[~(self.outside[near] & (self.cls[near] < self.cls[i]))]
+        share = ((self.signatures[near] == self.signatures[i]).mean(1) - 1 / 256) / (1 - 1 / 256)
+        near, share = near[share >= floor], share[share >= floor]
+        if not any_bucket and len(near):
+            first = self.prints[i][(self.prints[near] == self.prints[i]).argmax(1)] == self.bucket
+            near, share = near[first], share[first]
+        return near[np.argsort(-share, kind="stable")]
+
+    def involved(self, floor: float, any_bucket: bool) -> np.ndarray:
+        """Members that are part of a likely pair."""
+        found = []
+        for i in np.flatnonzero(self.few).tolist():
+            near = self.likely(i, floor, any_bucket)[:BEST_TRIED if any_bucket else None]
+            if len(near):
+                found += [self.cls[near], self.cls[i:i + 1]]
+        return np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+
+    def forest(self, floor: float, similarity_percent: int, best_only: bool) -> list[tuple[int, int]]:
+        """Confirmed links, none within what earlier ones of this pair of blocks have joined."""
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (above := parent.get(x, x)) != x:
+                parent[x] = x = parent.get(above, above)
+            return x
+
+        found = []
+        for i in np.flatnonzero(self.few).tolist():
+            for k in self.likely(i, floor, best_only)[:BEST_TRIED if best_only else None].tolist():
+                a, b = root(int(self.component[i])), root(int(self.component[k]))
+                if a != b and linked(self.sets[i], self.sets[k], similarity_percent):
+                    parent[a] = b
+                    found.append((int(self.cls[i]), int(self.cls[k])))
+                    if best_only:
+                        break
+        return found
+
+
+def linked(one: np.ndarray, other: np.ndarray, similarity_percent: int) -> bool:
+    """Whether two sorted sets overlap by the given share."""
+    if min(len(one), len(other)) * 100 < max(len(one), len(other)) * similarity_percent:
+        return False
+    if len(one) > len(other):
+        one, other = other, one
+    # The sets are sorted as unsigned numbers.
+    one, other = one.view(np.uint64), other.view(np.uint64)
+    at = np.minimum(np.searchsorted(other, one), len(other) - 1)
+    both = int((other[at] == one).sum())
+    return both * 100 >= (len(one) + len(other) - both) * similarity_percent
+
+
 def near_duplicates(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     words_per_shingle: int = WORDS_PER_SHINGLE, similarity_percent: int = SIMILARITY_PERCENT,
@@ -250,49 +346,68 @@ def near_duplicates(
     """
     plain = texts(docs, id_column, text_column)
     sketch = landed(sketches(plain, words_per_shingle, bands, rows), "sketches")
+    ids = landed(sketch.select("doc_id", "n_shingles", "set_key"), "ids")
     filled = sketch.where("set_key is not null and doc_id is not null")
-    classes = landed(filled.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
-    lone = filled.join(classes.select("set_key", F.col("rep").alias("doc_id")), ["set_key", "doc_id"], "left_semi")
-    lone = lone.dropDuplicates(["set_key", "doc_id"])
-    slots = landed(lone.select("doc_id", F.explode("buckets").alias("bucket")), "slots")
-    heads = slots.groupBy("bucket").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last"))
-    heads = landed(heads.where("head < last").select("bucket", "head"), "buckets")
-    members = landed(slots.join(heads, "bucket").where("doc_id > head"), "members")
-
-    stars = landed(members.select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
-    wanted = stars.select(F.col("a").alias("doc_id")).union(stars.select(F.col("b").alias("doc_id"))).distinct()
-    wanted = landed(wanted, "wanted")
-    chosen = plain.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    sets = landed(shingle_sets(chosen, words_per_shingle), "sets")
-    compared = landed(similarities(stars, sets, similarity_percent), "compared")
-    labels = landed(components(_linked(compared)), "labels")
-
-    marks = filled.select("doc_id", "signature", "buckets").join(wanted, "doc_id", "left_semi")
-    marks = landed(marks.dropDuplicates(["doc_id"]), "marks")
-    for turn in range(BEST_ROUNDS + 1):
-        best_only = turn < BEST_ROUNDS
-        part = F.pmod("bucket", F.lit(BUCKET_PARTS)) == turn
-        mixed = mixed_buckets(members.where(part) if best_only else members, labels)
-        if mixed.isEmpty():
-            continue
-        pairs = landed(across(mixed, marks, similarity_percent, best_only), "pairs")
-        more = landed(_linked(similarities(pairs, sets, similarity_percent)), "more")
-        if not more.isEmpty():
-            known = labels.select(F.col("id").alias("u"), F.col("component").alias("v"))
-            labels = landed(components(known.union(more)), "labels")
-
-    named = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
-        "set_key", F.coalesce("component", "rep").alias("component")
+    classes = filled.groupBy("set_key").agg(
+        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("buckets").alias("buckets"),
+        F.first("signature").alias("signature"),
     )
-    out = sketch.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
+    classes = landed(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
+    discard(sketch)
+
+    weight = 1 + F.floor(F.col("n") / SHINGLES_PER_WEIGHT)
+    slots = classes.select("cls", weight.alias("weight"), F.explode("buckets").alias("bucket"))
+    heads = slots.groupBy("bucket").agg(F.min("cls").alias("head"), F.max("cls").alias("last"))
+    heads = landed(heads.where("head < last").select("bucket", "head"), "heads")
+    members = landed(slots.join(heads, "bucket"), "members")
+    discard(heads)
+
+    # The low 32 bits of the bucket keys tell which of two documents' buckets is the first they share.
+    prints = F.transform("buckets", lambda b: F.shiftright(F.shiftleft(b, 32), 32).cast("int"))
+    sketched = classes.select("cls", "set_key", "rep", "signature", prints.alias("prints"))
+    wanted = landed(members.select("cls").distinct().join(sketched, "cls"), "wanted")
+    chosen = plain.join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    sets = shingle_sets(chosen, words_per_shingle).groupBy("set_key").agg(F.first("own").alias("own"))
+    sets = landed(wanted.select("cls", "set_key").join(sets, "set_key").select("cls", "own"), "sets")
+    marks = wanted.select("cls", "signature", "prints")
+
+    part = F.pmod("bucket", F.lit(BUCKET_PARTS))
+    stars = members.where((part == 0) & (F.col("cls") > F.col("head"))).select("head", "cls").distinct()
+    links = star_links(stars, sets, similarity_percent).unionByName(_same_id(ids, classes))
+    labels = components(links)
+    for turn in range(1, BEST_ROUNDS + 2):
+        best_only = turn <= BEST_ROUNDS
+        mixed = mixed_buckets(members.where(part == turn) if best_only else members, labels)
+        if not mixed.isEmpty():
+            more = across(mixed, marks, sets, similarity_percent, best_only)
+            if not more.isEmpty():
+                known = labels.select(F.col("id").alias("u"), F.col("component").alias("v"))
+                labels = components(known.unionByName(more))
+            discard(more)
+        discard(mixed)
+    discard(members, wanted, sets)
+
+    named = classes.select("set_key", "cls", "rep").join(labels.withColumnRenamed("id", "cls"), "cls", "left")
+    named = named.select("set_key", "rep", F.coalesce("component", "cls").alias("component"))
+    least = named.groupBy("component").agg(F.min("rep").alias("least"))
+    named = landed(named.join(least, "component").select("set_key", F.col("least").alias("component")), "named")
+    discard(classes)
+    out = ids.join(named, "set_key", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select(
         "doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept")
     )
 
 
-def _linked(compared: DataFrame) -> DataFrame:
-    return compared.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+def _same_id(ids: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links between the classes that one id belongs to."""
+    several = ids.where("set_key is not null and doc_id is not null").groupBy("doc_id").agg(
+        F.min("set_key").alias("first"), F.max("set_key").alias("last")
+    )
+    several = several.where("first != last").select("doc_id", "first")
+    pairs = ids.join(several, "doc_id").where("set_key != first").select("set_key", "first").distinct()
+    named = pairs.join(classes.select("set_key", F.col("cls").alias("u")), "set_key")
+    return named.join(classes.select(F.col("set_key").alias("first"), F.col("cls").alias("v")), "first").select("u", "v")
 
 
 def clean_documents(docs: DataFrame, **settings) -> DataFrame:
