@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldglass.session import land
+
 from . import skew
 from .skew import HOT_ROWS, names
 
@@ -124,47 +126,36 @@ def snapshot_asof(
     return chosen.join(rows, [*by, "__snapshot"], how).drop("__snapshot")
 
 
-def _daily_tail(
-    history: DataFrame, by: Sequence[str], day: str, order: Sequence[str], value: str, size: int
-) -> DataFrame:
-    """Per (key, day): the last ``size`` values up to and including that day.
-
-    Only a day's last ``size`` rows can ever be among a later target's last
-    ``size`` rows, so each day is first reduced to those (Spark applies the
-    row-number limit before the shuffle), then days are chained.
-    """
-    inside = Window.partitionBy(*by, day).orderBy(*[F.desc(c) for c in order])
-    tail = history.withColumn("__rn", F.row_number().over(inside)).where(F.col("__rn") <= size)
-    # Newest first: array_sort on the row number.
-    daily = tail.groupBy(*by, day).agg(
-        F.array_sort(F.collect_list(F.struct("__rn", F.col(value).alias("v")))).alias("__items")
-    ).select(*by, day, F.transform("__items", lambda s: s["v"]).alias("__items"))
-    along = Window.partitionBy(*by).orderBy(F.col(day)).rowsBetween(-(size - 1), 0)
-    chained = F.reverse(F.collect_list("__items").over(along))
-    return daily.select(*by, day, F.slice(F.flatten(chained), 1, size).alias("__tail"))
-
-
-def _summarise(rows: DataFrame, tail: str, sizes: Sequence[int], keep: Sequence[str]) -> DataFrame:
-    """Count, mean and sample sd of the first ``size`` items of ``tail``.
+def _running_sums(history: DataFrame, by: Sequence[str], day: str, order: Sequence[str], hot_rows: int | None) -> DataFrame:
+    """Per history row: its rank in the key and the sums up to it.
 
-    Built in steps so that the mean is computed once, not once per item.
+    Columns: by, day, __rank, and for count, sum and sum of squares of the values
+    (``__x``) what lies in the row's own piece up to it (``__in_*``) and in the
+    pieces before (``__at_*``).  Kept apart, differences inside a piece stay exact
+    to the digits of a piece, however long the history.
     """
-    for size in sizes:
-        items = f"__items_{size}"
-        total = F.aggregate(items, F.lit(0.0), lambda a, x: a + x)
-        recent = F.slice(F.coalesce(F.col(tail), F.array().cast("array<double>")), 1, size)
-        rows = rows.withColumn(f"count_last_{size}", F.size(recent).cast("long"))
-        # Rows without a value count as rows but not in the moments.
-        rows = rows.withColumn(items, F.array_compact(recent))
-        n = F.size(items)
-        rows = rows.withColumn(f"mean_last_{size}", F.when(n > 0, total / n))
-    for size in sizes:
-        n, mean = F.size(f"__items_{size}"), F.col(f"mean_last_{size}")
-        gaps = F.transform(f"__items_{size}", lambda x: (x - mean) * (x - mean))  # noqa: B023
-        squares = F.aggregate(gaps, F.lit(0.0), lambda a, x: a + x)
-        rows = rows.withColumn(f"sd_last_{size}", F.when(n > 1, F.sqrt(squares / (n - 1))))
-    names_out = [f"{k}_last_{size}" for size in sizes for k in ("count", "mean", "sd")]
-    return rows.select(*keep, *names_out)
+    sort = [F.asc(day), *[F.asc_nulls_first(c) for c in order]]
+    x = F.coalesce(F.col("__x"), F.lit(0.0))
+    parts = {"n": F.count("__x"), "s": F.sum(x), "q": F.sum(x * x)}
+    cold, hot = (None, history) if not by else skew.split_hot(history, by, hot_rows)
+
+    def inside(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+        window = Window.partitionBy(*keys).orderBy(*sort).rowsBetween(Window.unboundedPreceding, 0)
+        sums = {f"__in_{k}": c.over(window) for k, c in parts.items()}
+        return rows.withColumns({"__row": F.count(F.lit(1)).over(window), **sums})
+
+    out = None
+    columns = [*by, day, "__rank", *[f"__{side}_{k}" for side in ("in", "at") for k in parts]]
+    if cold is not None:
+        zero = {f"__at_{k}": F.lit(0).cast("long" if k == "n" else "double") for k in parts}
+        out = inside(cold, by).withColumns({"__rank": F.col("__row"), **zero}).select(*columns)
+    if hot is not None:
+        pieces = skew.cut_in_order(hot, by, [*sort, F.xxhash64(*hot.columns)])
+        before = skew.piece_prefix(pieces, by, __before=F.count(F.lit(1)), **{f"__at_{k}": c for k, c in parts.items()})
+        rows = skew.join_pieces(inside(pieces, [*by, "__piece"]), before, by)
+        rows = rows.withColumn("__rank", F.col("__before") + F.col("__row")).select(*columns)
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def trailing_n(
@@ -175,19 +166,52 @@ def trailing_n(
     value: str,
     sizes: Sequence[int],
     by: str | Sequence[str] = (),
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Count, mean and sample sd of the last N rows on earlier days.
 
-    Without ``by`` history is pooled over all entities.  After the daily
-    reduction a key holds at most one row per calendar day.
+    Without ``by`` history is pooled over all entities.  Every history row gets
+    its rank along (day, order) and running sums; a target needs the sums at the
+    last rank before its day and those N ranks earlier, which two equi-joins
+    fetch.  The pooled history, and hot keys, are ranked piece by piece.  Rows
+    without a value count as rows but not in the moments; history without day or
+    key is left out; targets without history get the count 0.
     """
     by = names(by)
-    history = history.withColumn(value, F.col(value).cast("double"))
+    history = history.dropna("any", subset=[*by, day])
+    # Values about their (whole) mean: the squares stay small beside the differences, sums of whole numbers exact.
+    center = F.coalesce(history.agg(F.round(F.avg(F.col(value).cast("double"))).alias("m")).scalar(), F.lit(0.0))
+    rows = history.select(*by, day, *[c for c in order if c not in (*by, day)], (F.col(value).cast("double") - center).alias("__x"))
+    sums = land(_running_sums(rows, by, day, order, hot_rows), "running")
+    moments = [f"__{side}_{k}" for side in ("in", "at") for k in ("n", "s", "q")]
+
+    # The last row of each key and day: at most one per calendar day in a key.
     keys = by or ["__all"]
-    if not by:
-        history = history.withColumn("__all", F.lit(0))
-    tails = _daily_tail(history, keys, day, order, value, max(sizes))
-    wanted = (targets if by else targets.withColumn("__all", F.lit(0))).select(*keys, day).distinct()
-    found = asof_join(wanted, tails, keys, day, day, [], ["__tail"], hot_rows=None)
-    features = _summarise(found, "__tail", sizes, [*by, day])
-    return targets.join(features, [*by, day], "left")
+    pooled = (lambda df: df) if by else (lambda df: df.withColumn("__all", F.lit(0)))
+    last = sums.groupBy(*by, day).agg(F.max(F.struct("__rank", *moments)).alias("__end"))
+    wanted = pooled(targets).select(*keys, day).distinct()
+    ends = asof_join(wanted, pooled(last), keys, day, day, [], ["__end"], hot_rows=None)
+
+    # N ranks earlier: one row per size, fetched by (key, rank).
+    starts = ends.where("__end is not null").select(*by, day, F.col("__end.__rank").alias("__to"), F.explode(F.array(*[F.lit(int(n)) for n in sizes])).alias("__size"))
+    starts = starts.withColumn("__rank", F.col("__to") - F.col("__size")).where(F.col("__rank") > 0)
+    found = starts.join(sums.drop(day), [*by, "__rank"]).groupBy(*by, day).agg(
+        *[F.first(F.when(F.col("__size") == n, F.struct(*moments)), ignorenulls=True).alias(f"__start_{n}") for n in sizes]
+    )
+    out = ends.drop("__all").join(found, [*by, day], "left")
+    for size in sizes:
+        end, start = F.col("__end"), F.col(f"__start_{size}")
+
+        def between(k: str, end: Column = end, start: Column = start) -> Column:
+            inside = end[f"__in_{k}"] - F.coalesce(start[f"__in_{k}"], F.lit(0))
+            return inside + (end[f"__at_{k}"] - F.coalesce(start[f"__at_{k}"], F.lit(0)))
+
+        n, s, q = (between(k) for k in ("n", "s", "q"))
+        spread = F.greatest((q - s * s / F.nullif(n, F.lit(0))) / F.nullif(n - 1, F.lit(0)), F.lit(0.0))
+        out = out.withColumns({
+            f"count_last_{size}": F.least(F.coalesce(end["__rank"], F.lit(0)), F.lit(size)).cast("long"),
+            f"mean_last_{size}": F.when(n > 0, (s + n * center) / F.nullif(n, F.lit(0))),
+            f"sd_last_{size}": F.when(n > 1, F.sqrt(spread)),
+        })
+    features = [f"{k}_last_{size}" for size in sizes for k in ("count", "mean", "sd")]
+    return targets.join(out.select(*by, day, *features), [*by, day], "left")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from fieldglass.functions import scalars
-from fieldglass.operators import aggregates, bootstrap, learn, ratings, reshape, skew, windows
+from fieldglass.operators import aggregates, bootstrap, isotonic as steps, learn, ratings, reshape, skew, trees, windows
 from fieldglass.plans.contract_aggregates import _losses
 from fieldglass.plans.registry import cents, query, rounded
 
@@ -296,10 +296,103 @@ def calibrators(t):
     return apply(oof).select("doc_id", "fold", "prediction", "sigmoid", "isotonic")
 
 
-@query("gbt_time_cv")
+def _priced_orders(t):
+    """Orders by price step: whether an order is filled."""
+    return t.orders.select(F.floor(F.col("o_totalprice") / 200).cast("long").alias("x"), (F.col("o_orderstatus") == "F").cast("int").alias("y"))
+
+
+@query("isotonic", """
+WITH p AS (
+  SELECT CAST(floor(o_totalprice / 200) AS BIGINT) AS x, count(*) AS w, count(*) FILTER (WHERE o_orderstatus = 'F') AS wy FROM orders GROUP BY 1
+), c AS (
+  SELECT *, row_number() OVER (ORDER BY x) AS i, sum(w) OVER (ORDER BY x) AS cw, sum(wy) OVER (ORDER BY x) AS cy FROM p
+), m AS (
+  SELECT a.i AS j, b.i AS k, min(CAST(b.cy - a.cy + a.wy AS DOUBLE) / CAST(b.cw - a.cw + a.w AS DOUBLE)) OVER (PARTITION BY a.i ORDER BY b.i DESC) AS least
+  FROM c a JOIN c b ON b.i >= a.i
+)
+SELECT x, w AS n, round(max(least), 6) AS isotonic FROM c JOIN m ON m.k = c.i AND m.j <= c.i GROUP BY x, w
+""")
+def isotonic(t):
+    rows = _priced_orders(t)
+    blocks = steps.fit_isotonic(rows, "x", "y")
+    counts = rows.groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    return steps.apply_isotonic(counts, "x", blocks).select("x", "n", rounded("isotonic").alias("isotonic"))
+
+
+#: The boosted trees of the query and of its SQL: trees, depth, step, bins.
+_TREES, _DEPTH, _STEP = 20, 3, 0.1
+_BINS = """CAST(least(floor(ln(1 + n_chars) * 2), 31) AS BIGINT) AS b0, CAST(least(length(text) - length(regexp_replace(text, '[0-9]', '', 'g')), 31) AS BIGINT) AS b1,
+    CASE lang WHEN 'en' THEN 0 WHEN 'de' THEN 1 WHEN 'fr' THEN 2 WHEN 'es' THEN 3 ELSE 4 END::BIGINT AS b2"""
+
+
+def _trees_sql(number: int, depth: int, step: float, tail: str) -> str:
+    """The boosting recursion, one table per tree and level, for all folds at once."""
+    parts = [f"""WITH d AS MATERIALIZED (
+  SELECT d.doc_id, CAST(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT) AS period, CAST(quality AS DOUBLE) AS y, {_BINS}
+  FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE quality IS NOT NULL AND regexp_extract(source, '([0-9]+)$', 1) <> ''
+), f AS (SELECT DISTINCT period AS fold FROM d WHERE period > (SELECT min(period) FROM d)),
+r0 AS MATERIALIZED (
+  SELECT d.*, fold, d.period < fold AS train, ln(avg(y) FILTER (WHERE d.period < fold) OVER w / (1 - avg(y) FILTER (WHERE d.period < fold) OVER w)) AS margin
+  FROM d JOIN f ON d.period <= fold WINDOW w AS (PARTITION BY fold)
+)"""]
+    for n in range(number):
+        parts.append(f"""g{n} AS MATERIALIZED (SELECT *, 1 / (1 + exp(-margin)) - y AS g, (1 / (1 + exp(-margin))) * (1 - 1 / (1 + exp(-margin))) AS h, 1::BIGINT AS node FROM r{n})""")
+        rows = f"g{n}"
+        for level in range(depth):
+            name = f"{n}_{level}"
+            parts.append(f"""s{name} AS MATERIALIZED (
+  SELECT fold, node, feature, bin, sum(g) AS g, sum(h) AS h FROM (
+    SELECT fold, node, g, h, unnest([0, 1, 2]) AS feature, unnest([b0, b1, b2]) AS bin FROM {rows} WHERE train) GROUP BY ALL
+), c{name} AS MATERIALIZED (
+  SELECT fold, node, feature, bin, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(g) OVER p AS gt, sum(h) OVER p AS ht
+  FROM s{name} WINDOW w AS (PARTITION BY fold, node, feature ORDER BY bin), p AS (PARTITION BY fold, node, feature)
+), q{name} AS MATERIALIZED (
+  SELECT fold, node, feature, bin, round(gl * gl / (hl + 1) + (gt - gl) * (gt - gl) / (ht - hl + 1) - gt * gt / (ht + 1), 7) AS gain FROM c{name}
+  WHERE hl >= 1 AND ht - hl >= 1
+), x{name} AS MATERIALIZED (
+  SELECT * FROM q{name} WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY fold, node ORDER BY gain DESC, feature, bin) = 1
+), m{name} AS MATERIALIZED (
+  SELECT r.* REPLACE (CASE WHEN x.gain IS NULL THEN r.node ELSE 2 * r.node + CASE WHEN (CASE x.feature WHEN 0 THEN b0 WHEN 1 THEN b1 ELSE b2 END) > x.bin THEN 1 ELSE 0 END END AS node)
+  FROM {rows} r LEFT JOIN x{name} x ON x.fold = r.fold AND x.node = r.node
+)""")
+            rows = f"m{name}"
+        parts.append(f"""l{n} AS MATERIALIZED (SELECT fold, node, -{step} * sum(g) / (sum(h) + 1) AS leaf FROM {rows} WHERE train GROUP BY fold, node),
+r{n + 1} AS MATERIALIZED (
+  SELECT m.doc_id, m.period, m.y, m.b0, m.b1, m.b2, m.fold, m.train, m.margin + coalesce(l.leaf, 0) AS margin
+  FROM {rows} m LEFT JOIN l{n} l ON l.fold = m.fold AND l.node = m.node
+)""")
+    return ",\n".join(parts) + tail
+
+
+def _binned(t):
+    """Labelled documents with whole-number bins of three features."""
+    digits = F.length("text") - F.length(F.regexp_replace("text", "[0-9]", ""))
+    docs = t.documents.select(
+        "doc_id", F.regexp_extract("source", r"([0-9]+)$", 1).cast("long").alias("period"),
+        F.least(F.floor(F.log1p("n_chars") * 2), F.lit(31)).alias("b0"), F.least(digits, F.lit(31)).cast("long").alias("b1"),
+        F.when(F.col("lang") == "en", 0).when(F.col("lang") == "de", 1).when(F.col("lang") == "fr", 2).when(F.col("lang") == "es", 3)
+        .otherwise(4).cast("long").alias("b2"),
+    )
+    return docs.join(t.labels.select("doc_id", "quality"), "doc_id").where("period is not null and quality is not null")
+
+
+@query("tree_splits", _trees_sql(1, 2, _STEP, """
+SELECT fold, 0 AS tree, node, feature, bin, round(gain, 5) AS gain FROM (SELECT * FROM x0_0 UNION ALL SELECT * FROM x0_1)
+"""))
+def tree_splits(t):
+    fitted = trees.fit_trees(_binned(t), "period", ["b0", "b1", "b2"], "quality", number=1, depth=2, step=_STEP)
+    return fitted.splits.select("fold", F.col("tree").cast("int").alias("tree"), "node", "feature", "bin", rounded("gain", 5).alias("gain"))
+
+
+@query("gbt_time_cv", _trees_sql(_TREES, _DEPTH, _STEP, f"""
+, p AS (SELECT fold, y, least(greatest(1 / (1 + exp(-margin)), 1e-6), 1 - 1e-6) AS p FROM r{_TREES} WHERE period = fold)
+SELECT fold, count(*) AS n, round(avg((p - y) * (p - y)), 5) AS brier, round(avg(-(y * ln(p) + (1 - y) * ln(1 - p))), 5) AS log_loss,
+  round(avg(CASE WHEN (p >= 0.5) = (y = 1) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 5) AS accuracy FROM p GROUP BY fold
+"""))
 def gbt_time_cv(t):
-    rows = _labelled(t)
-    return learn.gbt_time_cv(rows, "period", _all_folds(rows), list(_FEATURES), "quality")
+    fitted = trees.fit_trees(_binned(t), "period", ["b0", "b1", "b2"], "quality", number=_TREES, depth=_DEPTH, step=_STEP)
+    out = aggregates.probability_metrics(fitted.held_out.withColumnRenamed("__y", "y"), "fold", "p", "y", 1e-6)
+    return out.select("fold", "n", *[rounded(c, 5).alias(c) for c in ("brier", "log_loss", "accuracy")])
 
 
 @query("evaluate_holdout")
