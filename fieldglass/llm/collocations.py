@@ -198,8 +198,15 @@ def _survivors(threshold: int, factor: int):
     def run(table: pa.Table) -> pa.Table:
         mass = sum(table.column("mass").to_pylist())
         summary = MisraGries(factor * mass // threshold + 1)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for slice_ in zip(*(table.column(c) for c in ("keys", "counts", "large")), strict=True):
-            summary.merge(*unpacked(*(x.as_py() for x in slice_)))
+            held.append(unpacked(*(x.as_py() for x in slice_)))
+            # Slices are small beside the summary: merged a summary's worth at a time.
+            if sum(len(keys) for keys, _ in held) >= summary.capacity:
+                summary.merge(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                held = []
+        if held:
+            summary.merge(*(np.concatenate(x) for x in zip(*held, strict=True)))
         part = table.column("part")[0].as_py()
         keys = summary.keys[summary.counts + summary.error >= threshold] | (np.uint64(part) << np.uint64(KEY_BITS))
         return pa.table({"key": pa.array(keys.view(np.int64), pa.int64())})
