@@ -151,3 +151,57 @@ def profile_nulls(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
         F.min("v").alias("min_text"),
         F.max("v").alias("max_text"),
     )
+
+
+def profile_columns(df: DataFrame, columns: Sequence[str] | None = None, distinct_error: float | None = None) -> DataFrame:
+    """One row per column: type, rows, nulls, typed bounds and, if asked for, an approximate distinct count.
+
+    Bounds keep their type: ``min_number`` and ``max_number`` for numbers and
+    booleans, ``min_time`` and ``max_time`` for dates and times, ``min_text`` and
+    ``max_text`` for text; columns of other types have none.  All columns share one
+    aggregate of one row per task, so nothing but that row is shuffled.
+    ``distinct_error`` is the relative standard deviation of the sketch.  An empty
+    table has zero rows and null bounds.
+    """
+    columns = list(columns or df.columns)
+    types = dict(df.dtypes)
+
+    def bounds(name: str) -> list[Column]:
+        kind, column = types[name], F.col(name)
+        number = kind in ("tinyint", "smallint", "int", "bigint", "float", "double", "boolean") or kind.startswith("decimal")
+        moment = kind in ("date", "timestamp", "timestamp_ntz")
+        as_number = column.cast("int").cast("double") if kind == "boolean" else column.cast("double") if number else None
+        as_time = column.cast("timestamp_ntz") if moment else None
+        out = []
+        for label, value, cast in (("number", as_number, "double"), ("time", as_time, "timestamp_ntz"), ("text", column if kind == "string" else None, "string")):
+            for side, pick in (("min", F.min), ("max", F.max)):
+                out.append((F.lit(None).cast(cast) if value is None else pick(value)).alias(f"{side}_{label}"))
+        return out
+
+    def summary(name: str) -> Column:
+        sketch = F.approx_count_distinct(name, distinct_error) if distinct_error else F.lit(None).cast("long")
+        return F.struct(
+            F.lit(name).alias("column_name"), F.lit(types[name]).alias("data_type"), F.count(F.lit(1)).alias("row_count"),
+            F.count(F.when(F.col(name).isNull(), 1)).alias("null_count"), *bounds(name), sketch.alias("approximate_distinct"),
+        )
+
+    wide = df.agg(F.array(*[summary(c) for c in columns]).alias("__c"))
+    return wide.select(F.inline("__c"))
+
+
+def profile_keys(df: DataFrame, key: str | Sequence[str]) -> DataFrame:
+    """One row: rows, distinct keys, keys held by several rows, rows beyond the first of their key, rows with a null key.
+
+    Counted per key first (map-side combined), so a hot key is one row a task.
+    """
+    key = names(key)
+    nulls = F.lit(False)
+    for k in key:
+        nulls = nulls | F.col(k).isNull()
+    counts = df.groupBy(*key).agg(F.count(F.lit(1)).alias("__n")).withColumn("__null", nulls)
+    return counts.agg(
+        F.coalesce(F.sum("__n"), F.lit(0)).alias("row_count"), F.count(F.lit(1)).alias("key_count"),
+        F.count(F.when(F.col("__n") > 1, 1)).alias("duplicate_keys"),
+        F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("duplicate_rows"),
+        F.coalesce(F.sum(F.when(F.col("__null"), F.col("__n"))), F.lit(0)).alias("null_key_rows"),
+    )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from fieldglass.functions import scalars
 from fieldglass.operators import aggregates, bootstrap, isotonic as steps, learn, ratings, reshape, skew, trees, windows
-from fieldglass.plans.contract_aggregates import _losses
+from fieldglass.plans.contract_aggregates import _SCORED, _losses
 from fieldglass.plans.registry import cents, query, rounded
 
 
@@ -139,10 +139,21 @@ def current_ratings(t):
     return current.withColumn("rating_rank", F.row_number().over(order).cast("long")).withColumn("rating", rounded("rating"))
 
 
-@query("bootstrap_mean")
+_DRAWS = " + ".join(f"CASE WHEN u >= {x} THEN 1 ELSE 0 END" for x in bootstrap.poisson_thresholds())
+
+
+@query("bootstrap_mean", _SCORED + f""", b AS (
+  SELECT ('0x' || md5(CAST(doc_id AS VARCHAR))[1:8])::BIGINT % {bootstrap.BLOCKS} AS b, count(*) AS n,
+    sum(CAST(round(((p_b - y) * (p_b - y) - (p_a - y) * (p_a - y)) * 1e9) AS BIGINT)) AS s FROM s GROUP BY 1
+), u AS (SELECT n, s, r, ('0x' || md5(b || ':' || r || ':7')[1:8])::BIGINT AS u FROM b, unnest(range(10000)) AS q(r)),
+m AS (SELECT r, CAST(sum(w * s) AS DOUBLE) / sum(w * n) / 1e9 AS m FROM (SELECT n, s, r, {_DRAWS} AS w FROM u) GROUP BY r)
+SELECT (SELECT CAST(sum(n) AS BIGINT) FROM b) AS n, round((SELECT CAST(sum(s) AS DOUBLE) / sum(n) / 1e9 FROM b), 6) AS mean,
+  round(quantile_cont(m, 0.025), 6) AS ci_low, round(quantile_cont(m, 0.975), 6) AS ci_high FROM m
+""")
 def bootstrap_mean(t):
     pairs = aggregates.paired_losses(_losses(t), ["doc_id"], "candidate", "loss", "length", "step", ["source"])
-    return bootstrap.bootstrap_mean(pairs, [], "loss_delta", replicates=10_000, seed=7)
+    out = bootstrap.bootstrap_mean(pairs, [], "loss_delta", "doc_id", replicates=10_000, seed=7)
+    return out.withColumns({c: rounded(c) for c in ("mean", "ci_low", "ci_high")})
 
 
 def _priced(t):

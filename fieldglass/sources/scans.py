@@ -123,3 +123,52 @@ def feed_to_next_event(
     )
     mapped = feed.withColumn(status, map_codes(F.col(status), status_map, unmapped=F.lit(None).cast("string")))
     return join_lookup(mapped, upcoming, entity, "inner")
+
+
+#: What a snapshot must hold: path, type (as the parser names it) and the reason given without it.
+REQUIRED = (
+    ("$.metadata", "OBJECT", "metadata missing"),
+    ("$.events", "ARRAY", "events missing"),
+    ("$.metadata.fetched_at", "STRING", "fetched_at missing"),
+    ("$.metadata.sport_key", "STRING", "sport_key missing"),
+)
+
+
+def gate_snapshots(df: DataFrame, body: str = "body", required: Sequence[tuple[str, str, str]] = REQUIRED) -> DataFrame:
+    """S3: parse snapshot texts once and say why one is rejected.
+
+    Adds ``parsed`` (VARIANT; null if rejected) and ``reason`` (null if accepted):
+    'no text', 'invalid JSON', 'not an object', or the first missing requirement.
+    A required value of another type counts as missing.  Nothing is dropped.
+    """
+    parsed = F.try_parse_json(F.col(body))
+    kind = F.schema_of_variant(F.col("__v"))
+    reason = F.when(F.col(body).isNull(), "no text").when(F.col("__v").isNull(), "invalid JSON").when(
+        ~kind.startswith("OBJECT"), "not an object"
+    )
+    for path, wanted, missing in required:
+        here = F.schema_of_variant(F.try_variant_get("__v", path, "variant"))
+        reason = reason.when(~F.coalesce(here.startswith(wanted), F.lit(False)), missing)
+    rows = df.withColumn("__v", parsed).withColumn("reason", reason)
+    return rows.withColumn("parsed", F.when(F.col("reason").isNull(), F.col("__v"))).drop("__v")
+
+
+def snapshot_offers(df: DataFrame, keep: Sequence[str], parsed: str = "parsed") -> DataFrame:
+    """S3: offers of gated snapshots, reading only the paths that offers need.
+
+    Rejected snapshots have no offers; a level that is missing or empty ends there.
+    """
+    def items(value: Column, path: str) -> Column:
+        return F.explode(F.try_variant_get(value, path, "array<variant>"))
+
+    def text(value: str, path: str) -> Column:
+        return F.try_variant_get(value, path, "string")
+
+    events = df.where(F.col(parsed).isNotNull()).select(*keep, items(F.col(parsed), "$.events").alias("e"))
+    books = events.select(*keep, text("e", "$.id").alias("event_id"), items(F.col("e"), "$.bookmakers").alias("b"))
+    markets = books.select(*keep, "event_id", text("b", "$.key").alias("bookmaker_key"), items(F.col("b"), "$.markets").alias("m"))
+    offers = markets.select(*keep, "event_id", "bookmaker_key", text("m", "$.key").alias("market_key"), items(F.col("m"), "$.outcomes").alias("o"))
+    return offers.select(
+        *keep, "event_id", "bookmaker_key", "market_key", text("o", "$.name").alias("outcome_name"),
+        F.try_variant_get("o", "$.price", "double").alias("price"), F.try_variant_get("o", "$.point", "double").alias("point"),
+    )

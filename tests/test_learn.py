@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldglass.operators import bootstrap, learn, reshape
+from fieldglass.operators import bootstrap, learn, reshape, trees
 
 
 def data(n=300, seed=2):
@@ -127,12 +127,27 @@ def test_trees_score_every_fold(frame):
     assert {r["fold"] for r in rows} == {2021, 2022} and all(r["accuracy"] > 0.6 for r in rows)
 
 
+def test_trees_do_not_see_later_rows_and_take_nulls(frame):
+    edges = trees.quantile_bins(frame, ["a", "b"], "p", 2021, bins=8)
+    binned = frame.select("p", "label", *[trees.bin_of(F.col(c), edges[c]).alias(c) for c in ("a", "b")])
+    one = trees.fit_trees(binned, "p", ["a", "b"], "label", number=2, depth=2, folds=[2021])
+    changed = binned.withColumn("label", F.when(F.col("p") >= 2021, 1 - F.col("label")).otherwise(F.col("label")))
+    two = trees.fit_trees(changed, "p", ["a", "b"], "label", number=2, depth=2, folds=[2021])
+    key = lambda fitted: sorted(tuple(r) for r in fitted.splits.collect())
+    assert key(one) == key(two) and key(one)
+    holes = binned.withColumn("a", F.when(F.col("a") > 2, F.col("a")))
+    assert trees.fit_trees(holes, "p", ["a", "b"], "label", number=1, depth=2, folds=[2021, 2022]).held_out.where("p is null").count() == 0
+    with pytest.raises(ValueError, match="both classes"):
+        trees.fit_trees(binned.withColumn("label", F.lit(1)), "p", ["a"], "label", number=1, folds=[2021])
+
+
 def test_bootstrap_is_stable_and_covers(spark):
     rng = np.random.default_rng(4)
     x = np.round(rng.normal(0.3, 1.0, 500), 2)
     df = spark.createDataFrame([("g", float(v)) for v in x], "g string, x double")
-    one = bootstrap.bootstrap_mean(df.repartition(1), "g", "x", 2000, 7).first()
-    two = bootstrap.bootstrap_mean(df.repartition(7), "g", "x", 2000, 7).first()
+    df = df.withColumn("id", F.monotonically_increasing_id()).cache()
+    one = bootstrap.bootstrap_mean(df.repartition(1), "g", "x", "id", 2000, 7).first()
+    two = bootstrap.bootstrap_mean(df.repartition(7), "g", "x", "id", 2000, 7).first()
     assert one["ci_low"] == pytest.approx(two["ci_low"]) and one["ci_high"] == pytest.approx(two["ci_high"])
     half = 1.96 * x.std() / np.sqrt(len(x))
     assert one["mean"] == pytest.approx(x.mean()) and one["n"] == 500
@@ -149,11 +164,10 @@ def test_learning_queries_take_all_folds_and_penalties(spark, monkeypatch):
         raise Seen(args, settings)
 
     monkeypatch.setattr(learn, "fit_logistic", caught)
-    monkeypatch.setattr(learn, "gbt_time_cv", caught)
     folder = "/root/testdata/sf0.001"
     sources = spark.read.parquet(f"{folder}/documents.parquet").join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id")
     periods = sorted({int(r["source"].rstrip().split("_")[-1].lstrip("abcdefghijklmnopqrstuvwxyz-")) for r in sources.select("source").distinct().collect()})
-    for name in ("logistic_grid", "calibrators", "gbt_time_cv", "governance_report"):
+    for name in ("logistic_grid", "calibrators", "governance_report"):
         with pytest.raises(Seen) as found:
             queries()[name](spark, folder)
         args, settings = found.value.args

@@ -10,9 +10,9 @@ from fieldglass.plans import QUERIES
 SF = "/root/testdata/sf0.001"
 
 #: Queries whose core is a stream of Arrow batches or a model fit.
-PYTHON = {"pairwise_ratings", "tune_ratings", "current_ratings", "bootstrap_mean", "logistic_grid", "calibrators", "gbt_time_cv", "evaluate_holdout", "governance_report"}
+PYTHON = {"pairwise_ratings", "tune_ratings", "current_ratings", "logistic_grid", "calibrators", "isotonic", "evaluate_holdout", "governance_report"}
 #: Queries that run jobs or fit models while they are built.
-EAGER = PYTHON | {"ratings_by_round", "fit_logistic", "backtest_logistic", "backtest_ridge", "oof_residuals", "ridge_coefficients"}
+EAGER = PYTHON | {"ratings_by_round", "fit_logistic", "backtest_logistic", "backtest_ridge", "oof_residuals", "ridge_coefficients", "gbt_time_cv", "tree_splits", "stream_archive", "archive_append"}
 
 
 def plan(df):
