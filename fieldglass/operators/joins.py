@@ -98,28 +98,41 @@ def join_checked(
     on: str | Sequence[str],
     validate: str = "m:1",
     how: str = "inner",
-    hot_rows: int | None = None,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Join with a declared cardinality; a violation fails the query.
 
-    Rows per key of the right side (and the left one for ``1:1``) are counted
-    over the exchange and sort the join needs anyway, and a duplicate raises in
-    the same job.  ``hot_rows`` turns on the skew-safe lookup for the left side.
+    A side that must be unique goes through one aggregate per key that counts its
+    rows and carries the columns; repeats meet in it (map-side first), a count
+    above one raises in the same job, and its exchange is the one the join needs.
+    Hot left keys are cut into salts (``hot_rows`` rows each; None leaves them to
+    Spark).  Null keys match nothing and may repeat.
     """
     on = names(on)
 
     def unique(df: DataFrame, label: str) -> DataFrame:
-        n = F.count(F.lit(1)).over(Window.partitionBy(*on))
+        known = F.lit(True)
+        for k in on:
+            known = known & F.col(k).isNotNull()
+        rest = [c for c in df.columns if c not in on]
+        carried = [F.first(F.struct(*rest)).alias("__r")] if rest else []
+        one = df.where(known).groupBy(*on).agg(F.count(F.lit(1)).alias("__n"), *carried)
         message = F.concat(F.lit(f"{label} side is not unique on {', '.join(on)}: "), F.col("__n").cast("string"))
         ok = F.when(F.col("__n") == 1, F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
-        return df.withColumn("__n", n).where(ok).drop("__n")
+        return one.where(ok).select(*on, *[F.col(f"__r.{c}").alias(c) for c in rest]).select(*df.columns)
 
     if validate not in ("1:1", "m:1"):
         raise ValueError("validate must be '1:1' or 'm:1'")
-    right = unique(right, "right")
+    nulls = F.lit(False)
+    for k in on:
+        nulls = nulls | F.col(k).isNull()
+    if how in ("inner", "left"):
+        right = unique(right, "right")
+    else:
+        right = unique(right, "right").unionByName(right.where(nulls))
     if validate == "1:1":
-        left = unique(left, "left")
-    if hot_rows is None:
+        left = unique(left, "left") if how == "inner" else unique(left, "left").unionByName(left.where(nulls))
+    if hot_rows is None or how not in ("inner", "left"):
         return left.join(right, on, how)
     return skew.join_lookup(left, right, on, how, hot_rows)
 
@@ -150,12 +163,15 @@ def join_either(
     left_keys: Sequence[str],
     right: DataFrame,
     right_keys: Sequence[str],
-    hot_rows: int | None = None,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Join where any left key equals any right key, as one equi-join.
 
     Keys are exploded to (row, distinct non-null key); a pair that meets on
-    several keys is kept once by accepting only its smallest shared key.
+    several keys is kept once by accepting only its smallest shared key, so pairs
+    are never shuffled.  A key with more than ``hot_rows`` exploded rows is cut
+    into salts on the side where it is hot, and the other side's rows are copied
+    to them; where both are hot, each salt of one meets each salt of the other.
     """
     def exploded(df: DataFrame, keys: Sequence[str], tag: str) -> DataFrame:
         values = F.array_distinct(F.array_compact(F.array(*[F.col(k).cast("string") for k in keys])))
@@ -163,9 +179,18 @@ def join_either(
 
     a = exploded(left, left_keys, "a")
     b = exploded(right, right_keys, "b")
-    joined = a.join(b, "__key")
+    on = ["__key"]
+    for name, hot, other in (("__salt_a", "a", "b"), ("__salt_b", "b", "a")):
+        sides = {"a": a, "b": b}
+        salts = skew.salted_keys(sides[hot].select("__key"), "__key", hot_rows)
+        if salts is not None:
+            sides[hot] = skew.salted(sides[hot], salts, "__key", name)
+            sides[other] = skew.replicated(sides[other], salts, "__key", name)
+            a, b = sides["a"], sides["b"]
+            on.append(name)
+    joined = a.join(b, on)
     shared = F.array_min(F.array_intersect("__a", "__b"))
-    return joined.where(F.col("__key") == shared).drop("__key", "__a", "__b")
+    return joined.where(F.col("__key") == shared).drop(*on, "__a", "__b")
 
 
 def semi_join(left: DataFrame, right: DataFrame, on: str | Sequence[str]) -> DataFrame:

@@ -135,22 +135,52 @@ def join_lookup(
 ) -> DataFrame:
     """Many-to-one join; ``right`` holds one row per key.
 
-    Left rows of hot keys meet a broadcast of just those right rows (bounded by
-    the hot-key list); the rest is an ordinary equi-join that Spark may itself
-    turn into a broadcast when the measured size allows.
+    Left rows of hot keys are tagged in the one scan of the left side and cut into
+    salts, to which the few right rows of these keys are copied; all rows then
+    meet in one ordinary equi-join, which Spark may itself turn into a broadcast
+    when the measured size allows.
     """
     if how not in ("left", "inner"):
         raise ValueError("join_lookup supports left and inner joins")
     on = names(on)
-    hot = hot_keys(left, on, hot_rows)
-    if hot is None:
+    salts = salted_keys(left, on, hot_rows)
+    if salts is None:
         return left.join(right, on, how)
-    side, test = F.broadcast(hot), _same(on, _hot_alias(on))
-    few = right.join(side, test, "left_semi")
-    return (
-        left.join(side, test, "left_anti").join(right, on, how)
-        .unionByName(left.join(side, test, "left_semi").join(F.broadcast(few), on, how))
+    few, many = salted(left, salts, on), replicated(right, salts, on)
+    return few.join(many, [*on, "__salt"], how).drop("__salt")
+
+
+def salted_keys(df: DataFrame, by: str | Sequence[str], hot_rows: int | None = HOT_ROWS) -> DataFrame | None:
+    """Keys with more than ``hot_rows`` rows and into how many salts to cut them (``__salts``); None if there are none.
+
+    One map-side combined count; fewer rows than the table's divided by ``hot_rows``.
+    """
+    by = names(by)
+    if not by or hot_rows is None or (hot_rows >= HOT_ROWS and is_small(df)):
+        return None
+    counted = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_rows).select(
+        *[F.col(k).alias(a) for k, a in zip(by, _hot_alias(by))],
+        F.ceil(F.col("__n") / F.lit(max(hot_rows, 1))).cast("long").alias("__salts"),
     )
+    found = counted.collect()
+    return df.sparkSession.createDataFrame(found, counted.schema) if found else None
+
+
+def salted(df: DataFrame, salts: DataFrame, by: str | Sequence[str], name: str = "__salt") -> DataFrame:
+    """Give the rows of hot keys one of their key's salts, by a hash of the row; others get 0.  The input is read once."""
+    by = names(by)
+    plain = [c for c, kind in df.dtypes if not any(x in kind for x in ("map<", "variant", "interval"))]
+    tagged = df.join(F.broadcast(salts), _same(by, _hot_alias(by)), "left")
+    salt = F.coalesce(F.pmod(F.xxhash64(*plain), F.col("__salts")), F.lit(0).cast("long"))
+    return tagged.select(*df.columns, salt.alias(name))
+
+
+def replicated(df: DataFrame, salts: DataFrame, by: str | Sequence[str], name: str = "__salt") -> DataFrame:
+    """Copy the rows of hot keys to each of the key's salts; others get 0."""
+    by = names(by)
+    tagged = df.join(F.broadcast(salts), _same(by, _hot_alias(by)), "left")
+    every = F.sequence(F.lit(0).cast("long"), F.coalesce("__salts", F.lit(1).cast("long")) - 1)
+    return tagged.select(*df.columns, F.explode(every).alias(name))
 
 
 def cut_in_order(rows: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFrame:

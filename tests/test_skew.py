@@ -247,3 +247,43 @@ def test_one_moment_can_be_cut(spark):
     right = df.where("id % 2 = 0").select("k", F.col("id").alias("rid"), F.col("ts").alias("rts"))
     for strict in (True, False):
         same(*[asof.asof_join(left, right, "k", "ts", "rts", ["rid"], ["rid"], strict=strict, hot_rows=hot) for hot in (10, 10**9)])
+
+
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_join_lookup_reads_its_left_side_once(spark, folder, how):
+    rows = [("hot" if i % 3 == 0 else f"k{i % 40}" if i % 3 == 1 else None, i) for i in range(600)]
+    spark.createDataFrame(rows, "k string, x long").write.parquet(f"{folder}/left")
+    left = spark.read.parquet(f"{folder}/left")
+    right = spark.createDataFrame([("hot", 1), ("k1", 2), (None, 3)], "k string, v long")
+    out = left
+    for n in range(3):
+        out = skew.join_lookup(out, right.withColumnRenamed("v", f"v{n}"), "k", how, hot_rows=50)
+    text = out._jdf.queryExecution().sparkPlan().toString()
+    assert text.count("FileScan") == 1
+    same(out.select("k", "x", "v0"), left.join(right.withColumnRenamed("v", "v0"), "k", how).select("k", "x", "v0"))
+
+
+def test_checked_join_raises_and_keeps_nulls(spark):
+    left = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d")], "k int, x string")
+    right = spark.createDataFrame([(1, 10), (3, 30), (None, 1), (None, 2)], "k int, y int")
+    got = joins.join_checked(left, right, "k", "m:1", "left", hot_rows=1)
+    same(got, spark.createDataFrame([(1, "a", 10), (1, "b", 10), (2, "c", None), (None, "d", None)], "k int, x string, y int"))
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(Exception, match="right side is not unique on k: 2"):
+        joins.join_checked(left, right.union(right.where("k = 1")), "k").collect()
+    with pytest.raises(Exception, match="left side is not unique on k: 2"):
+        joins.join_checked(left, right, "k", "1:1").collect()
+    one = joins.join_checked(left.where("x <> 'a'"), right, "k", "1:1", "left")
+    same(one, spark.createDataFrame([(1, "b", 10), (2, "c", None), (None, "d", None)], "k int, x string, y int"))
+
+
+def test_join_either_spreads_a_hot_key(spark):
+    left = spark.createDataFrame([(i, "hot" if i % 2 else f"a{i}", f"b{i % 7}" if i % 3 else None) for i in range(200)], "i int, p string, q string")
+    right = spark.createDataFrame([(j, "hot" if j < 5 else f"a{j}", f"b{j % 9}") for j in range(40)], "j int, r string, s string")
+    plain = joins.join_either(left, ["p", "q"], right, ["r", "s"], hot_rows=None)
+    spread = joins.join_either(left, ["p", "q"], right, ["r", "s"], hot_rows=20)
+    same(plain, spread)
+    keyed = left.withColumn("__key", F.lit("hot")).where("p = 'hot'")
+    salts = skew.salted_keys(keyed.select("__key"), "__key", 20)
+    sizes = [r["count"] for r in skew.salted(keyed, salts, "__key").groupBy("__key", "__salt").count().collect()]
+    assert len(sizes) == 5 and max(sizes) <= 40
