@@ -25,10 +25,13 @@ EXPRESSIONS = {
 #: Characters a text must hold for the expression to be tried.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 
-ROUNDS = 3
+#: Different hash codes by which words are let through to the count of what follows a context.
+CODES = 1 << 17
 #: A pattern is sure with at least so many different seeds and at least this confidence.
 LEAST_SEEDS = 3
 SURE = 0.9
+#: Mean rise of the found identifiers' confidence below which the graph has settled.
+SETTLED = 1e-3
 #: Passing confidence back: weight of what is not known to be personal data.
 DOUBT = 1.0
 
@@ -182,26 +185,57 @@ def _context(pieces: Column, i: Column) -> Column:
 
 
 def followers(docs: DataFrame, contexts: DataFrame) -> DataFrame:
-    """How often each context is followed by any word at all, in all texts."""
+    """How often each context is followed by any word at all, in all texts.
+
+    Words are counted before they meet the contexts: a filter on short hash codes
+    (at most CODES of them, so the list is bounded at any size) lets few others
+    through, the rest adds up in the tasks, and one row per context is joined.
+    """
     rows = docs.select(words_of(F.lower(F.regexp_replace("text", "[0-9]", "0"))).alias("words"))
 
     def word(at: Column) -> Column:
         return F.coalesce(F.get("words", at), F.lit(START))
 
+    code = F.pmod(F.xxhash64("context"), F.lit(CODES)).cast("int")
+    wanted = [r[0] for r in contexts.select(code).distinct().collect()]
     rows = rows.select(F.explode(F.transform("words", lambda w, i: F.concat_ws(" ", word(i - 2), word(i - 1)))).alias("context"))
-    return rows.join(contexts, "context", "left_semi").groupBy("context").agg(F.count("*").alias("total"))
+    counts = rows.where(code.isin(wanted)).groupBy("context").agg(F.count("*").alias("total"))
+    return counts.join(contexts, "context", "left_semi")
+
+
+def shapes_of(found: DataFrame) -> DataFrame:
+    """What the base identifiers of each kind look like: label, fewest and most digits, whether all hold an at sign."""
+    digits = F.length(_digits(F.col("whole")))
+    return found.where("kind is not null").groupBy(F.col("kind").alias("label")).agg(
+        F.min(digits).alias("fewest"), F.max(digits).alias("most"), F.min(F.contains("whole", F.lit("@"))).alias("at_sign")
+    )
+
+
+def shaped(rows: DataFrame, shapes: DataFrame, value: str) -> DataFrame:
+    """Rows (with a label) whose value looks like an identifier of its kind.
+
+    It has no more digits than the longest base identifier, at least half as many
+    as the shortest, and an at sign if and only if those have one.
+    """
+    digits = F.length(_digits(F.col(value)))
+    joined = rows.join(F.broadcast(shapes), "label")
+    like = digits.between(F.ceil(F.col("fewest") / 2), F.col("most")) & (F.contains(value, F.lit("@")) == F.col("at_sign"))
+    return joined.where(like).drop("fewest", "most", "at_sign")
 
 
-def learn_patterns(docs: DataFrame, found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def learn_patterns(docs: DataFrame, found: DataFrame, shapes: DataFrame) -> DataFrame:
     """Sure patterns (context, kind) by passing confidence over the graph of patterns and identifiers.
 
     Base identifiers have the confidence 1 for their kind, others what the best
-    pattern before them gives.  A pattern's confidence is the sum over the
-    different identifiers after it, divided by the number of all words after it.
+    pattern before them gives, if that is at least SURE and they have the shape of
+    its kind.  A pattern's confidence is the sum over the identifiers after it,
+    divided by the number of all words after it.
 
     Patterns enter the graph with LEAST_SEEDS different base identifiers.  In each
     round those join them that have as many different identifiers of the
-    confidence SURE, base ones or found ones, if these could make them sure.
+    confidence SURE, base ones or found ones, if these could make them sure.  The
+    graph only grows and confidences only rise, so it settles: rounds go on until
+    no pattern joins, no identifier is new and confidences stand still.
     """
     edges = landed(found.groupBy("context", F.col("whole").alias("value")).agg(
         F.max("kind").alias("kind"), F.count("*").alias("n")
@@ -211,12 +245,12 @@ def learn_patterns(docs: DataFrame, found: DataFrame, rounds: int = ROUNDS) -> D
     if active.isEmpty():
         return active.withColumnRenamed("label", "kind")
     totals = landed(followers(docs, active.select("context").distinct()), "followers")
-    best = None
-    for _ in range(rounds):
-        trusted = _trusted(edges, best)
+    best, before = None, (-1, 0.0)
+    while True:
+        reached = _scored(_trusted(edges, best), active, totals).join(edges.where("kind is null"), "context")
         best = landed(
-            _scored(trusted, active, totals).join(edges.where("kind is null"), "context").groupBy("label", "value")
-            .agg(F.max("sure").alias("trust")), "best",
+            shaped(reached, shapes, "value").groupBy("label", "value").agg(F.max("sure").alias("trust"))
+            .where(F.col("trust") >= SURE), "best",
         )
         strong = _trusted(edges, best)
         # All words after a context are at least the identifier-like ones.
@@ -226,11 +260,16 @@ def learn_patterns(docs: DataFrame, found: DataFrame, rounds: int = ROUNDS) -> D
         ).where(F.col("seeds") >= LEAST_SEEDS).join(words, "context")
         reached = reached.where(F.col("good") >= SURE * (F.col("words") + DOUBT)).select("context", "label")
         fresh = landed(reached.join(active, ["context", "label"], "left_anti"), "fresh")
-        if not fresh.isEmpty():
-            unseen = landed(fresh.select("context").distinct().join(totals, "context", "left_anti"), "unseen")
-            if not unseen.isEmpty():
-                totals = landed(totals.unionByName(followers(docs, unseen)), "followers")
-            active = landed(active.unionByName(fresh), "active")
+        now = best.agg(F.count("*"), F.coalesce(F.sum("trust"), F.lit(0.0))).first()
+        settled, before = now[0] == before[0] and now[1] - before[1] <= SETTLED * now[0], now
+        if fresh.isEmpty():
+            if settled:
+                break
+            continue
+        unseen = landed(fresh.select("context").distinct().join(totals, "context", "left_anti"), "unseen")
+        if not unseen.isEmpty():
+            totals = landed(totals.unionByName(followers(docs, unseen)), "followers")
+        active = landed(active.unionByName(fresh), "active")
     ranked = _scored(_trusted(edges, best), active, totals).where(F.col("sure") >= SURE).groupBy("context").agg(
         F.max(F.struct("sure", "label")).alias("top")
     )
@@ -293,13 +332,15 @@ def find_personal_data(docs: DataFrame, id_column: str = "doc_id", text_column:
     text, so equal texts get equal spans.  Other columns are left out; an empty
     table gives an empty one.
     """
-    plain = base_spans(texts(docs, id_column, text_column)).withColumn("doc_key", F.xxhash64("text"))
+    plain = base_spans(texts(docs, id_column, text_column)).withColumn("doc_key", F.unhex(F.md5(F.encode("text", "UTF-8"))))
     found = landed(occurrences(plain), "occurrences")
-    patterns = landed(learn_patterns(plain, found), "patterns")
+    shapes = landed(shapes_of(found), "shapes")
+    patterns = landed(learn_patterns(plain, found, shapes), "patterns")
     if patterns.isEmpty():
         return plain.select("doc_id", "text", "base", F.col("base").alias("spans"))
     fresh = found.where("kind is null").drop("kind", "whole", "end").join(patterns, "context")
     fresh = fresh.withColumn("value", _grown(F.col("kind"))).withColumn("end", F.col("start") + F.length("value"))
+    fresh = shaped(fresh.withColumn("label", F.col("kind")), shapes, "value")
     span = F.struct("kind", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "value")
     # Spans of one text only; equal texts have the same ones.
     added = fresh.groupBy("doc_key").agg(_outer(F.collect_set(span)).alias("added"))

@@ -308,3 +308,12 @@ def test_matching_keeps_order_and_prefers_equal_texts():
 
 def test_signature_slack_is_five_standard_errors():
     assert near_dup.SIGNATURE_SLACK >= 5 * (0.8 * 0.2 / 512) ** 0.5
+
+
+def test_found_identifiers_look_like_their_kind(spark):
+    seeds = [(i, f"Phone line +49301234{i:04d} is busy.") for i in range(60)]
+    others = [(100, "Phone line 12 is busy."), (101, "Phone line (030) 123 4567 is busy."), (102, "Phone line a@b is busy.")]
+    frame = spark.createDataFrame([*seeds, *others], "doc_id bigint, text string")
+    spans = {r["doc_id"]: [(s["kind"], s["value"]) for s in r["spans"]] for r in pii.find_personal_data(frame).collect()}
+    assert spans[100] == [] and spans[102] == [] and spans[101] == [("phone", "(030) 123 4567")]
+    assert all(len(spans[i]) == 1 for i in range(60))
