@@ -12,6 +12,7 @@ exact count.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ PART_MASS = 4_000_000
 CAPACITY_FACTOR = 16
 #: Words a task counts at once in the first and second pass; the counts leave the task, so its memory does not depend
 #: on its input.
-BLOCK_WORDS, EXACT_BLOCK_WORDS = 500_000, 2_000_000
+BLOCK_WORDS, EXACT_BLOCK_WORDS = 500_000, 1_000_000
 #: Bits of the survivors' filter: so many per survivor, and no more than the bound (32 MB).
 BITS_PER_SURVIVOR, MOST_BITS = 64, 1 << 28
 #: Phrases whose exact counts a task adds up before they leave it.
@@ -38,7 +39,7 @@ HELD_PHRASES = 400_000
 #: Words of one task of the second pass.  Every task gives most frequent phrases once, so a few large ones give fewer rows.
 TASK_WORDS = 50_000_000
 #: Words a task keeps a number for before it starts anew.
-REMEMBERED = 2_000_000
+REMEMBERED = 700_000
 KEY_BITS = 40
 
 _KEY = np.uint64((1 << KEY_BITS) - 1)
@@ -58,16 +59,17 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Vocabulary(dict):
-    """Numbers of the words of one language in one task, from a shared list of (word, hash)."""
+    """Numbers of the words of one language in one task, from lists that all languages share."""
 
-    def __init__(self, lang: str, words: list[bytes], hashes: list[int]) -> None:
+    def __init__(self, lang: str, words: list[bytes], langs: list[str], hashes: array) -> None:
         super().__init__()
-        self.seed = xxhash.xxh3_64_intdigest(lang.encode("utf-8", "replace"))
-        self.words, self.hashes = words, hashes
+        self.lang, self.seed = lang, xxhash.xxh3_64_intdigest(lang.encode("utf-8", "replace"))
+        self.words, self.langs, self.hashes = words, langs, hashes
 
     def __missing__(self, word: bytes) -> int:
         self[word] = number = len(self.words)
         self.words.append(word)
+        self.langs.append(self.lang)
         self.hashes.append(xxhash.xxh3_64_intdigest(word, self.seed))
         return number
 
@@ -81,7 +83,8 @@ class Reader:
 
     def _anew(self) -> None:
         self.words: list[bytes] = [b""]
-        self.hashes: list[int] = [0]
+        self.langs: list[str] = [""]
+        self.hashes = array("Q", [0])
         self.known: dict[str, Vocabulary] = {}
 
     def blocks(self, batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
@@ -102,7 +105,7 @@ class Reader:
 
     def numbers(self, lang: str, text: str) -> np.ndarray:
         if lang not in self.known:
-            self.known[lang] = Vocabulary(lang, self.words, self.hashes)
+            self.known[lang] = Vocabulary(lang, self.words, self.langs, self.hashes)
             self.known[lang][bytes([_CUT])] = 0
         tokens = text.encode("utf-8", "replace").translate(_NORMAL).replace(b"\xff", b" \xff ").split()
         out = np.zeros(len(tokens) + 1, np.int64)
@@ -111,7 +114,7 @@ class Reader:
 
     def grams(self, numbers: np.ndarray, most_words: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each length: the positions where an n-gram starts, and their 64-bit hashes."""
-        value = np.array(self.hashes, np.uint64)[numbers]
+        value = np.array(self.hashes, copy=True)[numbers]
         start = np.flatnonzero(numbers)
         mixed = _mixed(value[start] + _STEP)
         yield 1, start, mixed
@@ -256,7 +259,6 @@ def _exact(parts: int, most_words: int, block_words: int, bits: int, shared):
 
         held: dict[tuple[str, str, int], int] = {}
         for numbers in reader.blocks(batches):
-            names = {id_: lang for lang, vocabulary in reader.known.items() for id_ in vocabulary.values()}
             for length, start, hashes in reader.grams(numbers, most_words):
                 first, second = probes(placed(hashes, parts), bits)
                 hit = np.flatnonzero(inside(first))
@@ -264,7 +266,7 @@ def _exact(parts: int, most_words: int, block_words: int, bits: int, shared):
                 for position, count in _by_words(numbers, start[hit], hashes[hit], length):
                     words = numbers[position:position + length].tolist()
                     text = b" ".join([reader.words[w] for w in words])
-                    key = (names[words[0]], text.decode("utf-8", "replace"), length)
+                    key = (reader.langs[words[0]], text.decode("utf-8", "replace"), length)
                     held[key] = held.get(key, 0) + count
             if len(held) >= HELD_PHRASES:
                 yield _phrase_batch(held)
