@@ -285,43 +285,61 @@ def _groups(fits: Sequence[Fit]) -> dict[tuple[str, float], list[Fit]]:
     return out
 
 
+def models_table(spark: SparkSession, fits: Sequence[Fit], features: Sequence[str]) -> DataFrame:
+    """One row per model: candidate, setting, fold, intercept, terms (weight, mean, sd, fill per feature), train_mean.
+
+    A feature that a candidate leaves out weighs nothing; a model that fills
+    nothing gives null where one of its features is null.
+    """
+    rows = []
+    for f in fits:
+        fills = f.fill or (None,) * len(f.features)
+        parts = dict(zip(f.features, zip(f.weights, f.means, f.sds, fills)))
+        terms = [[None if v is None else float(v) for v in parts.get(name, (0.0, 0.0, 1.0, 0.0))] for name in features]
+        rows.append((f.candidate, float(f.setting), int(f.fold), float(f.intercept), terms, float(f.train_mean)))
+    return spark.createDataFrame(
+        rows, "candidate string, setting double, fold long, intercept double, terms array<array<double>>, train_mean double"
+    )
+
+
+def _scored(df: DataFrame, fits: Sequence[Fit], period: str, logistic: bool) -> DataFrame:
+    """Rows of the validation periods beside every model of their fold, with its prediction.
+
+    Models are a table joined by fold, not expressions of the plan, so the plan
+    does not grow with them; there are periods x candidates x settings of them.
+    """
+    features = list(dict.fromkeys(f for fit in fits for f in fit.features))
+    models = models_table(df.sparkSession, fits, features)
+    rows = df.withColumn("__fold", F.col(period).cast("long")).join(
+        F.broadcast(models.withColumnRenamed("fold", "__fold").withColumnRenamed("candidate", "__candidate").withColumnRenamed("setting", "__setting")),
+        "__fold",
+    )
+    score = F.col("intercept")
+    for i, name in enumerate(features):
+        weight, mean, sd, fill = (F.get(F.get("terms", F.lit(i)), F.lit(k)) for k in range(4))
+        x = F.coalesce(F.col(name).cast("double"), fill)
+        # A weight of zero without a fill is a feature the model does not know.
+        score = score + weight * (x - mean) / sd
+    return rows.withColumn("__prediction", inverse_logit(score) if logistic else score)
+
+
 def oof_predict(
     df: DataFrame, fits: Sequence[Fit], period: str, keep: Sequence[str], logistic: bool = False
 ) -> DataFrame:
     """M5: long (row, candidate, setting, prediction) for the validation periods."""
-    groups = _groups(fits)
-    items = F.array(*[
-        F.struct(F.lit(c).alias("candidate"), F.lit(s).alias("setting"), prediction(g, period, logistic).alias("prediction"))
-        for (c, s), g in groups.items()
-    ])
-    folds = sorted({f.fold for f in fits})
-    return (
-        df.where(F.col(period).isin(folds))
-        .select(*keep, F.col(period).cast("long").alias("fold"), F.explode(items).alias("__i"))
-        .select(*keep, "fold", "__i.candidate", "__i.setting", "__i.prediction")
+    return _scored(df, fits, period, logistic).select(
+        *keep, F.col("__fold").alias("fold"), F.col("__candidate").alias("candidate"), F.col("__setting").alias("setting"),
+        F.col("__prediction").alias("prediction"),
     )
 
 
 def _score_wide(df, fits, period, measures, logistic):
     """All models' measures in one aggregate over the validation periods."""
-    groups = _groups(fits)
-    folds = sorted({f.fold for f in fits})
-    rows = df.where(F.col(period).isin(folds))
-    names, columns = [], []
-    for i, group in enumerate(groups.values()):
-        names.append(f"__p{i}")
-        columns.append(prediction(group, period, logistic).alias(f"__p{i}"))
-    rows = rows.select("*", *columns)
-    wide = rows.groupBy(F.col(period).cast("long").alias("fold")).agg(
-        *[F.struct(*[m.alias(k) for k, m in measures(F.col(n)).items()]).alias(n) for n in names]
-    )
-    items = F.array(*[
-        F.struct(F.lit(c).alias("candidate"), F.lit(s).alias("setting"), F.col(n).alias("m"))
-        for n, (c, s) in zip(names, groups)
-    ])
-    return wide.select("fold", F.explode(items).alias("__i")).select(
-        "__i.candidate", "__i.setting", "fold", "__i.m.*"
-    )
+    rows = _scored(df, fits, period, logistic)
+    out = rows.groupBy(
+        F.col("__candidate").alias("candidate"), F.col("__setting").alias("setting"), F.col("__fold").alias("fold")
+    ).agg(*[m.alias(k) for k, m in measures(F.col("__prediction")).items()])
+    return out
 
 
 def backtest_ridge(
@@ -330,9 +348,7 @@ def backtest_ridge(
     """M4: MAE, RMSE, bias and R^2 per candidate, alpha and fold, against the
     fold's training mean as a constant baseline."""
     y = F.col(target).cast("double")
-    level = F.when(F.lit(False), F.lit(0.0))
-    for fold, mean in {f.fold: f.train_mean for f in fits}.items():
-        level = level.when(F.col(period) == fold, F.lit(float(mean)))
+    level = F.col("train_mean")
 
     def measures(p: Column) -> dict[str, Column]:
         e = p - y

@@ -166,10 +166,10 @@ _RIDGE = """
 WITH d AS (
   SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, l_quantity AS x1, p_retailprice AS x2, l_extendedprice AS y, CAST(year(l_shipdate) AS BIGINT) AS ship_year
   FROM lineitem JOIN part ON p_partkey = l_partkey
-), f AS (SELECT unnest([1998, 1999, 2000])::BIGINT AS fold), s AS (
+), f AS (SELECT DISTINCT ship_year AS fold FROM d WHERE ship_year > (SELECT min(ship_year) FROM d)), s AS (
   SELECT fold, count(*) AS n, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my, stddev_pop(x1) AS s1, stddev_pop(x2) AS s2, covar_pop(x1, x2) AS c12, covar_pop(x1, y) AS c1y, covar_pop(x2, y) AS c2y
   FROM d JOIN f ON ship_year < fold GROUP BY ALL
-), a AS (SELECT unnest([0.0, 100.0])::DOUBLE AS setting), w AS (
+), a AS (SELECT unnest([0.0, 1.0, 10.0, 100.0, 1000.0])::DOUBLE AS setting), w AS (
   SELECT fold, setting, my, m1, m2, s1, s2,
     ((n * c1y / s1) * (n + setting) - (n * c12 / (s1 * s2)) * (n * c2y / s2)) / ((n + setting) * (n + setting) - pow(n * c12 / (s1 * s2), 2)) AS w1,
     ((n * c2y / s2) * (n + setting) - (n * c12 / (s1 * s2)) * (n * c1y / s1)) / ((n + setting) * (n + setting) - pow(n * c12 / (s1 * s2), 2)) AS w2 FROM s, a
@@ -178,6 +178,12 @@ WITH d AS (
 )"""
 
 _TWO = [learn.Candidate("two", ("l_quantity", "p_retailprice"))]
+_ALPHAS = (0.0, 1.0, 10.0, 100.0, 1000.0)
+
+
+def _years(rows) -> list[int]:
+    """Every year of the rows that has an earlier one."""
+    return sorted(r[0] for r in rows.select("ship_year").distinct().collect())[1:]
 
 
 @query("backtest_ridge", _RIDGE + """
@@ -186,7 +192,7 @@ SELECT 'two' AS candidate, setting, fold, count(*) AS n, round(avg(abs(predictio
 """)
 def backtest_ridge(t):
     rows = _priced(t)
-    fits = learn.fit_ridge(rows, "ship_year", [1998, 1999, 2000], _TWO, [0.0, 100.0], "l_extendedprice")
+    fits = learn.fit_ridge(rows, "ship_year", _years(rows), _TWO, _ALPHAS, "l_extendedprice")
     out = learn.backtest_ridge(rows, fits, "ship_year", "l_extendedprice")
     return out.withColumns({c: rounded(c, 3) for c in ("mae", "rmse", "bias", "baseline_mae")} | {"r2": rounded("r2")})
 
@@ -196,7 +202,7 @@ SELECT l_orderkey, l_linenumber, l_partkey, fold, setting, round(prediction, 3)
 """)
 def oof_residuals(t):
     rows = _priced(t)
-    fits = learn.fit_ridge(rows, "ship_year", [1998, 1999, 2000], _TWO, [100.0], "l_extendedprice")
+    fits = learn.fit_ridge(rows, "ship_year", _years(rows), _TWO, [100.0], "l_extendedprice")
     out = learn.oof_residuals(rows, fits, "ship_year", "l_extendedprice", ["l_orderkey", "l_linenumber", "l_partkey"])
     return out.select("l_orderkey", "l_linenumber", "l_partkey", "fold", "setting", rounded("prediction", 3).alias("prediction"), rounded("residual", 3).alias("residual"))
 
@@ -206,7 +212,8 @@ SELECT 'two' AS candidate, setting, fold, 'l_quantity' AS feature_name, round(w1
 UNION ALL SELECT 'two', setting, fold, 'p_retailprice', round(w2, 4), round(m2, 6), round(s2, 6) FROM w
 """)
 def ridge_coefficients(t):
-    fits = learn.fit_ridge(_priced(t), "ship_year", [1998, 1999, 2000], _TWO, [0.0, 100.0], "l_extendedprice")
+    rows = _priced(t)
+    fits = learn.fit_ridge(rows, "ship_year", _years(rows), _TWO, _ALPHAS, "l_extendedprice")
     out = learn.coefficients(t.spark, fits)
     return out.withColumns({"coefficient": rounded("coefficient", 4), "train_mean": rounded("train_mean"), "train_sd": rounded("train_sd")})
 
@@ -223,7 +230,6 @@ def _labelled(t):
 
 
 _FEATURES = ("log_chars", "digit_share", "word_length", "is_english")
-_FOLDS = [10, 12, 14, 16, 18]
 #: All penalties of the reference's grid.
 _CS = (0.001, 0.003, 0.01, 0.03, 0.1, 0.3, 1.0, 3.0, 10.0, 30.0, 100.0, 300.0)
 
@@ -236,8 +242,8 @@ def _all_folds(rows) -> list[int]:
 
 _NEWTON = """
 WITH RECURSIVE d AS (
-  SELECT d.doc_id, CAST(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT) AS period, ln(1 + n_chars) AS x, CAST(quality AS DOUBLE) AS y FROM documents d JOIN labels l ON l.doc_id = d.doc_id
-), f AS (SELECT unnest([10, 12, 14, 16, 18])::BIGINT AS fold), c AS (SELECT unnest([0.1, 1.0])::DOUBLE AS c),
+  SELECT d.doc_id, CAST(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT) AS period, ln(1 + n_chars) AS x, CAST(quality AS DOUBLE) AS y FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE quality IS NOT NULL
+), f AS (SELECT DISTINCT period AS fold FROM d WHERE period > (SELECT min(period) FROM d)), c AS (SELECT unnest([0.001, 0.003, 0.01, 0.03, 0.1, 0.3, 1.0, 3.0, 10.0, 30.0, 100.0, 300.0])::DOUBLE AS c),
 s AS (SELECT fold, avg(x) AS m, stddev_pop(x) AS sd FROM d JOIN f ON d.period < f.fold GROUP BY fold),
 z AS (SELECT s.fold, c.c, (d.x - s.m) / s.sd AS z, d.y FROM d JOIN s ON d.period < s.fold, c),
 b AS (
@@ -253,7 +259,7 @@ b AS (
 
 def _length_fits(t):
     rows = _labelled(t)
-    return rows, learn.fit_logistic(rows, "period", _FOLDS, [learn.Candidate("length", ("log_chars",))], [0.1, 1.0], "quality")
+    return rows, learn.fit_logistic(rows, "period", _all_folds(rows), [learn.Candidate("length", ("log_chars",))], _CS, "quality")
 
 
 @query("fit_logistic", _NEWTON + """
@@ -282,18 +288,7 @@ def logistic_grid(t):
     rows = _labelled(t)
     candidates = learn.ablation(_FEATURES)
     fits = learn.fit_logistic(rows, "period", _all_folds(rows), candidates, _CS, "quality")
-    # The many models are a table joined by fold, not literals of the plan; a feature left out weighs nothing.
-    models = []
-    for f in fits:
-        parts = dict(zip(f.features, zip(f.weights, f.means, f.sds, f.fill)))
-        terms = [[float(v) for v in parts.get(name, (0.0, 0.0, 1.0, 0.0))] for name in _FEATURES]
-        models.append((f.candidate, f.setting, f.fold, float(f.intercept), terms))
-    models = t.spark.createDataFrame(models, "candidate string, setting double, fold long, intercept double, terms array<array<double>>")
-    score = F.col("intercept")
-    for i, name in enumerate(_FEATURES):
-        term = F.get("terms", F.lit(i))
-        score = score + F.get(term, F.lit(0)) * (F.coalesce(name, F.get(term, F.lit(3))) - F.get(term, F.lit(1))) / F.get(term, F.lit(2))
-    oof = rows.join(models, F.col("period") == F.col("fold")).withColumn("prediction", scalars.inverse_logit(score))
+    oof = learn.oof_predict(rows, fits, "period", ["quality"], logistic=True)
     results = aggregates.probability_metrics(oof, ["candidate", "setting", "fold"], "prediction", "quality", 1e-6)
     return learn.pooled(results, ["brier", "log_loss"])
 
