@@ -21,6 +21,7 @@ import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -184,6 +185,42 @@ GRID = {
 }
 
 
+_SCORES = "setting long, __period string, n long, brier double, log_loss double, hits double"
+
+
+def _walk_settings(batches: Iterator[pd.DataFrame], chain: list[str], cols: GameColumns, cfg: RatingConfig, grid: np.ndarray, epsilon: float):
+    """Rate each chain once for all settings: an entity's state is one vector, a game a few vector operations."""
+    k, advantage, retention = grid.T
+    current, season, ratings = None, None, {}
+    sums: dict[str, np.ndarray] = {}
+    fresh = np.full(len(grid), cfg.initial)
+    for batch in batches:
+        keys = list(zip(*[batch[c] for c in chain]))
+        columns = [batch[c].tolist() for c in (cols.season, cols.home, cols.away, cols.home_score, cols.away_score, cols.neutral, "__period")]
+        for key, (year, home, away, hs, as_, neutral, period) in zip(keys, zip(*columns)):
+            if key != current:
+                current, season, ratings = key, None, {}
+            if season is not None and year != season:
+                ratings = {e: cfg.initial + (r - cfg.initial) * retention for e, r in ratings.items()}
+            season = year
+            a, b = ratings.get(home, fresh), ratings.get(away, fresh)
+            p = 1.0 / (1.0 + 10.0 ** ((b - (a if neutral else a + advantage)) / cfg.scale))
+            score = 1.0 if hs > as_ else 0.0 if hs < as_ else 0.5
+            change = k * (score - p)
+            ratings[home], ratings[away] = a + change, b - change
+            if score != 0.5:
+                # A tie carries no winner to score.
+                safe = np.clip(p, epsilon, 1 - epsilon)
+                total = sums.setdefault(period, np.zeros((4, len(grid))))
+                total += (
+                    np.ones(len(grid)), (p - score) ** 2, -np.log(safe if score else 1 - safe), ((p >= 0.5) == (score == 1.0)).astype(float)
+                )
+    for period, (n, brier, loss, hits) in sums.items():
+        yield pd.DataFrame({
+            "setting": np.arange(len(grid)), "__period": period, "n": n.astype("int64"), "brier": brier, "log_loss": loss, "hits": hits,
+        })
+
+
 def tune_ratings(
     games: DataFrame,
     chain: str | Sequence[str],
@@ -192,27 +229,26 @@ def tune_ratings(
     period: Column,
     cols: GameColumns = GameColumns(),
     cfg: RatingConfig = RatingConfig(),
+    epsilon: float = 1e-15,
 ) -> DataFrame:
-    """R2: probability scores per parameter set and period; chains run in parallel.
+    """R2: probability scores per parameter set and period, all sets in one pass over the games.
 
-    The grid is a literal array, so a game is copied once per parameter set and
-    the copies form independent chains.
+    Columns: k, advantage, retention, period, n, brier, log_loss, accuracy.  Games
+    are not copied per set; chains run in parallel, and what leaves a task are
+    sums, one row per set and period.  ``period`` names where a game counts.
     """
-    from .aggregates import probability_metrics
-
-    items = F.array(*[
-        F.struct(F.lit(i).alias("param_id"), F.lit(float(k)).alias("k"), F.lit(float(a)).alias("advantage"), F.lit(float(r)).alias("retention"))
-        for i, (k, a, r) in enumerate(grid)
-    ])
-    swept = games.withColumn("__period", period).withColumn("__g", F.explode(items)).select("*", "__g.*").drop("__g")
-    rated = pairwise_ratings(
-        swept, [*names(chain), "param_id"], order, cols, cfg, ["__period", "k", "advantage", "retention"], cfg_columns=True
+    chain = names(chain)
+    used = list(dict.fromkeys([*chain, cols.season, cols.home, cols.away, cols.home_score, cols.away_score, cols.neutral, *order]))
+    rows = games.select(*used, period.cast("string").alias("__period")).repartition(*chain).sortWithinPartitions(*chain, *order)
+    settings = np.array([[float(x) for x in row] for row in grid])
+    parts = rows.mapInPandas(lambda it: _walk_settings(it, chain, cols, cfg, settings, epsilon), _SCORES)
+    sums = parts.groupBy("setting", "__period").agg(*[F.sum(c).alias(c) for c in ("n", "brier", "log_loss", "hits")])
+    table = games.sparkSession.createDataFrame(
+        [(i, *map(float, row)) for i, row in enumerate(grid)], "setting long, k double, advantage double, retention double"
     )
-    # A tie carries no winner to score.
-    rated = rated.where("actual_home_score <> 0.5")
-    return probability_metrics(
-        rated.withColumnRenamed("__period", "period"), ["k", "advantage", "retention", "period"],
-        "home_win_probability", "actual_home_score", 1e-15,
+    return sums.join(F.broadcast(table), "setting").select(
+        "k", "advantage", "retention", F.col("__period").alias("period"), "n", (F.col("brier") / F.col("n")).alias("brier"),
+        (F.col("log_loss") / F.col("n")).alias("log_loss"), (F.col("hits") / F.col("n")).alias("accuracy"),
     )
 
 

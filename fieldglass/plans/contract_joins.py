@@ -330,13 +330,15 @@ def gap_fill(t):
 @query("expanding_folds", """
 SELECT fold, fold_role, count(*) AS order_count, CAST(min(y) AS BIGINT) AS first_year, CAST(max(y) AS BIGINT) AS last_year FROM (
   SELECT f.fold, year(o_orderdate) AS y, CASE WHEN year(o_orderdate) < f.fold THEN 'TRAIN' ELSE 'VALIDATE' END AS fold_role
-  FROM orders JOIN (SELECT unnest([1997, 1998, 1999, 2000])::BIGINT AS fold) f ON year(o_orderdate) <= f.fold) GROUP BY ALL
+  FROM orders JOIN (SELECT DISTINCT CAST(year(o_orderdate) AS BIGINT) AS fold FROM orders WHERE year(o_orderdate) > (SELECT min(year(o_orderdate)) FROM orders)) f ON year(o_orderdate) <= f.fold) GROUP BY ALL
 """)
 def expanding_folds(t):
     rows = t.orders.select(F.year("o_orderdate").cast("long").alias("order_year"))
     # Counts per year first: the fold copies are then one row per year.
     yearly = rows.groupBy("order_year").agg(F.count(F.lit(1)).alias("n"))
-    folds = reshape.expanding_folds(yearly, "order_year", [1997, 1998, 1999, 2000])
+    # One row per year.
+    years = sorted(r["order_year"] for r in yearly.where("order_year is not null").select("order_year").collect())
+    folds = reshape.expanding_folds(yearly, "order_year", years[1:])
     return folds.groupBy("fold", "fold_role").agg(
         F.sum("n").alias("order_count"), F.min("order_year").alias("first_year"), F.max("order_year").alias("last_year")
     )

@@ -103,11 +103,10 @@ def ratings_by_round(t):
     return _rated(ratings.ratings_by_round(_matches(t, "year"), "c_mktsegment", "round", cfg=_CFG))
 
 
-_TUNED = {"ks": (15.0, 30.0), "advantages": (35.0, 55.0), "retentions": (0.4, 0.8)}
 
 
 @query("tune_ratings", _ratings_cte("month", """
-  SELECT row_number() OVER () AS pid, k, adv, ret FROM (SELECT unnest([15.0, 30.0])::DOUBLE AS k), (SELECT unnest([35.0, 55.0])::DOUBLE AS adv), (SELECT unnest([0.4, 0.8])::DOUBLE AS ret)
+  SELECT row_number() OVER () AS pid, k, adv, ret FROM (SELECT 15.0 + 5 * unnest(range(8))::DOUBLE AS k), (SELECT 35.0 + 5 * unnest(range(5))::DOUBLE AS adv), (SELECT unnest([0.4, 0.5, 0.6, 0.7, 0.8])::DOUBLE AS ret)
 """) + """, f AS (
   SELECT g.k, g.adv, g.ret, CASE WHEN m.season <= 1999 THEN 'DEVELOPMENT' ELSE 'VALIDATION' END AS period, m.score AS y,
     1 / (1 + pow(10, ((CASE WHEN r.before <> r.season THEN 1500 + (b.rating - 1500) * g.ret ELSE b.rating END)
@@ -121,7 +120,7 @@ SELECT k, adv AS advantage, ret AS retention, period, count(*) AS n, round(avg((
 """)
 def tune_ratings(t):
     split = F.when(F.col("season") <= 1999, "DEVELOPMENT").otherwise("VALIDATION")
-    out = ratings.tune_ratings(_matches(t, "month"), "c_mktsegment", ["round", "pair"], ratings.rating_grid(**_TUNED), split)
+    out = ratings.tune_ratings(_matches(t, "month"), "c_mktsegment", ["round", "pair"], ratings.rating_grid(**ratings.GRID), split)
     return out.withColumns({c: rounded(c) for c in ("brier", "log_loss", "accuracy")})
 
 
