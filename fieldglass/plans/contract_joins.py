@@ -395,19 +395,19 @@ SELECT CAST(year(o_orderdate) AS VARCHAR) AS snapshot_id, CAST(l_orderkey AS VAR
 FROM lineitem JOIN orders ON o_orderkey = l_orderkey
 """)
 def snapshot_flatten(t):
-    # Each line becomes a nested one-offer event as text, which is then read
-    # back with the snapshot shape.
+    # One snapshot text per order, with its lines as bookmakers; it is parsed once and only the paths of offers are read.
     outcome = F.struct(F.col("l_partkey").cast("string").alias("name"), F.col("l_quantity").alias("price"), F.col("l_discount").alias("point"))
     market = F.struct(F.col("l_returnflag").alias("key"), F.array(outcome).alias("outcomes"))
     book = F.struct(F.col("l_suppkey").cast("string").alias("key"), F.array(market).alias("markets"))
-    event = F.struct(F.col("l_orderkey").cast("string").alias("id"), F.array(book).alias("bookmakers"))
-    lines = t.lineitem.select("l_orderkey", F.to_json(F.struct(F.array(event).alias("events"))).alias("body"))
+    # An order has a handful of lines.
+    books = t.lineitem.groupBy("l_orderkey").agg(F.collect_list(book).alias("bookmakers"))
     orders = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), F.year("o_orderdate").cast("string").alias("snapshot_id"))
-    text = skew.join_lookup(lines, orders, "l_orderkey", "inner")
-    parsed = text.select("snapshot_id", F.from_json("body", scans.SNAPSHOT_SCHEMA).alias("s")).select(
-        "snapshot_id", "s.metadata", "s.events", F.lit(None).cast("string").alias("source_file")
+    event = F.struct(F.col("l_orderkey").cast("string").alias("id"), "bookmakers")
+    metadata = F.struct(F.col("snapshot_id").alias("fetched_at"), F.lit("orders").alias("sport_key"))
+    texts = books.join(orders, "l_orderkey").select(
+        "snapshot_id", F.to_json(F.struct(metadata.alias("metadata"), F.array(event).alias("events"))).alias("body")
     )
-    return scans.flatten_snapshot(parsed)["offers"].select(
+    return scans.snapshot_offers(scans.gate_snapshots(texts), ["snapshot_id"]).select(
         "snapshot_id", "event_id", "bookmaker_key", "market_key", "outcome_name", "price", "point"
     )
 
