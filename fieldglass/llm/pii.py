@@ -190,6 +190,7 @@ def followers(docs: DataFrame, contexts: DataFrame) -> DataFrame:
     Words are counted before they meet the contexts: a filter on short hash codes
     (at most CODES of them, so the list is bounded at any size) lets few others
     through, the rest adds up in the tasks, and one row per context is joined.
+    ``contexts`` holds each once.  (A semi-join would be moved below the count.)
     """
     rows = docs.select(words_of(F.lower(F.regexp_replace("text", "[0-9]", "0"))).alias("words"))
 
@@ -200,7 +201,7 @@ def followers(docs: DataFrame, contexts: DataFrame) -> DataFrame:
     wanted = [r[0] for r in contexts.select(code).distinct().collect()]
     rows = rows.select(F.explode(F.transform("words", lambda w, i: F.concat_ws(" ", word(i - 2), word(i - 1)))).alias("context"))
     counts = rows.where(code.isin(wanted)).groupBy("context").agg(F.count("*").alias("total"))
-    return counts.join(contexts, "context", "left_semi")
+    return counts.join(contexts, "context")
 
 
 def shapes_of(found: DataFrame) -> DataFrame:
