@@ -24,17 +24,22 @@ CLOSES = {
 }
 SCOPES = frozenset("ul ol menu dl table select html body".split())
 
-#: Elements that hold page furniture, never the article.
-FURNITURE = frozenset(
-    "nav footer aside form menu dialog button select fieldset svg object embed head input textarea".split()
-)
-#: Words in class, id or role that mark page furniture (fixed values).
+#: What an element's names say of the texts in it: nothing, furniture by name (a hint), reader comments, furniture by element.
+PLAIN, HINTED, COMMENT, FIRM = range(4)
+#: Elements that never hold the article, and elements that seldom do.
+FIRM_ELEMENTS = frozenset("nav footer aside menu dialog button select svg object embed head input textarea".split())
+HINTED_ELEMENTS = frozenset("form fieldset header".split())
+#: Words in class, id or role that hint at page furniture (fixed values).
 FURNITURE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar menu nav navbar"
-    " navigation breadcrumb breadcrumbs footer comment comments commentlist reply replies respond disqus cookie cookies"
+    " navigation breadcrumb breadcrumbs footer cookie cookies"
     " consent gdpr notice notification alert popup modal overlay newsletter subscribe subscription signup login share"
     " sharing social related recommended recommendations pagination pager widget widgets masthead toolbar topbar"
-    " contentinfo complementary search hidden".split()
+    " contentinfo complementary search header".split()
+)
+#: Whole names of reader comments.
+_COMMENT_NAME = re.compile(
+    r"(?:comments?|commentlist|reply|replies|respond|disqus)(?:[-_]?(?:list|area|section|thread|body|box|form|item|content))?"
 )
 HEADER_WORDS = frozenset("header banner masthead".split())
 MAIN_WORDS = frozenset("articlebody".split())
@@ -57,14 +62,15 @@ class Tree:
     depth: list[int] = field(default_factory=list)
     text: list[str] = field(default_factory=list)
     mark: list[int] = field(default_factory=list)
-    furniture: list[bool] = field(default_factory=list)
+    furniture: list[int] = field(default_factory=list)
     main: list[int] = field(default_factory=list)
     linked: list[int] = field(default_factory=list)
+    length: list[int] = field(default_factory=list)
     kids: list[list[int]] = field(default_factory=list)
     size: list[int] = field(default_factory=list)
     shape: list[int] = field(default_factory=list)
 
-    def add(self, label: str, depth: int, text: str = "", furniture: bool = False, main: int = 0, linked: int = 0):
+    def add(self, label: str, depth: int, text: str = "", furniture: int = PLAIN, main: int = 0, linked: int = 0):
         self.label.append(label)
         self.depth.append(depth)
         self.text.append(text)
@@ -72,6 +78,7 @@ class Tree:
         self.furniture.append(furniture)
         self.main.append(main)
         self.linked.append(linked)
+        self.length.append(len(text))
 
     def close(self) -> Tree:
         """Fill in children, subtree sizes and shapes."""
@@ -90,34 +97,45 @@ class Tree:
         return self
 
     def skeleton(self) -> str:
-        """Labels, depths, text hashes and regions as one line per node."""
-        return "\n".join(
-            f"{d} {m:x} {r} {n}" for d, m, r, n in zip(self.depth, self.mark, self.main, self.label, strict=True)
-        )
+        """All but the texts themselves, as one line per node."""
+        columns = (self.depth, self.mark, self.furniture, self.main, self.linked, self.length, self.label)
+        return "\n".join(f"{d} {m:x} {f} {r} {a} {s} {n}" for d, m, f, r, a, s, n in zip(*columns, strict=True))
+
+    def layout(self) -> int:
+        """A hash of which elements make up the page, repetitions and lone wrappers aside."""
+        at = 0
+        while len(kids := [k for k in self.kids[at] if self.label[k] != "#"]) == 1:
+            at = kids[0]
+        names = sorted({self.label[k] for k in kids})
+        return xxhash.xxh64_intdigest(" ".join([self.label[at], *names])) >> 1
 
 
 def from_skeleton(lines: str) -> Tree:
     tree = Tree()
     for line in lines.split("\n"):
-        depth, mark, main, label = line.split(" ", 3)
+        depth, mark, furniture, main, linked, length, label = line.split(" ", 6)
         tree.label.append(label)
         tree.depth.append(int(depth))
         tree.mark.append(int(mark, 16))
+        tree.furniture.append(int(furniture))
         tree.main.append(int(main))
+        tree.linked.append(int(linked))
+        tree.length.append(int(length))
     return tree.close()
 
 
-def parse(page: str) -> Tree:
+def parse(page: str, hints: bool = True) -> Tree:
     """The tree of a page's block elements and text blocks.
 
     Tags need not be closed.  Text is decoded, its white space made single
     blanks; blocks end where a block element starts or ends and at line breaks.
     Elements nested deeper than ``DEEPEST`` count as lying at that depth.
+    Without ``hints`` no name says anything of the texts in its element.
     """
     tree = Tree()
     tree.add("html", 0)
     # Open elements: name, furniture, main region (1: main, 2: article).
-    opened: list[tuple[str, bool, int]] = [("html", False, 0)]
+    opened: list[tuple[str, int, int]] = [("html", PLAIN, 0)]
     pieces: list[str] = []
     in_link = linked = 0
     at, end = 0, len(page)
@@ -172,6 +190,8 @@ def parse(page: str) -> Tree:
         _close_implied(opened, name)
         parent = opened[-1]
         furniture, main, label = _region(name, found[3], parent)
+        if not hints:
+            furniture = main = 0
         tree.add(label, min(len(opened), DEEPEST), "", furniture, main)
         if not found[3].rstrip().endswith("/") or name not in ("svg", "path", "g"):
             opened.append((name, furniture, main))
@@ -179,7 +199,7 @@ def parse(page: str) -> Tree:
     return tree.close()
 
 
-def _close_implied(opened: list[tuple[str, bool, int]], name: str) -> None:
+def _close_implied(opened: list[tuple[str, int, int]], name: str) -> None:
     if opened[-1][0] == "p" and name != "p" or name == "p" and opened[-1][0] == "p":
         opened.pop()
     closing = CLOSES.get(name)
@@ -195,29 +215,44 @@ def _close_implied(opened: list[tuple[str, bool, int]], name: str) -> None:
         opened.pop()
 
 
-def _region(name: str, attributes: str, parent: tuple[str, bool, int]) -> tuple[bool, int, str]:
-    """Furniture and main region of a new element, and its label for matching."""
+def _region(name: str, attributes: str, parent: tuple[str, int, int]) -> tuple[int, int, str]:
+    """What the names of a new element say: furniture and main region; and its label for matching.
+
+    An article or main region takes back what names further out only hinted at;
+    its own names say nothing against it, but for those of reader comments.
+    """
     words: set[str] = set()
-    label = name
+    label, comment = name, False
     if "=" in attributes:
         for kind, *values in _NAMES.findall(attributes):
-            own = set(_WORD.findall("".join(values).lower()))
+            value = "".join(values).lower()
+            own = set(_WORD.findall(value))
             words |= own
+            comment = comment or any(_COMMENT_NAME.fullmatch(token) for token in value.split())
             if kind.lower() == "class":
                 label = ".".join([name, *sorted(own)])
     furniture, main = parent[1], parent[2]
+    marked = 0
     if name == "article":
-        main = 2
+        marked = 2
     elif name == "main" or "main" in words and "role" in attributes.lower() or words & MAIN_WORDS:
-        main = max(main, 1)
-    if name in FURNITURE or name == "header" and not main:
-        furniture = True
-    marks = words & FURNITURE_WORDS
-    if marks and not (main and marks <= HEADER_WORDS):
-        furniture = True
+        marked = 1
+    if name in FIRM_ELEMENTS:
+        furniture = FIRM
+    elif comment:
+        furniture = max(furniture, COMMENT)
+    elif marked:
+        furniture = PLAIN if furniture == HINTED else furniture
+    else:
+        hinted = words & FURNITURE_WORDS
+        if main and hinted <= HEADER_WORDS:
+            hinted = set()
+        if hinted or name in HINTED_ELEMENTS and not (main and name == "header"):
+            furniture = max(furniture, HINTED)
     if "hidden" in attributes.lower() or "display" in attributes.lower():
-        furniture = furniture or bool(_HIDDEN.search(attributes))
-    return furniture, main, label
+        if _HIDDEN.search(attributes):
+            furniture = FIRM
+    return furniture, max(main, marked), label
 
 
 class Matching:

@@ -317,3 +317,61 @@ def test_found_identifiers_look_like_their_kind(spark):
     spans = {r["doc_id"]: [(s["kind"], s["value"]) for s in r["spans"]] for r in pii.find_personal_data(frame).collect()}
     assert spans[100] == [] and spans[102] == [] and spans[101] == [("phone", "(030) 123 4567")]
     assert all(len(spans[i]) == 1 for i in range(60))
+
+
+def _main_texts(spark, rows, **options):
+    from fieldglass.llm import wrapper
+
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    return [r["text"] for r in wrapper.extract_main_text(pages, **options).orderBy("page_id").collect()]
+
+
+def _stories(count, seed=5):
+    rng = random.Random(seed)
+    return [" ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(30)) for _ in range(count)]
+
+
+@pytest.mark.parametrize("hints", [True, False])
+def test_main_text_by_alignment_alone(spark, hints):
+    stories = _stories(24)
+    rows = [(i, f"http://a.b/{i}", f"<div>Menu</div><div><p>{x}</p></div><div>Call us</div>") for i, x in enumerate(stories)]
+    assert _main_texts(spark, rows, hints=hints) == stories
+
+
+def test_main_text_where_names_mislead(spark):
+    stories = _stories(12)
+    article = "<div>Always here</div><article class='post comments-open category-social'><p>{}</p></article>"
+    framed = "<div class='layout with-sidebar'><div>Top</div><main><p>{}</p></main></div>"
+    teaser = "<div>Always here</div><div><p>{}</p></div><article class=teaser>Teaser card</article>"
+    sidebar = "<div>Always here</div><div class=widget><p>{}</p></div>"
+    for page in (article, framed, teaser, sidebar):
+        assert _main_texts(spark, [(i, f"http://a.b/{i}", page.format(x)) for i, x in enumerate(stories)]) == stories
+
+
+def test_reader_comments_are_no_content_however_long(spark):
+    page = "<article><p>{}</p></article><div class='comments'><article class='comment'>{}</article></div>"
+    stories = _stories(12)
+    rows = [(i, f"http://a.b/{i}", page.format(x, x[::-1] * 5)) for i, x in enumerate(stories)]
+    assert _main_texts(spark, rows) == stories
+
+
+def test_wrapper_of_two_layouts_and_empty_pages(spark):
+    stories = _stories(24)
+    one, two = "<div>Always here</div><p>{}</p>", "<table><tr><td>Stock</table><section><p>{}</p></section><div>Call us</div>"
+    rows = [(i, f"http://a.b/{i}", (two if i % 2 else one).format(x)) for i, x in enumerate(stories)]
+    rows += [(90, "http://a.b/x", ""), (91, "http://a.b/y", None), (92, "http://a.b/z", "<p> </p>")]
+    assert _main_texts(spark, rows) == [*stories, "", "", ""]
+
+
+def test_texts_that_rotate_through_a_slot_are_template(spark):
+    stories = _stories(60)
+    offers = _stories(6, seed=6)
+    rows = [(i, f"http://a.b/{i}", f"<div>{offers[i % 6]}</div><p>{x} {x}</p>") for i, x in enumerate(stories)]
+    assert _main_texts(spark, rows, hints=False) == [f"{x} {x}" for x in stories]
+
+
+def test_copies_say_nothing_about_the_template(spark):
+    stories = _stories(12)
+    page = "<div>Always here</div><p>{}</p>"
+    rows = [(i, f"http://a.b/{i}", page.format(x)) for i, x in enumerate(stories + [stories[0]] * 4)]
+    assert _main_texts(spark, rows) == stories + [stories[0]] * 4
