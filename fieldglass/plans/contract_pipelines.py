@@ -21,7 +21,8 @@ def _text(prefix: str, column):
 
 # -- D1 ---------------------------------------------------------------------
 
-@query("odds_pipeline", """
+#: Best offers as ``r``.
+_ODDS = """
 WITH e AS (
   SELECT CAST(year(o_orderdate) AS VARCHAR) AS snapshot_id, o_orderkey AS event_id, 'T' || (o_custkey % 30) AS home, 'T' || (o_custkey % 30 + 1) AS away FROM orders
 ), o AS (
@@ -40,10 +41,22 @@ WITH e AS (
   SELECT *, row_number() OVER w AS rn, count(*) OVER g AS books, avg(fair) OVER g AS consensus, avg(odds) OVER g AS mean_odds, max(fair) OVER g - min(fair) OVER g AS dispersion
   FROM n WINDOW g AS (PARTITION BY snapshot_id, event_id, market_key, outcome_type, point), w AS (PARTITION BY snapshot_id, event_id, market_key, outcome_type, point ORDER BY odds DESC NULLS LAST, book)
 )
+"""
+
+
+@query("odds_pipeline", _ODDS + """
 SELECT snapshot_id, CAST(event_id AS VARCHAR) AS event_id, market_key, outcome_type, point, book AS best_bookmaker_key, round(odds, 6) AS best_decimal_odds, books AS bookmaker_count,
   round(consensus, 6) AS consensus_no_vig_probability, round(dispersion, 6) AS probability_dispersion, round(odds - mean_odds, 6) AS decimal_price_improvement FROM r WHERE rn = 1
 """)
 def odds_pipeline(t):
+    best = odds.best_odds_by_line(odds.processed_odds(*odds_tables(t)))
+    keep = ["snapshot_id", "event_id", "market_key", "outcome_type", "point", "best_bookmaker_key", "bookmaker_count"]
+    numbers = ["best_decimal_odds", "consensus_no_vig_probability", "probability_dispersion", "decimal_price_improvement"]
+    return best.select(*keep, *[rounded(c).alias(c) for c in numbers])
+
+
+def odds_tables(t):
+    """Snapshots, events and offers: orders as events of their year's snapshot, lines as offers."""
     year = F.year("o_orderdate").cast("string")
     events = t.orders.select(
         year.alias("snapshot_id"), F.col("o_orderkey").cast("string").alias("event_id"), F.col("o_orderdate").alias("commence_time"),
@@ -61,10 +74,7 @@ def odds_pipeline(t):
         F.when(q < 26, -(q * 5 + 80)).otherwise(q * 2 + 60).alias("price"),
         F.when(flag == "A", F.round(F.col("l_discount") * 100) - 4).when(flag == "N", F.round(F.col("l_tax") * 100) + 40).cast("double").alias("point"),
     )
-    best = odds.best_odds_by_line(odds.processed_odds(snapshots, events, offers))
-    keep = ["snapshot_id", "event_id", "market_key", "outcome_type", "point", "best_bookmaker_key", "bookmaker_count"]
-    numbers = ["best_decimal_odds", "consensus_no_vig_probability", "probability_dispersion", "decimal_price_improvement"]
-    return best.select(*keep, *[rounded(c).alias(c) for c in numbers])
+    return snapshots, events, offers
 
 
 # -- D3, D4 ------------------------------------------------------------------------
