@@ -29,7 +29,8 @@ _KIND = np.zeros((256, 7), np.int64)
 for _i, _set in enumerate(("#*$%&<>", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "|", ".,;:!?'\"()-", " \t\n\r\v\f")):
     _KIND[[ord(c) for c in _set], _i] = 1
 _KIND[[*range(97, 123)], 6] = 1
-_END = re.compile(r"[.!?…:;][\"'”»)\]]*\s*$")
+_ENDS = frozenset(".!?…:;")
+_CLOSERS = "\"'”»)]"
 
 
 def _odds(part: float, whole: float) -> float:
@@ -55,7 +56,7 @@ def statistics(text: str) -> list[float]:
         float(np.log((len(set(words)) + 1) / (count + 1))), _odds(sum(map(eq, words, words[1:])), max(count - 1, 0)),
         _odds(repeats, windows), _odds(len(lines) - len(set(lines)), len(lines)),
         float(np.log1p(count / len(lines))) if lines else 0.0,
-        _odds(sum(1 for line in lines if _END.search(line[-8:])), len(lines)), _odds(bars, max(chars, bars)),
+        _odds(sum(line.rstrip().rstrip(_CLOSERS)[-1:] in _ENDS for line in lines), len(lines)), _odds(bars, max(chars, bars)),
         _odds(marks, max(chars, marks)), _odds(other, max(chars, other)),
     ]
 

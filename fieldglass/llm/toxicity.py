@@ -3,8 +3,8 @@
 The kernel counts common subsequences of four characters, start and end marks
 included, each weighted by how far it stretches in both strings, so that gaps and inserted characters lower a
 likeness but do not end it.  A text is as toxic as its most toxic unit; units
-are words without outer punctuation, runs of single letters drawn together, and
-overlapping pieces of very long words.
+are words without outer punctuation, runs of words of one or two letters drawn
+together, and overlapping pieces of very long words.
 """
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ MINING_ROUNDS = 2
 LEAST_RATIO = 10.0
 #: ... and the odds against its counts being chance are so much above the number of units (natural logarithm).
 SAFETY = 2.0
-TOXIC_LANDMARKS, CLEAN_LANDMARKS = 32, 16
-#: Landmarks of one side are less alike than this.
+#: Clean landmarks; toxic ones are taken until every suspect is this like one of them.
+CLEAN_LANDMARKS = 16
 ALIKE = 0.15
 
 PENALTY = 1e-4
@@ -44,9 +44,12 @@ DECAY = np.float32(0.7)
 PIECE = 24
 #: Units a worker remembers; beyond that it starts anew.
 REMEMBERED = 1_000_000
-BLOCK = 64
-#: Shortest unit.
-LEAST_UNIT = 3
+BLOCK = 512
+#: Pairs whose kernel is worked out at once, and places that letters are hashed to.
+PAIRS = 4_096
+HASHED = 128
+#: Words up to this length are also drawn together with their neighbours of that kind.
+FRAGMENT = 2
 OUTSIDE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”‘’„…–—¡¿"
 #: Score bins of the calibration.
 BINS = 2_000
@@ -54,16 +57,16 @@ REACH = 8.0
 
 
 def units(text: str) -> list[str]:
-    """The units of a text in order, lower-cased; those under ``LEAST_UNIT`` characters are left out."""
+    """The units of a text in order, lower-cased; a run of fragments is a unit beside its words of two letters or more."""
     out: list[str] = []
     words = [w for w in (w.strip(OUTSIDE) for w in text.lower().split()) if w]
-    for single, run in groupby(words, key=lambda w: len(w) == 1):
-        if single:
-            run = ["".join(run)]
-        for word in run:
+    for short, run in groupby(words, key=lambda w: len(w) <= FRAGMENT):
+        own = list(run)
+        if short and len(own) > 1:
+            own = [*(w for w in own if len(w) > 1), "".join(own)]
+        for word in own:
             if len(word) <= PIECE:
-                if len(word) >= LEAST_UNIT:
-                    out.append(word)
+                out.append(word)
             else:
                 out += [word[i:i + PIECE] for i in range(0, len(word) - PIECE // 2, PIECE // 2)]
     return out
@@ -125,15 +128,55 @@ class Machine:
         return likeness(words, list(self.landmarks), self.own) @ self.weights + np.float32(self.bias)
 
 
+def letters(words: list[str]) -> np.ndarray:
+    """Which letters words hold, their n-th occurrences apart, hashed to ``HASHED`` places: products count shared letters."""
+    out = np.zeros((len(words), HASHED), np.float32)
+    for i, word in enumerate(words):
+        seen: dict[str, int] = {}
+        for c in word:
+            seen[c] = n = seen.get(c, 0) + 1
+            out[i, (ord(c) + 37 * n) % HASHED] = 1
+    return out
+
+
+def pair_kernel(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The subsequence kernel of the rows of left with the same rows of right."""
+    rows, width = right.shape
+    steps = np.arange(width)
+    gap = steps[None, :] - steps[:, None] - 1
+    reach = np.where(gap >= 0, DECAY ** np.maximum(gap, 0), 0).astype(np.float32)
+    shorter = [np.zeros((rows, width), np.float32) for _ in range(LENGTH - 1)]
+    total = np.zeros(rows, np.float32)
+    weight = DECAY * DECAY
+    for i in range(left.shape[1]):
+        same = (left[:, i, None] == right).astype(np.float32)
+        total += weight * (same * shorter[-1]).sum(1)
+        for q in range(LENGTH - 2, -1, -1):
+            ends = same * shorter[q - 1] if q else same
+            shorter[q] *= DECAY
+            shorter[q] += weight * (ends @ reach)
+    return total
+
+
 def likeness(words: list[str], landmarks: list[str], own: np.ndarray) -> np.ndarray:
-    """Likeness to the landmarks: a Gaussian of the distance that the kernel, divided so that a word is 1 to itself, gives."""
+    """Likeness to the landmarks: a Gaussian of the distance that the kernel, divided so that a word is 1 to itself, gives.
+
+    The kernel counts as 0 where a word shares less than half of a landmark's letters.
+    """
     right = coded(landmarks, -2)
-    out = np.empty((len(words), len(landmarks)), np.float32)
+    held = letters(landmarks)
+    marks, lengths = held.T, held.sum(1)
+    out = np.zeros((len(words), len(landmarks)), np.float32)
     order = sorted(range(len(words)), key=lambda i: len(words[i]))
     for start in range(0, len(order), BLOCK):
-        block = order[start:start + BLOCK]
-        left = coded([words[i] for i in block], -1)
-        out[block] = subsequence_kernel(left, right) / np.sqrt(self_kernel(left))[:, None]
+        block = np.array(order[start:start + BLOCK])
+        names = [words[i] for i in block]
+        left = coded(names, -1)
+        scale = np.sqrt(self_kernel(left))
+        rows, columns = np.nonzero(2 * (letters(names) @ marks) >= lengths)
+        for at in range(0, len(rows), PAIRS):
+            r, c = rows[at:at + PAIRS], columns[at:at + PAIRS]
+            out[block[r], c] = pair_kernel(left[r], right[c]) / scale[r]
     return np.exp((out / np.sqrt(own) - 1) / np.float32(WIDTH))
 
 
@@ -156,14 +199,14 @@ def self_kernel(code: np.ndarray) -> np.ndarray:
     return np.maximum(total, np.float32(1e-9))
 
 
-def choose_landmarks(words: list[str], most: int, alike: float = ALIKE) -> list[str]:
-    """The first words in order that are less alike than ``alike`` to those chosen before."""
+def choose_landmarks(words: list[str], most: int | None = None, alike: float = ALIKE) -> list[str]:
+    """The first words in order that are less alike than ``alike`` to those chosen before; all such words without ``most``."""
     chosen: list[str] = []
-    for word in words:
-        if len(chosen) == most:
-            break
-        if not chosen or float(likeness([word], chosen, own_kernel(chosen)).max()) < alike:
-            chosen.append(word)
+    free = list(words)
+    while free and (most is None or len(chosen) < most):
+        chosen.append(free[0])
+        near = likeness(free, chosen[-1:], own_kernel(chosen[-1:]))[:, 0]
+        free = [w for w, x in zip(free[1:], near[1:], strict=True) if x < alike]
     return chosen
 
 
@@ -177,7 +220,7 @@ def fit_machine(suspects: dict[str, int], clean: dict[str, int], penalty: float
         return None
     names = sorted(suspects, key=lambda u: (-suspects[u], u))
     others = list(clean)
-    toxic_marks = choose_landmarks(names, TOXIC_LANDMARKS)
+    toxic_marks = choose_landmarks(names)
     close = likeness(others, toxic_marks, own_kernel(toxic_marks)).max(1)
     hardest = [others[i] for i in np.argsort(-close, kind="stable")]
     marks = toxic_marks + choose_landmarks(hardest, CLEAN_LANDMARKS)

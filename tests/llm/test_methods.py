@@ -265,6 +265,23 @@ def test_kernel_against_enumeration():
 def test_units():
     assert toxicity.units('You I D I O T, "Clown"! so-so') == ["you", "idiot", "clown", "so-so"]
     assert len(toxicity.units("a" * 100)) == 8 and toxicity.units("") == []
+    assert toxicity.units("st up id 傻逼") == ["st", "up", "id", "傻逼", "stupid傻逼"] and toxicity.units("an x") == ["an", "anx"]
+
+
+def test_many_unlike_insults_are_all_learned():
+    rng = random.Random(3)
+    word = lambda letters: "".join(rng.choices(letters, k=9))
+    insults = {word("abcdefghijklmnopqrstuvwxyz"): 12 for _ in range(200)}
+    clean = {word("abcdefghijklmnopqrstuvwxyz"): 12 for _ in range(2000)}
+    names = list(insults)
+    # Each insult is taught plain and with one inserted character; others are inserted elsewhere.
+    machine = toxicity.fit_machine(insults | {w[:6] + "x" + w[6:]: 4 for w in names}, clean)
+    assert len(machine.landmarks) >= 200
+    gapped = [w[:4] + "*" + w[4:] for w in names]
+    fresh = machine.decide([word("abcdefghijklmnopqrstuvwxyz") for _ in range(1000)])
+    assert (machine.decide(names) > 0).mean() >= 0.97 and (fresh > 0).mean() <= 0.02
+    # Unseen spellings rank above clean words; where the score of 0.5 lies is up to the calibration.
+    assert (machine.decide(gapped) > np.quantile(fresh, 0.99)).mean() >= 0.9
 
 
 @pytest.mark.parametrize(("name", "label", "least"), [("op2_toxicity_svm", "toxic", 0.9), ("op5_quality_qda", "quality", 0.97)])
@@ -375,3 +392,11 @@ def test_copies_say_nothing_about_the_template(spark):
     page = "<div>Always here</div><p>{}</p>"
     rows = [(i, f"http://a.b/{i}", page.format(x)) for i, x in enumerate(stories + [stories[0]] * 4)]
     assert _main_texts(spark, rows) == stories + [stories[0]] * 4
+
+
+def test_statistics_look_at_whole_lines():
+    from fieldglass.llm.quality_qda import FEATURES, statistics
+
+    ends = FEATURES.index("sentence_ends")
+    assert statistics("A long line ends." + '"' * 20 + " " * 20)[ends] == statistics("A long line ends.")[ends]
+    assert statistics("No end")[ends] < statistics("An end.")[ends]
