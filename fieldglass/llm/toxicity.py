@@ -128,14 +128,11 @@ class Machine:
         return likeness(words, list(self.landmarks), self.own) @ self.weights + np.float32(self.bias)
 
 
-def letters(words: list[str]) -> np.ndarray:
-    """Which letters words hold, their n-th occurrences apart, hashed to ``HASHED`` places: products count shared letters."""
-    out = np.zeros((len(words), HASHED), np.float32)
-    for i, word in enumerate(words):
-        seen: dict[str, int] = {}
-        for c in word:
-            seen[c] = n = seen.get(c, 0) + 1
-            out[i, (ord(c) + 37 * n) % HASHED] = 1
+def letters(code: np.ndarray) -> np.ndarray:
+    """Which letters coded words hold, hashed to ``HASHED`` places: products count shared letters."""
+    out = np.zeros((len(code), HASHED), np.float32)
+    rows, places = np.nonzero(code > 3)
+    out[rows, code[rows, places] % HASHED] = 1
     return out
 
 
@@ -161,19 +158,18 @@ def pair_kernel(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 def likeness(words: list[str], landmarks: list[str], own: np.ndarray) -> np.ndarray:
     """Likeness to the landmarks: a Gaussian of the distance that the kernel, divided so that a word is 1 to itself, gives.
 
-    The kernel counts as 0 where a word shares less than half of a landmark's letters.
+    The kernel counts as 0 where a word holds less than half of a landmark's different letters.
     """
     right = coded(landmarks, -2)
-    held = letters(landmarks)
+    held = letters(right)
     marks, lengths = held.T, held.sum(1)
     out = np.zeros((len(words), len(landmarks)), np.float32)
     order = sorted(range(len(words)), key=lambda i: len(words[i]))
     for start in range(0, len(order), BLOCK):
         block = np.array(order[start:start + BLOCK])
-        names = [words[i] for i in block]
-        left = coded(names, -1)
+        left = coded([words[i] for i in block], -1)
         scale = np.sqrt(self_kernel(left))
-        rows, columns = np.nonzero(2 * (letters(names) @ marks) >= lengths)
+        rows, columns = np.nonzero(2 * (letters(left) @ marks) >= lengths)
         for at in range(0, len(rows), PAIRS):
             r, c = rows[at:at + PAIRS], columns[at:at + PAIRS]
             out[block[r], c] = pair_kernel(left[r], right[c]) / scale[r]
