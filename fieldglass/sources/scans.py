@@ -142,33 +142,39 @@ def gate_snapshots(df: DataFrame, body: str = "body", required: Sequence[tuple[s
     A required value of another type counts as missing.  Nothing is dropped.
     """
     parsed = F.try_parse_json(F.col(body))
-    kind = F.schema_of_variant(F.col("__v"))
+    # An object is what can be read as a map, an array what can be read as one; their whole schema is not needed.
+    whole = {"OBJECT": "map<string, variant>", "ARRAY": "array<variant>"}
+
+    def is_a(path: str, wanted: str) -> Column:
+        if wanted in whole:
+            return F.try_variant_get("__v", path, whole[wanted]).isNotNull()
+        return F.coalesce(F.schema_of_variant(F.try_variant_get("__v", path, "variant")).startswith(wanted), F.lit(False))
+
     reason = F.when(F.col(body).isNull(), "no text").when(F.col("__v").isNull(), "invalid JSON").when(
-        ~kind.startswith("OBJECT"), "not an object"
+        ~is_a("$", "OBJECT"), "not an object"
     )
     for path, wanted, missing in required:
-        here = F.schema_of_variant(F.try_variant_get("__v", path, "variant"))
-        reason = reason.when(~F.coalesce(here.startswith(wanted), F.lit(False)), missing)
+        reason = reason.when(~is_a(path, wanted), missing)
     rows = df.withColumn("__v", parsed).withColumn("reason", reason)
     return rows.withColumn("parsed", F.when(F.col("reason").isNull(), F.col("__v"))).drop("__v")
 
 
+_OUTCOMES = "array<struct<name: string, price: double, point: double>>"
+_BOOKS = f"array<struct<key: string, markets: array<struct<key: string, outcomes: {_OUTCOMES}>>>>"
+_EVENTS = f"array<struct<id: string, bookmakers: {_BOOKS}>>"
+
+
 def snapshot_offers(df: DataFrame, keep: Sequence[str], parsed: str = "parsed") -> DataFrame:
     """S3: offers of gated snapshots, reading only the paths that offers need.
 
     Rejected snapshots have no offers; a level that is missing or empty ends there.
     """
-    def items(value: Column, path: str) -> Column:
-        return F.explode(F.try_variant_get(value, path, "array<variant>"))
-
-    def text(value: str, path: str) -> Column:
-        return F.try_variant_get(value, path, "string")
-
-    events = df.where(F.col(parsed).isNotNull()).select(*keep, items(F.col(parsed), "$.events").alias("e"))
-    books = events.select(*keep, text("e", "$.id").alias("event_id"), items(F.col("e"), "$.bookmakers").alias("b"))
-    markets = books.select(*keep, "event_id", text("b", "$.key").alias("bookmaker_key"), items(F.col("b"), "$.markets").alias("m"))
-    offers = markets.select(*keep, "event_id", "bookmaker_key", text("m", "$.key").alias("market_key"), items(F.col("m"), "$.outcomes").alias("o"))
+    # One typed read takes all levels; a value of another type is null there, as if it were read alone.  An outer
+    # explode keeps its test for missing levels behind it: pushed below, a test would read every text again.
+    events = df.select(*keep, F.explode_outer(F.try_variant_get(F.col(parsed), "$.events", _EVENTS)).alias("e"))
+    books = events.select(*keep, F.col("e.id").alias("event_id"), F.explode("e.bookmakers").alias("b"))
+    markets = books.select(*keep, "event_id", F.col("b.key").alias("bookmaker_key"), F.explode("b.markets").alias("m"))
+    offers = markets.select(*keep, "event_id", "bookmaker_key", F.col("m.key").alias("market_key"), F.explode("m.outcomes").alias("o"))
     return offers.select(
-        *keep, "event_id", "bookmaker_key", "market_key", text("o", "$.name").alias("outcome_name"),
-        F.try_variant_get("o", "$.price", "double").alias("price"), F.try_variant_get("o", "$.point", "double").alias("point"),
+        *keep, "event_id", "bookmaker_key", "market_key", F.col("o.name").alias("outcome_name"), F.col("o.price").alias("price"), F.col("o.point").alias("point"),
     )
