@@ -141,6 +141,9 @@ def qb_game_performance(pbp: DataFrame, schedule: DataFrame) -> DataFrame:
     )
 
 
+#: What the ratings read of a passer's game.
+RATED = ["game_id", "season", "season_type", "week", "game_date", "team", "opponent", "qb_id", "qb_name", "is_primary_qb", "team_dropback_share",
+         "dropbacks", "epa_per_dropback", "cpoe", "throw_attempts", "sacks", "turnovers"]
 _SUMS = ["dropbacks", "epa", "epa2", "throws", "cpoe_total", "sacks", "turnovers"]
 
 
