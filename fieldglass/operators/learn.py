@@ -234,29 +234,38 @@ def fit_logistic(
 def _newton_sums(data, features, scale, models, weights, live) -> dict[int, np.ndarray]:
     """Loss, gradient and curvature sums of the live models, in one pass."""
     plan = [(i, models[i][0], models[i][3], weights[i]) for i in live]
+    # Models of one fold and candidate differ in weights alone: their rows are standardised once and worked as one matrix.
+    alike: dict[int, dict[tuple, list[int]]] = {}
+    for i, fold, k, _ in plan:
+        alike.setdefault(fold, {}).setdefault(tuple(k), []).append(i)
 
     def partials(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = {i: np.zeros(1 + len(w) + len(w) ** 2) for i, _, _, w in plan}
         for batch in batches:
             periods, y = batch["__p"].to_numpy(), batch["__y"].to_numpy()
             raw = batch[features].to_numpy(dtype="float64")
-            ready: dict[int, tuple] = {}
-            for i, fold, k, w in plan:
-                if fold not in ready:
-                    _, fill, mean, sd = scale[fold]
-                    use = periods < fold
-                    x = raw[use]
-                    x = np.where(np.isnan(x), fill, x)
-                    ready[fold] = ((x - mean) / sd, y[use])
-                z, t = ready[fold]
-                a = np.column_stack([np.ones(len(z)), z[:, k]])
-                eta = a @ w
-                p = 1.0 / (1.0 + np.exp(-np.clip(eta, -500, 500)))
-                loss = np.sum(np.logaddexp(0.0, eta) - t * eta)
-                curve = a.T @ (a * (p * (1 - p))[:, None])
-                sums[i] += np.r_[loss, a.T @ (p - t), curve.ravel()]
-        for i, total in sums.items():
-            yield pd.DataFrame({"model": i, "pos": np.arange(len(total)), "value": total})
+            for fold, candidates in alike.items():
+                _, fill, mean, sd = scale[fold]
+                use = periods < fold
+                x, t = raw[use], y[use]
+                z = (np.where(np.isnan(x), fill, x) - mean) / sd
+                for k, members in candidates.items():
+                    a = np.column_stack([np.ones(len(z)), z[:, list(k)]])
+                    size = a.shape[1]
+                    products = (a[:, :, None] * a[:, None, :]).reshape(len(a), size * size)
+                    w = np.column_stack([weights[i] for i in members])
+                    eta = a @ w
+                    e = np.exp(-np.abs(eta))
+                    p = np.where(eta >= 0, 1.0, e) / (1.0 + e)
+                    loss = np.sum(np.maximum(eta, 0.0) + np.log1p(e), axis=0) - (t @ a) @ w
+                    slope = a.T @ (p - t[:, None])
+                    curve = products.T @ (p * (1.0 - p))
+                    for c, i in enumerate(members):
+                        sums[i] += np.r_[loss[c], slope[:, c], curve[:, c]]
+        yield pd.DataFrame({
+            "model": np.repeat(list(sums), [len(v) for v in sums.values()]), "pos": np.concatenate([np.arange(len(v)) for v in sums.values()]),
+            "value": np.concatenate(list(sums.values())),
+        })
 
     rows = data.mapInPandas(partials, "model long, pos long, value double").groupBy("model", "pos").agg(
         F.sum("value").alias("value")

@@ -10,6 +10,7 @@ from fieldglass.functions import scalars
 from fieldglass.operators import aggregates, bootstrap, isotonic as steps, learn, ratings, reshape, skew, trees, windows
 from fieldglass.plans.contract_aggregates import _SCORED, _losses
 from fieldglass.plans.registry import cents, query, rounded
+from fieldglass.session import land
 
 
 def _matches(t, part: str):
@@ -222,10 +223,12 @@ def _labelled(t):
     words = F.size(F.split("text", r"\\s+"))
     docs = t.documents.select(
         "doc_id", F.regexp_extract("source", r"([0-9]+)$", 1).cast("long").alias("period"),
-        F.log1p("n_chars").alias("log_chars"), (F.length(F.regexp_replace("text", "[^0-9]", "")) / F.length("text")).alias("digit_share"),
+        F.log1p("n_chars").alias("log_chars"), (F.length(F.regexp_replace("text", "[^0-9]+", "")) / F.length("text")).alias("digit_share"),
         F.when(F.col("lang") == "en", F.col("n_chars") / words).alias("word_length"), (F.col("lang") == "en").cast("double").alias("is_english"),
     )
-    return docs.join(t.labels.select("doc_id", "quality"), "doc_id")
+    rows = docs.join(t.labels.select("doc_id", "quality"), "doc_id")
+    # Folds, fits and predictions read the rows again, but not the texts.
+    return rows if skew.is_small(rows) else land(rows, "labelled")
 
 
 _FEATURES = ("log_chars", "digit_share", "word_length", "is_english")
