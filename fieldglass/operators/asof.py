@@ -39,11 +39,14 @@ def asof_join(
     """
     by = names(by)
     left_cols = [c for c in left.columns if c not in by]
+    # Payload that is time or tie anyhow is read from there and not carried twice.
+    held = {t: f"__tie{i}" for i, t in enumerate(ties)} | {right_ts: "__rts"}
+    carried = [c for c in payload if c not in held]
     side = right.dropna("any", subset=[*by, right_ts]).select(
         *by,
         F.col(right_ts).alias("__ts"),
         F.struct(F.col(right_ts).alias("__rts"), *[F.col(t).alias(f"__tie{i}") for i, t in enumerate(ties)],
-                 F.struct(*payload).alias("__payload")).alias("__right"),
+                 *([F.struct(*carried).alias("__payload")] if carried else [])).alias("__right"),
     )
     base = left.select(
         *by,
@@ -76,7 +79,7 @@ def asof_join(
     return found.select(
         *by,
         *[F.col(f"__left.{c}").alias(c) for c in left_cols],
-        *[F.col(f"__found.__payload.{c}").alias(c) for c in payload],
+        *[F.col(f"__found.{held[c]}" if c in held else f"__found.__payload.{c}").alias(c) for c in payload],
     )
 
 
@@ -97,7 +100,7 @@ def latest_before(
     does, so one strict as-of join at the deadline answers the range question.
     """
     found = asof_join(
-        entry, candidates.withColumn("__cts", F.col(candidate_ts)), by, deadline, candidate_ts,
+        entry, candidates.withColumn("__cts", F.col(candidate_ts)), by, deadline, "__cts",
         ties, [*payload, "__cts"], strict=True, **tuning,
     )
     inside = F.col("__cts") > F.col(after)

@@ -105,6 +105,7 @@ def append_archive(board: DataFrame, run_id: str, archived_at: Column, location:
     return publish.archive_append(archive_rows(board, run_id, archived_at), location, ARCHIVE_KEY, payload)
 
 
+_HEX = "0123456789abcdef"
 _MOVE = ["archive_key", "refresh_run_id", "snapshot_id", "fetched_at", "market_line", "point", "best_bookmaker_key", "best_bookmaker_title", "best_american_price", "best_decimal_odds"]
 
 
@@ -114,18 +115,23 @@ def market_movement(archive: DataFrame, capture: tuple[int, int] = (45, 75), cap
     # Order of preference at one time: newest archive row, higher value, higher point, smaller key.
     low = F.lit(float("-inf"))
     archive = archive.withColumns({"__value": F.col("expected_value_percent"), "__point": F.coalesce("point", low)})
-    first = F.struct("fetched_at", "archived_at", (-F.col("__value")).alias("v"), (-F.col("__point")).alias("p"), "archive_key")
-    rest = [c for c in archive.columns if c not in key]
-    entries = archive.where("is_tip_candidate").groupBy(*key).agg(F.min_by(F.struct(*rest), first).alias("r")).select(*key, "r.*")
+    order = {"fetched_at": F.col("fetched_at"), "archived_at": F.col("archived_at"), "__v": -F.col("__value"), "__p": -F.col("__point"), "archive_key": F.col("archive_key")}
+    rest = [c for c in archive.columns if c not in [*key, *order, "__value", "__point"]]
+    # One struct is order and row at once, so that no column travels twice.
+    row = F.struct(*[c.alias(n) for n, c in order.items()], *rest)
+    entries = archive.where("is_tip_candidate").groupBy(*key).agg(F.min(row).alias("r")).select(*key, "r.*").drop("__v", "__p")
     renamed = {"best_bookmaker_key": "bookmaker_key", "best_bookmaker_title": "bookmaker", "best_american_price": "american_price", "best_decimal_odds": "decimal_odds"}
     later = archive.select(
         *key, F.col("fetched_at").alias("__ts"), "archived_at", "__value", "__point",
-        # The smallest key wins a full tie, so its complement sorts last.
-        F.translate("archive_key", "0123456789abcdef", "fedcba9876543210").alias("__rev"),
-        *[F.col(c).alias(f"latest_{renamed.get(c, c)}") for c in _MOVE],
+        # The smallest key wins a full tie, so its complement sorts last; the complement's complement is the key.
+        F.translate("archive_key", _HEX, _HEX[::-1]).alias("__rev"),
+        *[F.col(c).alias(f"latest_{renamed.get(c, c)}") for c in _MOVE if c not in ("archive_key", "fetched_at")],
     )
+    payload = [c for c in later.columns if c.startswith("latest_")]
+    rows = asof.latest_before(
+        entries, later, key, "fetched_at", "commence_time", "__ts", ["archived_at", "__value", "__point", "__rev"], ["__ts", "__rev", *payload]
+    ).withColumnsRenamed({"__ts": "latest_fetched_at"}).withColumn("latest_archive_key", F.translate("__rev", _HEX[::-1], _HEX))
     payload = [f"latest_{renamed.get(c, c)}" for c in _MOVE]
-    rows = asof.latest_before(entries, later, key, "fetched_at", "commence_time", "__ts", ["archived_at", "__value", "__point", "__rev"], payload)
     shown = {c: f"entry_{renamed.get(c, c)}" for c in _MOVE} | {
         "model_name": "entry_model_name", "model_version": "entry_model_version", "prediction_mode": "entry_prediction_mode",
         "prediction_generated_at": "entry_prediction_generated_at", "model_probability": "entry_model_probability", "expected_value_percent": "entry_expected_value_percent",
