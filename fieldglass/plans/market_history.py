@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldglass.functions import scalars
-from fieldglass.operators import aggregates, asof, joins, windows
+from fieldglass.operators import aggregates, asof, joins, skew, windows
 from fieldglass.operators.reshape import prefer_primary, union_products
+from fieldglass.session import land
 from fieldglass.sources import publish
 
 _STEPS = {"h2h": scalars.PROBABILITY_STEPS, "spreads": scalars.POINT_STEPS, "totals": scalars.POINT_STEPS}
@@ -79,6 +80,9 @@ def historical_summary(ledger: DataFrame) -> DataFrame:
         "mean_edge": F.avg("edge"), "clv_bet_count": aggregates.count_where(F.col("clv_available")),
         "mean_clv": F.avg(F.when(F.col("clv_available"), F.col("clv_value"))),
     }
+    # Three joins lie behind a ledger and several passes ahead of it: what they need is written once.
+    needed = ["market_key", "edge_bucket", "season", "game_id", "result", "profit_per_unit", "edge", "clv_available", "clv_value"]
+    ledger = ledger.select(*needed) if skew.is_small(ledger) else land(ledger.select(*needed), "ledger")
     sums = aggregates.multi_scope(ledger, [["market_key"], ["market_key", "edge_bucket"]], {"ALL_ROWS": F.lit(True)}, measures).drop("scope")
     both = ledger.withColumn("edge_bucket", F.explode(F.array(F.col("edge_bucket"), F.lit("ALL"))))
     falls = windows.max_drawdown(both, ["market_key", "edge_bucket"], ["season", "game_id"], "profit_per_unit")
