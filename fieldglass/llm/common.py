@@ -18,15 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def landed(df: DataFrame, label: str) -> DataFrame:
+def landed(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     """Write once to the folder all executors share and go on from there.
 
     The new plan starts at files, so a lost executor costs a reread and later
-    joins are planned with measured sizes.
+    joins are planned with measured sizes.  ``codec`` is zstd where whole texts
+    are written.
     """
     spark = df.sparkSession
     location = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(location)
+    df.write.option("compression", codec).parquet(location)
     out = spark.read.schema(df.schema).parquet(location)
     out._landed_at = location
     return out

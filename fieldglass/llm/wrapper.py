@@ -15,7 +15,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from fieldglass.llm.common import landed
+from fieldglass.llm.common import discard, landed
 from fieldglass.llm.html_tree import HINTED, PLAIN, Matching, Tree, from_skeleton, parse
 
 #: A text node is template if at least so many pages that are no copies of the pivot were aligned ...
@@ -217,9 +217,10 @@ def extract_main_text(
         F.coalesce(F.col(html_column), F.lit("")).alias("html"),
         F.lower(F.coalesce(F.regexp_extract(F.col(url_column), HOST, 1), F.lit(""))).alias("host"),
     )
-    trees = landed(parsed(plain, hints), "trees")
+    trees = landed(parsed(plain, hints), "trees", "zstd")
     pivots = landed(pivots_of(trees), "pivots")
-    shared = landed(aligned(trees, pivots), "aligned")
+    shared = landed(aligned(trees, pivots), "aligned", "zstd")
+    discard(trees)
     wrappers = landed(templates(shared), "wrappers")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
